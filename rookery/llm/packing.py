@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,52 +14,94 @@ from pyspark.sql import DataFrame
 
 from rookery.llm.common import texts
 
-#: Words that a worker remembers; older ones are forgotten all at once.
-MEMORY = 400_000
+#: Words that a worker remembers, twice: the ones since the last change and those before.
+MEMORY = 500_000
+
+
+#: Chunks that need no library: ASCII without "'" and "<", and Latin-1 letters, which are composed and have
+#: one lower-case letter each.
+PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+#: What the pre-tokenizer makes of them.
+PLAIN_PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies spell each byte: itself where it prints, else the next free one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class WordCoder:
     """Ids of the tokenizer at path, as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins what it separates, so texts are cut at ASCII
-    white space and each distinct chunk is encoded once by the library. Only for tokenizers of
-    that kind: one whose pre-tokenizer keeps white space encodes whole texts.
+    white space and each distinct chunk is encoded once: plain ones by the library's merges
+    alone, the others by the whole library. Tokenizers of another kind encode whole texts.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.chunked = self._drops_blanks(json.loads(self.model.to_str()))
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        spec = json.loads(self.model.to_str())
+        self.chunked = self._drops_blanks(spec)
+        self.letters = byte_letters()
+        self.core = self.model.model  # one object: each access copies
+        self.merge = self.core.tokenize
+        self.spelled = [i.to_bytes(4, "little") for i in range(self.model.get_vocab_size(with_added_tokens=True))]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def _drops_blanks(spec: dict) -> bool:
+        """Lower case, then letters, single digits and runs of the rest, without blanks, by bytes."""
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        split = [s for s in steps if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
-        return bool(split) and r"[^\s" in split[0]["pattern"].get("Regex", "") and spec["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-
-    def _encode(self, many: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(many, add_special_tokens=False)]
+        normal = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        kinds = [s["type"] for s in steps]
+        return (
+            kinds == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE"
+            and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<") or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        )
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merge(self, part: str) -> bytes:
+        spelled = self.spelled
+        return b"".join([spelled[t.id] for t in self.merge(part)])
+
+    def _chunk(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._merge(word.decode().lower())
+        if word[:-1].isalpha() and word[-1:] in b".,":
+            known = self.young.get(word[:-1])
+            return (known if known is not None else self._merge(word[:-1].decode().lower())) + self._merge(chr(word[-1]))
+        text = word.decode()
+        if not PLAIN.fullmatch(text):
+            return self._whole(text)
+        letters = self.letters
+        return b"".join([self._merge(x if x.isascii() else "".join([letters[b] for b in x.encode()])) for x in PLAIN_PART.findall(text.lower())])
 
     def encode(self, text: str) -> bytes:
         if not self.chunked:
-            return self._encode([text])[0]
+            return self._whole(text)
         words = text.encode().split()
+        young = self.young
         try:
-            return b"".join([self.known[w] for w in words])
+            return b"".join(map(young.__getitem__, words))
         except KeyError:
-            new = [w for w in set(words) if w not in self.known]
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-            return b"".join([self.known[w] for w in words])
+            new = {w for w in words if w not in young}
+            if len(young) + len(new) > MEMORY:  # frequent words come back from the old ones
+                self.old, self.young = young, {}
+                young, new = self.young, set(words)
+            old = self.old
+            for w in new:
+                young[w] = old.get(w) or self._chunk(w)
+            return b"".join([young[w] for w in words])
 
 
 @functools.cache

@@ -42,43 +42,45 @@ class PieceCounter:
             not plain.precompiled_charsmap and plain.add_dummy_prefix and not plain.remove_extra_whitespaces and plain.escape_whitespaces
             and spec.trainer_spec.model_type == proto.TrainerSpec.BPE
             and not any(x.type == proto.ModelProto.SentencePiece.USER_DEFINED for x in spec.pieces)
-            and not any(MARK in x.lstrip(MARK) for x in pieces)
+            and not any(MARK in x.lstrip(MARK) or "\n" in x for x in pieces)
         )
         self.known: dict[str, int] = {}
         if self.splits:
             whole = [x for x in pieces if x.startswith(MARK)]
             coded = self.model.encode([self._text(x) for x in whole], num_threads=1)
             self.known = {x: 1 for x, ids in zip(whole, coded, strict=True) if len(ids) == 1}
-        self.merged: dict[str, int] = {}
+            # Words by blanks: the piece of a word is the mark and the word.
+            self.known = {x[1:]: n for x, n in self.known.items() if not x.startswith(MARK * 2)}
+        self.memory: dict[str, int] = dict(self.known)
 
     @staticmethod
     def _text(pretoken: str) -> str:
         """The text that the model reads as this pre-token; it puts one blank in front itself."""
         return pretoken[1:].replace(MARK, " ")
 
-    def _lookup(self, pretokens: set[str]) -> None:
-        new = [x for x in pretokens if x not in self.known and x not in self.merged]
-        if len(self.merged) + len(new) > MEMORY:
-            self.merged.clear()
-            new = [x for x in pretokens if x not in self.known]
-        self.merged.update(zip(new, map(len, self.model.encode([self._text(x) for x in new], num_threads=1)), strict=True))
+    def _lookup(self, words: list[str]) -> None:
+        """Merges the words that no vocabulary string settles. "\\nx" stands for a line feed and an x
+        without a blank before; the model's own blank, a token by itself there, is taken off."""
+        new = {x for x in words if x not in self.memory}
+        if len(self.memory) + len(new) > MEMORY:
+            self.memory = dict(self.known)
+            new = {x for x in words if x not in self.memory}
+        for x, ids in zip(new, self.model.encode(list(new), num_threads=1), strict=True):
+            self.memory[x] = len(ids) - (x[:1] == "\n") if x else 1
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         if not self.splits:
             return len(self.model.encode(text, num_threads=1))
-        parts = PRETOKEN.findall(MARK + text.replace(" ", MARK))
-        known, merged = self.known, self.merged
-        total = 0
+        if text[0] == " " or "  " in text or MARK in text:  # runs of blanks
+            return sum(len(self.model.encode(self._text(x), num_threads=1)) if x[1:] else 1 for x in PRETOKEN.findall(MARK + text.replace(" ", MARK)))
+        words = text.replace("\n", " \n").split(" ")
         try:
-            for x in parts:
-                total += known[x] if x in known else merged[x]
+            return sum(map(self.memory.__getitem__, words))
         except KeyError:
-            self._lookup(set(parts))
-            merged = self.merged
-            total = sum(known[x] if x in known else merged[x] for x in parts)
-        return total
+            self._lookup(words)
+            return sum(map(self.memory.__getitem__, words))
 
 
 @functools.cache
