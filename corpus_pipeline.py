@@ -1,7 +1,77 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicate removal, decontamination, surrogates, packing."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rookery.llm import decontam, dedup, packing, pii, quality
+from rookery.llm.common import settled, shared_dir, table
+from rookery.llm.queries import PII_SECRET, vocabulary
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for the rows of dropped ids; rows without an id stay. The ids are broadcast if they are few."""
+    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
+    few = gone.limit(dedup.BROADCAST_IDS + 1).count() <= dedup.BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    found = settled(dedup.near_duplicates(docs, k=5, threshold=80))
+    kept = _without(docs, found.filter(~F.col("kept")))
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Repeated rows of one id: one of them stays.
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data, n_chars counted anew."""
+    return pii.rewrite(docs, PII_SECRET)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents in sequences of 4096 tokens, ids as little-endian 32-bit integers."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii_surrogates", surrogates),
+    ("packing", packed),
+]
+
+#: Minhashes, merges and keyed surrogates have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df by way of a Parquet table in the shared checkpoint folder."""
+    shared_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

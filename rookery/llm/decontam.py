@@ -108,31 +108,64 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     of items (hashed into groups) to the workers; a benchmark beyond that takes more passes over
     the documents, each adding to the spans of the one before, with no join and no shuffle.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-int(total) // pass_chars))
     d = texts(docs)
+    parts = _parts(benchmark, pass_chars)
     kind = d.schema["doc_id"].dataType.simpleString()
     columns = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
-    for k in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        last = k == passes - 1
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
         d = d.mapInArrow(_pass([tuple(r) for r in part.collect()], window, last), f"doc_id {kind}, " + ("" if last else "text string, ") + columns)
     return d
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """The rows, with all their columns, in which find_contamination() finds nothing."""
+    d = docs
+    for part in _parts(benchmark, pass_chars):
+        d = d.mapInArrow(_clean_rows([tuple(r) for r in part.collect()], window), docs.schema)
+    return d
+
+
+def _parts(benchmark: DataFrame, pass_chars: int) -> list[DataFrame]:
+    """The benchmark in parts of about pass_chars characters, by its measured size."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    passes = max(1, -(-int(total) // pass_chars))
+    return [items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) for k in range(passes)]
+
+
+#: Of a worker: one pass's search at a time.
 _searches: dict[str, Search] = {}
 
 
+def _key(items: list[tuple[str, str]], window: int) -> str:
+    return hashlib.sha256(repr((items, window)).encode()).hexdigest()
+
+
+def _search(key: str, items: list[tuple[str, str]], window: int) -> Search:
+    if key not in _searches:
+        _searches.clear()
+        _searches[key] = Search(items, window)
+    return _searches[key]
+
+
+def _clean_rows(items: list[tuple[str, str]], window: int):
+    key = _key(items, window)
+
+    def run(batches):
+        search = _search(key, items, window)
+        for b in batches:
+            yield b.filter(pa.array([not search.scan(words(x))[0] for x in b.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
 def _pass(items: list[tuple[str, str]], window: int, last: bool):
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+    key = _key(items, window)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        if key not in _searches:
-            _searches.clear()  # one pass's patterns at a time
-            _searches[key] = Search(items, window)
-        search = _searches[key]
+        search = _search(key, items, window)
         for b in batches:
             n, spans, ids = [], [], []
             more = "spans" in b.schema.names

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontam, html_text, langid, packing, quality, secrets, tokens
+from rookery.llm import chat, decontam, dedup, html_text, langid, packing, pii, quality, secrets, tokens
 from rookery.llm.common import table
 
 
@@ -26,6 +26,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=80)
+
+
+#: Stands for the key that an installation keeps to itself.
+PII_SECRET = b"rookery example key"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(table(spark, sf_dir, "documents"), PII_SECRET)
+    spans = F.concat_ws(",", F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))))
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), spans.alias("spans"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -78,7 +92,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_language_id, op6_secret_scan, op7_chat_format, op8_packing, op9_decontamination, op10_html_text)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_near_dedup, op4_pii_surrogates, op5_language_id, op6_secret_scan, op7_chat_format, op8_packing, op9_decontamination, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {}
