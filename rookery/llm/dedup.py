@@ -21,6 +21,14 @@ BLOCK = 1 << 13
 BROADCAST_IDS = 500_000
 
 
+#: Counts of shingles, by slot.
+SLOTS = 1 << 20
+#: Rounds that compare with one member of the largest component only, before all open pairs are considered;
+#: left out as soon as those are at most PLAIN_FACTOR times the open rows.
+SAMPLED_ROUNDS = 2
+PLAIN_FACTOR = 4
+
+
 @dataclass(frozen=True)
 class Banding:
     """Keys of tables are pairs of one hash from each of two collections.
@@ -130,6 +138,43 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, thres
     return both.filter(100 * common >= threshold * union).select("x", "y")
 
 
+def _untested(pairs: DataFrame, tested: DataFrame, threshold: int) -> DataFrame:
+    """(x, y), once, of rows (p, np, rep, n) whose sizes allow a link and that weren't compared before."""
+    pairs = pairs.filter(_could_reach(F.col("n"), F.col("np"), threshold)).select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y")).distinct()
+    return settled(pairs.join(tested, ["x", "y"], "left_anti"))
+
+
+def prefixes(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """rep, key and i: the rarest shingles of each wanted class, as many as a set can lack and one more, by place.
+
+    Sets that reach the threshold share one of them, in any order that all sets agree on; and behind the places
+    of the first one they share, both have room for the overlap that the threshold asks for. The order is by the
+    count of a shingle's slot in a table of SLOTS counts, over the wanted classes; that table's
+    size is fixed, so it is broadcast.
+    """
+    ids = settled(classes.select(F.col("rep").alias("doc_id"), "set_key").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    sets = settled(full_sets(docs, ids, k))
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    got = sets.select(F.explode("s").alias("x")).groupBy(F.pmod("x", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    counts[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
+    order = docs.sparkSession.sparkContext.broadcast(counts)
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, keys, places = [], [], []
+            for row, s in enumerate(batch.column("s")):
+                x = np.asarray(s.values)
+                size = len(x) - -(-threshold * len(x) // 100) + 1
+                keys.append(x[np.lexsort((x, order.value[x % SLOTS]))[:size]])
+                at.append(np.full(len(keys[-1]), row))
+                places.append(np.arange(len(keys[-1])))
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["rep", "key", "i"])
+
+    return sets.mapInArrow(run, f"rep {kind}, key long, i long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of the links (x, y).
 
@@ -157,9 +202,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, banding: B
 
     Rows of equal sets form a class, which its smallest doc_id stands for; copies never meet as
     pairs. Classes meet in tables by tensored keys. First each bucket's classes are compared
-    with its smallest one. Where a bucket still holds several components, every pair of its
-    classes from different components is compared, so no pair that shares a bucket is missed, and
-    pairs known to be connected cost nothing. There is no cap on buckets or partners.
+    with its smallest one. While buckets with several components would still make many pairs, their
+    smaller components are compared with one member of the largest. At last all classes of such buckets
+    that lie in different components are compared, but for pairs that share none of the rare
+    shingles one of which any linked pair shares. So no link between classes that met in a bucket is missed, and pairs
+    known to be connected cost nothing. There is no cap on buckets or partners.
 
     Null and empty texts have empty sets and are linked with nothing. Repeated rows are one
     document and each returned; rows of one doc_id with different texts are linked by it only if
@@ -170,25 +217,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, banding: B
     filled = signed.filter("n > 0")
     classes = settled(filled.filter("doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.n", "m.a", "m.b"))
     table_keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, x, j, y))))
-    keys = classes.select("rep", "n", F.explode(table_keys).alias("key"))
+    keys = classes.select("rep", "n", F.posexplode(table_keys).alias("t", "key"))
     leaders = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.max("rep").alias("last")).filter("leader.rep < last").select("key", "leader")
-    members = settled(keys.join(leaders, "key").select("key", "rep", "n", "leader"))
+    members = settled(keys.join(leaders, "key").select("key", "t", "rep", "n", "leader"))
 
     star = members.filter(F.col("rep") != F.col("leader.rep")).filter(_could_reach(F.col("n"), F.col("leader.n"), threshold)).select(F.col("leader.rep").alias("x"), F.col("rep").alias("y")).distinct()
-    star = settled(star)
-    links = settled(confirm(docs, star, classes, k, threshold))
+    tested = settled(star)
+    links = settled(confirm(docs, tested, classes, k, threshold))
     found = components(links)
 
-    # Buckets whose classes aren't all connected by now: minority components against all others.
-    named = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    sizes = named.groupBy("key", "c").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.c").alias("major"))
-    open_rows = settled(named.join(mixed, "key"))
-    minor = open_rows.filter("c != major").select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"))
-    cross = minor.join(open_rows, "key").filter((F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("rep"))) & _could_reach(F.col("n"), F.col("np"), threshold))
-    cross = cross.select(F.least("p", "rep").alias("x"), F.greatest("p", "rep").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
-    more = confirm(docs, settled(cross), classes, k, threshold)
-    found = components(links.union(more))
+    # Buckets whose classes aren't all connected by now.
+    for turn in range(SAMPLED_ROUNDS + 1):
+        named = members.join(found, members["rep"] == found["node"], "left").select("key", "t", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.c").alias("major"))
+        open_rows = settled(named.join(mixed, "key"))
+        at_most = open_rows.groupBy("key").agg((F.count("*") * F.count_if(F.col("c") != F.col("major"))).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p")).first()["p"]
+        if turn == SAMPLED_ROUNDS or at_most <= PLAIN_FACTOR * open_rows.count():
+            break
+        # One member of the largest component for each bucket of some tables; that joins most of a large group.
+        some = F.col("t") % 8 == turn
+        minor = open_rows.filter(some & (F.col("c") != F.col("major"))).select("key", F.col("rep").alias("p"), F.col("n").alias("np"))
+        chosen = open_rows.filter(some & (F.col("c") == F.col("major"))).groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n")).alias("m")).select("key", "m.rep", "m.n")
+        pairs = _untested(minor.join(chosen, "key"), tested, threshold)
+        links = settled(links.union(confirm(docs, pairs, classes, k, threshold)))
+        found = components(links)
+        tested = tested.union(pairs)
+
+    # Every pair of open classes that can still reach the threshold, by prefixes of their sets.
+    open_classes = settled(open_rows.select("rep", "n", "c").distinct())
+    shared = prefixes(docs, open_classes, classes, k, threshold)
+    rows = settled(shared.join(open_classes, "rep"))
+    top = rows.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.c").alias("major"))
+    rows = settled(rows.join(top, "key"))
+    minor = rows.filter("c != major").select("key", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"), F.col("i").alias("ip"))
+    room = (100 + threshold) * F.least(F.col("n") - F.col("i"), F.col("np") - F.col("ip")) >= threshold * (F.col("n") + F.col("np"))
+    pairs = minor.join(rows, "key").filter(room & (F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("rep"))) & _could_reach(F.col("n"), F.col("np"), threshold))
+    links = links.union(confirm(docs, _untested(pairs, tested, threshold), classes, k, threshold))
+    found = components(links)
 
     homes = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("home"))
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(homes, "set_key", "left")
