@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontam, dedup, html_text, langid, packing, pii, quality, secrets, tokens
+from rookery.llm import chat, decontam, dedup, html_text, langid, oracle, packing, pii, quality, secrets, tokens
 from rookery.llm.common import table
 
 
@@ -95,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_near_dedup, op4_pii_surrogates, op5_language_id, op6_secret_scan, op7_chat_format, op8_packing, op9_decontamination, op10_html_text)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Library tokenizers, keyed surrogates, filters and page parsing have no SQL; tests hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracle.OP1, "op3_near_dedup": oracle.OP3, "op6_secret_scan": oracle.OP6, "op7_chat_format": oracle.OP7, "op9_decontamination": oracle.OP9,
+}
