@@ -27,23 +27,23 @@ class Family:
 
 
 _OFFICER = "pc BETWEEN 1 AND 4"
-_PASSED = f"pc = 0 AND (xp & {B.around_files('sq')} & {B.ahead('sq')}) = 0 AND (op & {B.file_set('sq')} & {B.ahead('sq')}) = 0"
+_IS_PASSED = f"pc = 0 AND (xp & {B.around_files('sq')} & {B.ahead('sq')}) = 0 AND (op & {B.file_set('sq')} & {B.ahead('sq')}) = 0"
 _FRONT = f"({B.file_set('sq')} & {B.ahead('sq')})"
 _PROM = f"({B.file_of('sq')} * 8 + 7 * (1 - side))"
 _STOP = "(sq + 1 - 2 * side)"
 _FLOOR_RANK = "greatest(r, 2)"
 _KING_HITS = "filter(men, x -> x.pc = 5)[0].tos"
-UNSTOPPABLE = (
-    f"{_PASSED} AND (opp_all & ~(opp[0] | opp[5])) = 0 AND ({_FRONT} & occ) = 0 AND "
+_IS_UNSTOPPABLE = (
+    f"passed AND (opp_all & ~(opp[0] | opp[5])) = 0 AND ({_FRONT} & occ) = 0 AND "
     f"(7 - {_FLOOR_RANK} + CASE WHEN turn <> side THEN 1 ELSE 0 END < {B.distance('xking', _PROM)} OR ({_FRONT} & ~{_KING_HITS}) = 0)"
 )
 #: The nearest piece behind a pawn on its file, and whether it is an opposing rook or queen.
 _BEHIND = f"(shiftrightunsigned(occ & {B.file_set('sq')} & {B.ahead('sq', '(1 - side)')}, CAST({B.file_of('sq')} * 8 AS INT)))"
 _NEAREST = f"CAST(floor(log2(CASE WHEN side = 0 THEN {_BEHIND} ELSE {_BEHIND} & -{_BEHIND} END)) AS INT)"
 _PUSHED = f"({_BEHIND} <> 0 AND ((opp[3] | opp[4]) & shiftleft(1L, {B.file_of('sq')} * 8 + {_NEAREST})) <> 0)"
-_FREE = f"(({_FRONT} & (opp_all | ~queen_safe)) = 0 AND NOT {_PUSHED})"
-_ATTACKERS = "least(size(filter(men, x -> x.pc BETWEEN 1 AND 4 AND (x.tos & xzone & pawn_safe) <> 0)), 4)"
-_PINNER = f"filter(pins, x -> x.pin = {B.bit('sq')})[0].pc"
+_IS_FREE = f"(({_FRONT} & (opp_all | ~queen_safe)) = 0 AND NOT {_PUSHED})"
+_N_ATTACKERS = "least(size(filter(men, x -> x.pc BETWEEN 1 AND 4 AND (x.tos & xzone & pawn_safe) <> 0)), 4)"
+_IS_PINNED_BY = f"get(filter(pins, x -> x.pin = {B.bit('sq')}), 0).pc"
 _PROTECTED = B.has("o_hit_pawn", "sq")
 
 
@@ -61,17 +61,17 @@ FAMILIES = (
     Family("x7_piece_captures", "piece", _OFFICER, tuple((f"271 + pc * 6 + {t}", f"bit_count(tos & opp[{t}]{' & ~x_hit_pawn' if t == 0 else ''})") for t in range(6))),
     Family("x8_king_captures", "piece", "pc = 5", tuple((str(301 + t), f"bit_count(tos & opp[{t}] & ~x_hit_pawn)") for t in range(6))),
     Family("x9_safe_checks", "piece", f"{_OFFICER} AND NOT {B.has('tos', 'xking')}", _sum(("307 + pc", "bit_count(tos & ~own_all & queen_safe & CASE pc WHEN 4 THEN probe[1] | probe[2] ELSE probe[pc - 1] END)"))),
-    Family("x10_pinned", "piece", f"{_OFFICER} AND exists(pins, x -> x.pin = {B.bit('sq')}) AND ({_PINNER} <= pc OR (tos & {B.ray('king', 'sq')}) = 0)", _sum((f"313 + pc * 6 + {_PINNER}", "1"))),
-    Family("x11_king_attack", "piece", f"{_OFFICER} AND {_ATTACKERS} > 0", _sum(
-        (f"349 + (({_ATTACKERS} - 1) * 6 + pc) * 2", "bit_count(tos & xzone & pawn_safe & ~x_hit_queen)"), (f"350 + (({_ATTACKERS} - 1) * 6 + pc) * 2", "bit_count(tos & xzone & pawn_safe & x_hit_queen)"))),
+    Family("x10_pinned", "piece", f"{_OFFICER} AND pinner IS NOT NULL AND (pinner <= pc OR (tos & {B.ray('king', 'sq')}) = 0)", _sum(("313 + pc * 6 + pinner", "1"))),
+    Family("x11_king_attack", "piece", f"{_OFFICER} AND attackers > 0", _sum(
+        ("349 + ((attackers - 1) * 6 + pc) * 2", "bit_count(tos & xzone & pawn_safe & ~x_hit_queen)"), ("350 + ((attackers - 1) * 6 + pc) * 2", "bit_count(tos & xzone & pawn_safe & x_hit_queen)"))),
     Family("x12_pawn_shield", "piece", f"pc = 0 AND {B.has('zone', 'sq')} AND r >= {B.side_rank('king')}", _sum(("397 + f", "1"), ("401 + r", "1"))),
     Family("x13_defended_piece", "piece", f"pc BETWEEN 1 AND 3 AND {B.has('o_hit_all', 'sq')}", _sum((f"CASE WHEN {_PROTECTED} THEN 409 ELSE 421 END + f", "1"), (f"CASE WHEN {_PROTECTED} THEN 413 ELSE 425 END + r", "1"))),
     Family("x14_minor_outpost", "piece", f"pc IN (1, 2) AND {_PROTECTED} AND {B.has('strong', 'sq')} AND f >= 2 AND r BETWEEN 3 AND 5", _sum(("433 + pc * 8 + r", "1"))),
     Family("x15_bad_bishop", "piece", "pc = 2", tuple((str(481 + k), f"bit_count(op & (CASE WHEN (({B.file_of('sq')} + sq) & 1) = 0 THEN {B.COLOURS[0]}L ELSE {B.COLOURS[1]}L END) & {'~' * k}blocked)") for k in (0, 1))),
     Family("x16_rook_files", "piece", f"pc = 3 AND (op & {B.file_set('sq')}) = 0", _sum((f"CASE WHEN (xp & {B.file_set('sq')}) = 0 THEN 483 ELSE 484 END", "1"))),
     Family("x17_trapped_rook", "piece", f"pc = 3 AND bit_count(tos & pawn_safe & ~own[5]) < 3 AND r < 2 AND {B.side_rank('king')} = 0 AND NOT {B.has('castling', 'sq')} AND CASE WHEN {B.file_of('king')} < 4 THEN {B.file_of('sq')} <= {B.file_of('king')} ELSE {B.file_of('sq')} >= {B.file_of('king')} END", _sum(("485", "1"))),
-    Family("x18_passed_pawn", "piece", f"{_PASSED} AND NOT ({UNSTOPPABLE})", tuple((f"486 + {_FLOOR_RANK} * 20 + {at}", v) for at, v in (
-        ("0", "1"), ("1", f"CASE WHEN {B.has('opp_all', _STOP)} THEN 0 ELSE 1 END"), ("2", f"CASE WHEN {_FREE} THEN 1 ELSE 0 END"), (f"4 + {B.distance('king', _STOP)}", "1"), (f"12 + {B.distance('xking', _STOP)}", "1")))),
+    Family("x18_passed_pawn", "piece", "passed AND NOT unstoppable", tuple((f"486 + {_FLOOR_RANK} * 20 + {at}", v) for at, v in (
+        ("0", "1"), ("1", f"CASE WHEN {B.has('opp_all', _STOP)} THEN 0 ELSE 1 END"), ("2", "CASE WHEN free THEN 1 ELSE 0 END"), (f"4 + {B.distance('king', _STOP)}", "1"), (f"12 + {B.distance('xking', _STOP)}", "1")))),
     Family("x20_pawn_structure", "piece", "pc = 0", _sum(("646 + r * 4 + f", f"CASE WHEN {B.has(B.beside('op'), 'sq')} THEN 1 ELSE 0 END"), ("678 + r * 4 + f", f"CASE WHEN {_PROTECTED} THEN 1 ELSE 0 END"), ("710 + r * 4 + f", f"CASE WHEN {B.has('xp', _STOP)} THEN 1 ELSE 0 END"))),
     Family("x21_weak_pawn", "piece", f"pc = 0 AND {B.has('weak', 'sq')}", _sum(("742 + f", "1"), ("746 + r", "1"))),
     Family("x22_pawn_centre", "piece", "pc IN (1, 5)", _sum((f"CASE pc WHEN 5 THEN 754 ELSE 756 END", f"abs({B.file_of('sq')} + 0.5D - mid_file)"), ("CASE pc WHEN 5 THEN 755 ELSE 757 END", f"abs({B.rank_of('sq')} + 0.5D - mid_rank)"))),
@@ -81,13 +81,17 @@ FAMILIES = (
 
 def piece_rows(side_rows: DataFrame) -> DataFrame:
     d = side_rows.withColumn("m", F.explode("men")).selectExpr("*", "m.sq AS sq", "m.pc AS pc", "m.tos AS tos").drop("m")
-    return d.withColumns({"f": F.expr(B.mirror_file("sq")), "r": F.expr(B.side_rank("sq"))})
+    d = d.withColumns({"f": F.expr(B.mirror_file("sq")), "r": F.expr(B.side_rank("sq")), "passed": F.expr(_IS_PASSED), "pinner": F.expr(_IS_PINNED_BY), "attackers": F.expr(_N_ATTACKERS)})
+    return d.withColumns({"unstoppable": F.expr(_IS_UNSTOPPABLE), "free": F.expr(f"passed AND {_IS_FREE}")})
 
 
 def _pairs(d: DataFrame, families: tuple[Family, ...]) -> DataFrame:
     """pos_id, side, turn, idx, value: all families of one level in a single projection."""
     entries = ", ".join(f"CASE WHEN {f.where} THEN struct(CAST({i} AS INT) AS idx, CAST({v} AS DOUBLE) AS value) END" for f in families for i, v in f.values)
-    return d.select("pos_id", "side", "turn", F.explode(F.expr(f"array({entries})")).alias("e")).filter("e.value <> 0").select("pos_id", "side", "turn", "e.*")
+    # A column first: a generator would evaluate its argument without generated code. Outer, else the
+    # optimizer would test the size of the array before, and so build it twice.
+    d = d.select("pos_id", "side", "turn", F.expr(f"array({entries})").alias("all"))
+    return d.select("pos_id", "side", "turn", F.explode_outer("all").alias("e")).filter("e.value <> 0").select("pos_id", "side", "turn", "e.*")
 
 
 def values(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
@@ -115,5 +119,5 @@ def phases(side_rows: DataFrame) -> DataFrame:
 
 def unstoppable(side_rows: DataFrame) -> DataFrame:
     """pos_id, side and the score that pawns give which nothing can stop; both phases get it."""
-    d = piece_rows(side_rows).filter(UNSTOPPABLE)
+    d = piece_rows(side_rows).filter("unstoppable")
     return d.groupBy("pos_id", "side").agg(F.expr(f"CAST(sum(90000 * ({_FLOOR_RANK} - 1) DIV 6) AS BIGINT)").alias("gain"))

@@ -119,7 +119,7 @@ def g6_king_zone(spark, sf_dir):
 @query(f"{BASE} SELECT CAST(p.pos_id AS BIGINT) AS pos_id, CAST(p.sq AS INTEGER) AS sq, EXISTS (SELECT 1 FROM passed x WHERE x.pos_id=p.pos_id AND x.sq=p.sq) AS passed, EXISTS (SELECT 1 FROM pawn x WHERE x.pos_id=p.pos_id AND x.side=p.side AND x.rk=p.rk AND abs(x.fl-p.fl)=1) AS duo, EXISTS (SELECT 1 FROM prot x WHERE x.pos_id=p.pos_id AND x.sq=p.sq) AS protected, EXISTS (SELECT 1 FROM pawn x WHERE x.pos_id=p.pos_id AND x.side<>p.side AND x.sq=p.sq+1-2*p.side) AS ram, NOT EXISTS (SELECT 1 FROM pawn x WHERE x.pos_id=p.pos_id AND x.side<>p.side AND x.fl=p.fl) AS half_open FROM pawn p")
 def g7_pawn_relations(spark, sf_dir):
     d = features.piece_rows(_sides(spark, sf_dir)).filter("pc = 0")
-    return d.selectExpr("pos_id", "sq", f"{features._PASSED} AS passed", f"{B.has(B.beside('op'), 'sq')} AS duo", f"{features._PROTECTED} AS protected", f"{B.has('xp', features._STOP)} AS ram", f"(xp & {B.file_set('sq')}) = 0 AS half_open")
+    return d.selectExpr("pos_id", "sq", "passed", f"{B.has(B.beside('op'), 'sq')} AS duo", f"{features._PROTECTED} AS protected", f"{B.has('xp', features._STOP)} AS ram", f"(xp & {B.file_set('sq')}) = 0 AS half_open")
 
 
 @query(f"{BASE} SELECT CAST(b.pos_id AS BIGINT) AS pos_id, CAST(b.side AS INTEGER) AS side, CAST((SELECT COUNT(*) FROM weak w WHERE w.pos_id=b.pos_id AND w.side=b.side) AS BIGINT) AS n_weak, CAST(64-(SELECT COUNT(*) FROM xreach x WHERE x.pos_id=b.pos_id AND x.side=b.side) AS BIGINT) AS n_strong, CAST((SELECT COUNT(*) FROM pawn p JOIN shut u ON u.pos_id=p.pos_id AND u.side=p.side AND u.s=p.sq+1-2*p.side WHERE p.pos_id=b.pos_id AND p.side=b.side AND p.r<7) AS BIGINT) AS n_blocked FROM both_sides b")
