@@ -10,22 +10,20 @@ from rookery.functions.scalars import clamp_score
 from rookery.operators import features
 
 
-def static_scores(side_rows: DataFrame, weights: DataFrame, rounded: bool = False) -> DataFrame:
-    """pos_id, turn and score in centipawns for the side to move.
+def static_scores(side_rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """pos_id, turn, score in centipawns for the side to move, and the same score where every
+    side's feature value is rounded to a whole number first.
 
     weights: idx, mg and eg in hundredths, one row a feature, broadcast. The weighted sum is
     rounded to 4 digits, so that the order of summing decides nothing, then to the nearest integer.
-    rounded: every side's feature value is rounded to a whole number first.
     """
-    v = features.values(side_rows)
-    if rounded:
-        v = v.withColumn("value", F.floor(F.round("value", 4) + 0.5).cast("double"))
-    v = v.withColumn("value", F.expr("CASE WHEN side = turn THEN value ELSE -value END"))
-    sums = v.join(F.broadcast(weights), "idx").groupBy("pos_id").agg(F.sum(F.col("value") * F.col("mg")).alias("mg_sum"), F.sum(F.col("value") * F.col("eg")).alias("eg_sum"))
+    sign = F.expr("CASE WHEN side = turn THEN 1 ELSE -1 END")
+    v = features.values(side_rows).select("pos_id", "idx", (sign * F.col("value")).alias("value"), (sign * F.floor(F.round("value", 4) + 0.5)).cast("double").alias("whole"))
+    sums = v.join(F.broadcast(weights), "idx").groupBy("pos_id").agg(*[F.sum(F.col(x) * F.col(w)).alias(f"{w}_{x}") for x in ("value", "whole") for w in ("mg", "eg")])
     free = features.unstoppable(side_rows).join(side_rows.filter("side = turn").select("pos_id", "turn"), "pos_id").groupBy("pos_id").agg(F.sum(F.expr("CASE WHEN side = turn THEN gain ELSE -gain END")).alias("gain"))
     base = side_rows.filter("side = turn").select("pos_id", "turn").join(features.phases(side_rows), "pos_id").join(sums, "pos_id", "left").join(free, "pos_id", "left")
-    total = "round(coalesce(mg_sum, 0) * mg + coalesce(eg_sum, 0) * eg + 24 * coalesce(gain, 0), 4)"
-    return base.selectExpr("pos_id", "turn", f"CAST(floor(({total} + 1200) / 2400) AS BIGINT) AS score")
+    score = lambda x: f"CAST(floor((round(coalesce(mg_{x}, 0) * mg + coalesce(eg_{x}, 0) * eg + 24 * coalesce(gain, 0), 4) + 1200) / 2400) AS BIGINT)"
+    return base.selectExpr("pos_id", "turn", f"{score('value')} AS score", f"{score('whole')} AS rounded")
 
 
 def endgame_flags(side_rows: DataFrame) -> DataFrame:

@@ -456,10 +456,7 @@ def m7_value_widths(spark, sf_dir):
 @query(f"{BASE}, {_SCORES}, rw AS (SELECT a.pos_id, SUM(CASE WHEN a.side=p.turn THEN 1 ELSE -1 END*round(v)*((a.idx*37)%101-50)) AS ms, SUM(CASE WHEN a.side=p.turn THEN 1 ELSE -1 END*round(v)*((a.idx*53)%97-48)) AS es FROM (SELECT pos_id, side, idx, floor(ROUND(SUM(v),4)+0.5) AS v FROM fam GROUP BY 1,2,3) a JOIN pos p USING (pos_id) GROUP BY 1) SELECT CAST(t.pos_id AS BIGINT) AS pos_id, t.score, CAST(floor((w.ms*(24-s.stage)+w.es*s.stage+24*coalesce(g.gain,0)+1200)/2400) AS BIGINT) AS rounded FROM stat t JOIN rw w USING (pos_id) JOIN stg s USING (pos_id) LEFT JOIN gain g USING (pos_id) WHERE t.score<>CAST(floor((w.ms*(24-s.stage)+w.es*s.stage+24*coalesce(g.gain,0)+1200)/2400) AS BIGINT)")
 def m9_score_mismatch(spark, sf_dir):
     """Positions where rounding each feature value first moves the score."""
-    s = _sides(spark, sf_dir)
-    exact = scoring.static_scores(s, _weights(spark, 759))
-    whole = scoring.static_scores(s, _weights(spark, 759), rounded=True)
-    return exact.select("pos_id", "score").join(whole.select("pos_id", F.col("score").alias("rounded")), "pos_id").filter("score <> rounded")
+    return scoring.static_scores(_sides(spark, sf_dir), _weights(spark, 759)).select("pos_id", "score", "rounded").filter("score <> rounded")
 
 
 # Fits: driver loops over aggregates, without SQL.
