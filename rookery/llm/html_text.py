@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,44 +41,95 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
+#: Lines of a block, and characters of a surge: more than a line of a menu or notice has, less than a paragraph.
+WINDOW, SURGE = 3, 80
 
 
-def _is_around(tag: str, attrs: str) -> bool:
+class Line(NamedTuple):
+    """doubtful: inside an element whose name only contains a mark as a part; linked: characters inside links;
+    title: it opens the page's or article's h1."""
+
+    text: str
+    article: bool
+    around: bool
+    doubtful: bool
+    linked: int
+    title: bool
+
+
+def _mark(tag: str, attrs: str) -> str:
+    """What makes an element surround an article: tag, form, hidden, name or nothing."""
     if tag in AROUND:
-        return True
+        return "form" if tag == "form" else "tag"
     if not attrs:
-        return False
+        return ""
     if HIDDEN.search(attrs):
-        return True
-    return any(AROUND_NAMES.intersection(SPLIT_NAME.split("".join(m).lower())) for m in NAMES.findall(attrs))
+        return "hidden"
+    return "name" if any(AROUND_NAMES.intersection(SPLIT_NAME.split("".join(m).lower())) for m in NAMES.findall(attrs)) else ""
+
+
+class Surroundings:
+    """Elements around an article, each numbered behind those that hold it; 0 is the page."""
 
+    def __init__(self):
+        self.marks, self.outer = ["page"], [0]
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines of a page stripped of markup: text, whether it stands in an article, whether it is around one."""
-    out: list[tuple[str, bool, bool]] = []
+    def add(self, mark: str, outer: int) -> int:
+        self.marks.append(mark)
+        self.outer.append(outer)
+        return len(self.marks) - 1
+
+    def covered(self) -> list[bool]:
+        out = [False]
+        for k in range(1, len(self.marks)):
+            out.append(True)
+        return out
+
+
+def lines_of(page: str) -> list[Line]:
+    """Lines of a page stripped of markup."""
+    out: list[tuple[str, bool, int, bool, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, adds to around, adds to article
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, number among surroundings, adds to article, adds to doubtful
     held_open: Counter[str] = Counter()
-    around = article = 0
+    rings = Surroundings()
+    around = article = doubtful = 0
+    linked: Counter[int] = Counter()
+    link: list[tuple[int, int]] | None = None  # lines and characters of the open link
+    title = -1
+
+    def add_text(piece: str) -> None:
+        held.append(piece)
+        if link is not None and not held_open["h1"]:
+            link.append((len(out), len(SPACE.sub(" ", entities.unescape(piece)).strip())))
 
     def end_line() -> None:
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append((text, article > 0, around > 0))
+                out.append((text, article > 0, around, doubtful > 0, title == len(out)))
             held.clear()
 
+    def end_link(whole: bool) -> None:
+        """A link without an end holds the rest of its line."""
+        nonlocal link
+        for k, n in link or ():
+            if whole or k == link[0][0]:
+                linked[k] += n
+        link = None
+
     def pop() -> None:
-        nonlocal around, article
-        tag, a, b = stack.pop()
+        nonlocal around, article, doubtful
+        tag, a, b, c = stack.pop()
         held_open[tag] -= 1
-        around -= a
+        around = rings.outer[a] if a else around
         article -= b
+        doubtful -= c
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            add_text(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -87,6 +139,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if tag not in INLINE:
             end_line()
         if m["end"]:
+            if tag == "a":
+                end_link(True)
             if held_open[tag]:
                 while stack[-1][0] != tag:
                     if stack[-1][1]:
@@ -102,40 +156,68 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if tag in VOID or attrs.endswith("/"):
             continue
         inside = tag in ("article", "main")
-        is_around = tag not in ("body", "html", "article", "main") and not (tag == "header" and article) and _is_around(tag, attrs)
+        mark = "" if tag in ("body", "html", "article", "main") or (tag == "header" and article) else _mark(tag, attrs)
+        if tag == "a":
+            end_link(False)
+            link = [] if "href" in attrs.lower() else None
+        elif tag == "h1":
+            title = len(out)
+        is_around = mark not in ("", "doubtful")
         if is_around and tag in INLINE and not around:
             end_line()
-        stack.append((tag, is_around, inside))
+        if is_around:
+            around = rings.add(mark, around)
+        stack.append((tag, around if is_around else 0, inside, mark == "doubtful"))
         held_open[tag] += 1
-        around += is_around
         article += inside
-    held.append(page[at:])
+        doubtful += mark == "doubtful"
+    add_text(page[at:])
     end_line()
+    end_link(False)
+
+    covered = rings.covered()
+    return [Line(text, a, covered[o], d, min(linked[k], len(text)), t) for k, (text, a, o, d, t) in enumerate(out)]
+
+
+def _blocks(size: list[int], window: int) -> list[int]:
+    return [sum(size[k : k + window]) for k in range(len(size))]
+
+
+def dense(lines: list[Line], window: int, surge: int) -> list[bool]:
+    """Whether each line stands between a surge and a dive."""
+    size = [0 if x.around or 2 * x.linked > len(x.text) else max(surge, len(x.text)) if x.title and not x.linked and surge > 1 else len(x.text) - x.linked for x in lines]
+    blocks = _blocks(size, window)
+    limit = max(1, min(surge, (max(blocks, default=0) + 1) // 2))
+    out, first, last = [False] * len(size), -1, 0
+
+    def close() -> None:
+        sized = [k for k in range(first, last) if size[k]] if first >= 0 else []
+        if sized:
+            out[sized[0] : sized[-1] + 1] = [True] * (sized[-1] + 1 - sized[0])
+
+    for k, block in enumerate(blocks):
+        if block >= limit:
+            first, last = k if first < 0 else first, min(k + window, len(size))
+        elif not block:
+            close()
+            first = -1
+    close()
     return out
 
 
-def main_lines(lines: list[tuple[str, bool, bool]], window: int = 3, surge: int = 1) -> list[str]:
-    """The lines between surge and dive points.
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines of an article element or, on a page without one, those between surge and dive points.
 
-    A line's length counts unless it is around an article or, where the page has an article
-    element, outside it. A block is the sum over window lines from a line on. A surge is a line
-    with length whose block exceeds surge and whose previous block start has none; a dive is where
-    the next window lines are all without length. Text between each surge and dive is kept
-    but for lines without length of their own.
+    A line's length is its text outside links; lines around an article and lines of links have
+    none. A block is the sum over window lines from a line on. A surge is a block of surge
+    characters or more (half the page's largest block, if that is less); a dive is a block of
+    nothing. The lines from the first surging block before a dive to the end of the last are
+    kept, but for lines around an article. Inside an article element only lines of doubtful elements have to be
+    between surge and dive. A title of plain text is a surge by itself.
     """
-    framed = any(a and not o for _, a, o in lines)
-    size = [0 if o or (framed and not a) else len(t) for t, a, o in lines]
-    n = len(size)
-    blocks = [sum(size[k : k + window]) for k in range(n)]
-    kept, inside = [], False
-    for k in range(n):
-        if not inside:
-            inside = size[k] > 0 and blocks[k] >= surge
-        elif blocks[k] == 0:
-            inside = False
-        if inside and size[k]:
-            kept.append(lines[k][0])
-    return kept
+    framed = any(x.article and not x.around for x in lines)
+    rows = [x for x in lines if x.article or not framed]
+    return [x.text for x, d in zip(rows, dense(rows, window, surge), strict=True) if not x.around and (d or (framed and not x.doubtful))]
 
 
 def extract(page: str | None) -> tuple[str, int]:

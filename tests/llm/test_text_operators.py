@@ -279,6 +279,20 @@ def test_html(spark):
     assert html_text.extract_text(d.limit(0)).count() == 0
 
 
+PARAGRAPH = "A long paragraph of the article tells what happened that day, with more words than a line of any menu would have."
+
+
+def test_html_windows_decide_without_a_frame():
+    """Neutral names everywhere: link lists and short lines far from text go, the article's own short lines stay."""
+    links = "".join(f"<li><a href=/{k}>Some section number {k} of the site</a></li>" for k in range(6))
+    page = f"""<body><div class=top><p>Site name<p>Slogan of it<p>Open daily<p>Log on</div><ul class=x1>{links}</ul>
+    <div class=x2><h1>Title</h1><p>By A. Writer<p>{PARAGRAPH}<p>"No."<p>"Yes."<p>"So?"<p>"Go."<p>See <a href=/a>a link</a> inside. {PARAGRAPH}<p>The end.</div>
+    <ul class=x3>{links}</ul><div class=x4><p>Imprint<p>Terms of use<p>Site 2024</div>"""
+    assert html_text.extract(page)[0] == f'Title By A. Writer {PARAGRAPH} "No." "Yes." "So?" "Go." See a link inside. {PARAGRAPH} The end.'
+    assert html_text.extract(f"<ul>{links}</ul>")[0] == ""
+    assert html_text.extract(f"<p><a href=x>never closed<p>{PARAGRAPH}<p>{PARAGRAPH}")[1] >= 2
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
