@@ -58,31 +58,68 @@ class Line(NamedTuple):
 
 
 def _mark(tag: str, attrs: str) -> str:
-    """What makes an element surround an article: tag, form, hidden, name or nothing."""
+    """What makes an element surround an article: tag, form, hidden, name, doubtful or nothing.
+
+    A name marks as a whole, or if each of its parts does (cookie-banner); entry-header or with-sidebar are doubtful.
+    """
     if tag in AROUND:
         return "form" if tag == "form" else "tag"
     if not attrs:
         return ""
     if HIDDEN.search(attrs):
         return "hidden"
-    return "name" if any(AROUND_NAMES.intersection(SPLIT_NAME.split("".join(m).lower())) for m in NAMES.findall(attrs)) else ""
+    found = ""
+    for m in NAMES.findall(attrs):
+        for token in "".join(m).lower().split():
+            parts = [x for x in SPLIT_NAME.split(token) if x]
+            known = AROUND_NAMES.intersection(parts)
+            if known and len(known) == len(set(parts)):
+                return "name"
+            if known:
+                found = "doubtful"
+    return found
 
 
 class Surroundings:
     """Elements around an article, each numbered behind those that hold it; 0 is the page."""
 
     def __init__(self):
-        self.marks, self.outer = ["page"], [0]
+        self.marks, self.outer, self.released = ["page"], [0], {0}
+        self.lead: tuple[bool, int] | None = None
 
     def add(self, mark: str, outer: int) -> int:
         self.marks.append(mark)
         self.outer.append(outer)
         return len(self.marks) - 1
 
+    def frame(self, tag: str, at: int) -> None:
+        """Notes the first main, else the first article that only forms and named elements hold."""
+        if self.lead and (self.lead[0] or tag != "main"):
+            return
+        k = at
+        while k and tag != "main" and self.marks[k] in ("form", "name"):
+            k = self.outer[k]
+        if tag == "main" or not k:
+            self.lead = (tag == "main", at)
+
+    def release_lead(self) -> None:
+        k = self.lead[1] if self.lead else 0
+        while k:
+            self.released.add(k)
+            k = self.outer[k]
+
+    def release_most(self, own: list[int], total: int) -> None:
+        """Forms and named elements that hold more than half of the text count no more; own is the text right in each."""
+        held = list(own)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.outer[k]] += held[k]
+            if self.marks[k] in ("form", "name") and 2 * held[k] > total:
+                self.released.add(k)
+
     def covered(self) -> list[bool]:
         out = [False]
         for k in range(1, len(self.marks)):
-            out.append(True)
+            out.append(k not in self.released or out[self.outer[k]])
         return out
 
 
@@ -157,7 +194,9 @@ def lines_of(page: str) -> list[Line]:
             continue
         inside = tag in ("article", "main")
         mark = "" if tag in ("body", "html", "article", "main") or (tag == "header" and article) else _mark(tag, attrs)
-        if tag == "a":
+        if inside:
+            rings.frame(tag, around)
+        elif tag == "a":
             end_link(False)
             link = [] if "href" in attrs.lower() else None
         elif tag == "h1":
@@ -175,7 +214,16 @@ def lines_of(page: str) -> list[Line]:
     end_line()
     end_link(False)
 
+    rings.release_lead()
     covered = rings.covered()
+    if not any(a for _, a, *_ in out):
+        own = [0] * len(covered)
+        for k, (text, _, o, *_) in enumerate(out):
+            own[o] += max(0, len(text) - linked[k])
+        free = [0 if covered[o] else max(0, len(text) - linked[k]) for k, (text, _, o, *_) in enumerate(out)]
+        if max(_blocks(free, WINDOW), default=0) < SURGE:
+            rings.release_most(own, sum(own))
+            covered = rings.covered()
     return [Line(text, a, covered[o], d, min(linked[k], len(text)), t) for k, (text, a, o, d, t) in enumerate(out)]
 
 

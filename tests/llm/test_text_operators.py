@@ -293,6 +293,18 @@ def test_html_windows_decide_without_a_frame():
     assert html_text.extract(f"<p><a href=x>never closed<p>{PARAGRAPH}<p>{PARAGRAPH}")[1] >= 2
 
 
+def test_html_names_mark_as_a_whole():
+    """Names with a mark as a part, and elements that hold the article, hide nothing of it."""
+    for name in ("with-sidebar", "layout no-sidebar", "has-fixed-header", "elementor-widget-text", "sidebar", "page comments"):
+        assert html_text.extract(f"<div class='{name}'><article><p>{PARAGRAPH}<p>End.</article></div><div class=ad>Buy</div>")[0] == f"{PARAGRAPH} End."
+        assert html_text.extract(f"<div class='{name}'><p>{PARAGRAPH}<p>{PARAGRAPH}</div><div class=ad>Buy</div>")[0] == f"{PARAGRAPH} {PARAGRAPH}"
+    inner = f"<div class=entry-header><h1>Title</h1><p>By A. Writer</div><p>{PARAGRAPH}<div class=related-work>{PARAGRAPH}</div>"
+    links = "".join(f"<li><a href=/{k}>Other story {k}</a>" for k in range(5))
+    page = f"<form id=aspnetForm><article>{inner}<ul class=related-posts>{links}</ul><div class=cookie-banner>{PARAGRAPH}</div></article><div id=comments><article>{PARAGRAPH} I think.</article></div></form>"
+    assert html_text.extract(page)[0] == f"Title By A. Writer {PARAGRAPH} {PARAGRAPH}"
+    assert html_text.extract(f"<nav><p>Menu<main><p>{PARAGRAPH}</main>")[0] == PARAGRAPH
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
