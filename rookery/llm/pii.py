@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,6 +47,24 @@ PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("name", "", re.compile(rf"(?<!\w)({_TITLE})(?:\.? )((?:{_NAME})(?: (?:{_NAME}))?)")),
 )
 _DIGIT = re.compile(r"\d")
+#: Separators at which a match that isn't valid as a whole may end, by kind.
+CUTS = {"card": re.compile("[ -]"), "iban": re.compile(" "), "phone": re.compile("[ .-]")}
+#: Issuer numbers, and how cards are grouped; parts of a longer run of digits have to look like one.
+_ISSUER = re.compile(r"3[04-9]|[456]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
+_CARD_SHAPE = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+#: Characters of an IBAN by country. Fixed values; other countries have 15 to 34.
+IBAN_CHARS = {k: int(n) for k, n in (x.split(":") for x in (
+    "AD:24 AE:23 AT:20 BE:16 BG:22 BR:29 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GR:27 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 LI:21 LT:20 "
+    "LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 TR:26 UA:29"
+).split())}
+#: Digits of a whole number, least and most, by country code. Fixed values; other codes have 8 to 15.
+PHONE_DIGITS = {
+    "1": (11, 11), "7": (11, 11), "20": (11, 12), "27": (11, 11), "30": (12, 12), "31": (11, 11), "32": (10, 11), "33": (11, 11), "34": (11, 11), "36": (10, 11),
+    "39": (8, 13), "40": (11, 11), "41": (11, 11), "43": (8, 15), "44": (11, 12), "45": (10, 10), "46": (9, 12), "47": (10, 10), "48": (11, 11), "49": (8, 13),
+    "51": (10, 11), "52": (12, 13), "54": (12, 13), "55": (12, 13), "56": (11, 11), "57": (12, 12), "58": (12, 12), "60": (10, 12), "61": (11, 11), "62": (10, 14),
+    "63": (11, 12), "64": (10, 12), "65": (10, 10), "66": (10, 11), "81": (11, 12), "82": (10, 12), "84": (11, 12), "86": (12, 13), "90": (12, 12), "91": (12, 12),
+    "92": (11, 12), "98": (12, 12), "351": (12, 12), "353": (10, 12), "380": (12, 12), "420": (12, 12), "421": (12, 12), "852": (11, 11), "971": (11, 12), "972": (11, 12),
+}
 _TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})\.? ")
 
 
@@ -90,6 +109,38 @@ def _valid(kind: str, surface: str) -> str | None:
     return surface.lower() if kind == "email" else surface if kind == "ip" else plain
 
 
+def _plausible(kind: str, surface: str) -> bool:
+    """Whether a part of a match may be the entity, by what its kind has besides check digits."""
+    plain = re.sub(r"[^A-Za-z0-9]", "", surface)
+    if kind == "card":
+        return 13 <= len(plain) <= 19 and bool(_ISSUER.match(plain))
+    if kind == "phone":
+        least, most = next((PHONE_DIGITS[plain[:n]] for n in (1, 2, 3) if plain[:n] in PHONE_DIGITS), (8, 15)) if surface[0] == "+" else (10, 10)
+        return least <= len(plain) <= most
+    return len(plain) == IBAN_CHARS.get(plain[:2], len(plain))
+
+
+def _accepted(kind: str, surface: str, free: Callable[[int], bool], inside: bool) -> tuple[int, str] | None:
+    """Length and key of the entity that surface begins with.
+
+    That is the whole of it or, where a neighbouring number or word was matched with it, a part
+    that ends at a separator: the longest valid one, grouped cards and lengths that are known first. free says whether a length overlaps nothing; inside, whether the match starts within one that failed.
+    """
+    whole = len(surface)
+    ends = [whole, *sorted((m.start() for m in CUTS[kind].finditer(surface)), reverse=True)] if kind in CUTS else [whole]
+    tries = [n for n in ends if n == whole or _plausible(kind, surface[:n])]
+    if kind == "card":
+        shaped = [n for n in tries if _CARD_SHAPE.fullmatch(surface[:n]) and _ISSUER.match(surface)]
+        tries = shaped if inside else shaped + [n for n in tries if n not in shaped]
+    elif kind in CUTS:
+        tries.sort(key=lambda n: not _plausible(kind, surface[:n]))
+    for n in tries:
+        key = _valid(kind, surface[:n])
+        if key is not None and free(n):
+            return n, key
+    return None
+
+
 def find_entities(text: str | None) -> list[Entity]:
     """Entities of a text in order, without overlap."""
     if not text:
@@ -99,17 +150,21 @@ def find_entities(text: str | None) -> list[Entity]:
     for kind, hint, pattern in PATTERNS:
         if (hint and hint not in text) or (kind not in ("email", "name") and not digits) or (kind == "name" and not _TITLED.search(text)):
             continue
-        for m in pattern.finditer(text):
-            if kind == "name":
-                at = m.start(2)
-                for word in m[2].split(" "):
-                    if not any(a < at + len(word) and at < b for a, b in taken):
-                        found.append(Entity(at, at + len(word), f"name/{_GENDER[m[1]]}/{script_of(word)}", word.casefold(), word))
-                    at += len(word) + 1
-                continue
-            key = _valid(kind, m[0])
-            if key is not None and not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append(Entity(m.start(), m.end(), kind, key, m[0]))
+        for m in pattern.finditer(text) if kind == "name" else ():
+            at = m.start(2)
+            for word in m[2].split(" "):
+                if not any(a < at + len(word) and at < b for a, b in taken):
+                    found.append(Entity(at, at + len(word), f"name/{_GENDER[m[1]]}/{script_of(word)}", word.casefold(), word))
+                at += len(word) + 1
+        at = failed = 0
+        while kind != "name" and (m := pattern.search(text, at)):
+            start = m.start()
+            done = _accepted(kind, m[0], lambda n, s=start: not any(a < s + n and s < b for a, b in taken), start < failed)
+            if done:
+                at = start + done[0]
+                found.append(Entity(start, at, kind, done[1], text[start:at]))
+            else:
+                at, failed = (start + 1, max(failed, m.end())) if kind in CUTS else (m.end(), 0)
         taken = [(e.start, e.end) for e in found]
     return sorted(found, key=lambda e: e.start)
 

@@ -160,6 +160,23 @@ def test_pii():
     assert pii.replace(None, b"k", {}) == (None, []) and pii.replace("clean 12345 text v1.2", b"k", {}) == ("clean 12345 text v1.2", [])
 
 
+def test_pii_neighbouring_numbers():
+    """A number or word beside an entity neither hides it nor goes with it."""
+    card, iban, phone = "4524132264652876", "ES91 2100 0418 4502 0005 1332", "+1 (269) 555-3296"
+    found = lambda t: [(e.kind, e.surface) for e in pii.find_entities(t)]
+    for t in (f"{card} 12/27", f"{card} 123", f"123 {card} 12", f"{card}-12/27", f"{card} 10.0", f"id 12 {card}."):
+        assert found(t) == [("card", card)], t
+    assert found("4524 1322 6465 2876 12/27") == [("card", "4524 1322 6465 2876")]
+    assert found(f"{card} {card} 99") == [("card", card)] * 2
+    for t in (f"{iban} PAGO", f"{iban} PAGO HOY", f"AB12 {iban} X", iban.replace(" ", "") + " PAGO"):
+        assert [(k, x.replace(" ", "")) for k, x in found(t)] == [("iban", iban.replace(" ", ""))], t
+    for t in (phone, f"{phone} 2024", f"{phone} 2024 17", f"call {phone} 12."):
+        assert found(t) == [("phone", phone)], t
+    assert found("+44 20 7946 0958 2024") == [("phone", "+44 20 7946 0958")]
+    assert pii.replace(f"{phone} 2024", b"k", {})[0] == pii.replace(phone, b"k", {})[0] + " 2024"
+    assert found("years 2019 2020 2021 2022 2023 2024 2025 2026 2027 2028") == []
+
+
 def test_pii_collisions(spark):
     """Short local parts collide; in the end no two entities share a surrogate and none is a real one."""
     rows = [(i, f"write to {chr(97 + i % 26)}@z.org and {chr(97 + i // 26)}{chr(97 + i % 26)}@z.org") for i in range(120)]
