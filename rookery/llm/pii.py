@@ -34,6 +34,8 @@ SYLLABLES = {
 _TITLE = "|".join(sorted((re.escape(t) for v in TITLES.values() for t in v), key=len, reverse=True))
 _GENDER = {t: g for g, v in TITLES.items() for t in v}
 _NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+"
+#: Titles without gender may stand between another title and the name.
+_RANK = "|".join(re.escape(t) for t in TITLES["x"])
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: In order of precedence: an entity never overlaps one of an earlier kind. A text without the hint has none.
@@ -44,7 +46,7 @@ PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", "-", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")),
     ("phone", "", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])|(?<![\w.+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
-    ("name", "", re.compile(rf"(?<!\w)({_TITLE})(?:\.? )((?:{_NAME})(?: (?:{_NAME}))?)")),
+    ("name", "", re.compile(rf"(?<!\w)({_TITLE})\.? (?:(?:{_RANK})\.? )*((?!(?:{_RANK})(?!\w))(?:{_NAME})(?: (?:{_NAME}))?)")),
 )
 _DIGIT = re.compile(r"\d")
 #: Separators at which a match that isn't valid as a whole may end, by kind.
@@ -65,6 +67,8 @@ PHONE_DIGITS = {
     "63": (11, 12), "64": (10, 12), "65": (10, 10), "66": (10, 11), "81": (11, 12), "82": (10, 12), "84": (11, 12), "86": (12, 13), "90": (12, 12), "91": (12, 12),
     "92": (11, 12), "98": (12, 12), "351": (12, 12), "353": (10, 12), "380": (12, 12), "420": (12, 12), "421": (12, 12), "852": (11, 11), "971": (11, 12), "972": (11, 12),
 }
+_WORD = re.compile(r"[^\W\d_]+")
+_BARE = re.compile(_NAME)
 _TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})\.? ")
 
 
@@ -141,6 +145,32 @@ def _accepted(kind: str, surface: str, free: Callable[[int], bool], inside: bool
     return None
 
 
+def _names(text: str, pattern: re.Pattern, taken: list[tuple[int, int]]) -> list[Entity]:
+    """Every mention, with a title or bare, of the words that stand behind a title somewhere in the text.
+
+    A word has the gender of its titles in the text; x, if they differ or none has one. A bare mention
+    is the whole word with a capital.
+    """
+    genders: dict[str, set[str]] = {}
+    starts: set[int] = set()
+    for m in pattern.finditer(text):
+        at = m.start(2)
+        for word in m[2].split(" "):
+            if not any(a < at + len(word) and at < b for a, b in taken):
+                genders.setdefault(word.casefold(), set()).update({_GENDER[m[1]]} - {"x"})
+                starts.add(at)
+            at += len(word) + 1
+    found = []
+    if not genders:
+        return found
+    for m in _WORD.finditer(text):
+        key = m[0].casefold()
+        if key in genders and (m.start() in starts or _BARE.match(m[0])) and not any(a < m.end() and m.start() < b for a, b in taken):
+            gender = next(iter(genders[key])) if len(genders[key]) == 1 else "x"
+            found.append(Entity(m.start(), m.end(), f"name/{gender}/{script_of(m[0])}", key, m[0]))
+    return found
+
+
 def find_entities(text: str | None) -> list[Entity]:
     """Entities of a text in order, without overlap."""
     if not text:
@@ -150,14 +180,11 @@ def find_entities(text: str | None) -> list[Entity]:
     for kind, hint, pattern in PATTERNS:
         if (hint and hint not in text) or (kind not in ("email", "name") and not digits) or (kind == "name" and not _TITLED.search(text)):
             continue
-        for m in pattern.finditer(text) if kind == "name" else ():
-            at = m.start(2)
-            for word in m[2].split(" "):
-                if not any(a < at + len(word) and at < b for a, b in taken):
-                    found.append(Entity(at, at + len(word), f"name/{_GENDER[m[1]]}/{script_of(word)}", word.casefold(), word))
-                at += len(word) + 1
+        if kind == "name":
+            found += _names(text, pattern, taken)
+            continue
         at = failed = 0
-        while kind != "name" and (m := pattern.search(text, at)):
+        while m := pattern.search(text, at):
             start = m.start()
             done = _accepted(kind, m[0], lambda n, s=start: not any(a < s + n and s < b for a, b in taken), start < failed)
             if done:
@@ -238,13 +265,18 @@ def pour(surface: str, kind: str, new: str) -> str:
     return "".join(next(chars) if c.isalnum() else c for c in surface)
 
 
-def replace(text: str | None, secret: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[dict]]:
+def _surrogate(e: Entity, secret: bytes, attempts: dict[tuple[str, str], tuple[str, int]]) -> str:
+    kind, attempt = attempts.get((e.kind, e.key), (e.kind, 0))
+    return surrogate_key(kind, e.key, secret, attempt)
+
+
+def replace(text: str | None, secret: bytes, attempts: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, list[dict]]:
     """The text with surrogates, and its entities with the offsets they have in it before."""
     if text is None:
         return None, []
     out, at, listed = [], 0, []
     for e in find_entities(text):
-        new = pour(e.surface, e.kind, surrogate_key(e.kind, e.key, secret, attempts.get((e.kind, e.key), 0)))
+        new = pour(e.surface, e.kind, _surrogate(e, secret, attempts))
         out += [text[at : e.start], new]
         at = e.end
         listed.append({"kind": e.kind, "start": e.start, "end": e.end, "surrogate": new})
@@ -276,15 +308,30 @@ def _with_surrogates(entities: DataFrame, secret: bytes) -> DataFrame:
     return entities.mapInArrow(run, "kind string, key string, attempt int, new string")
 
 
+def one_kind(entities: DataFrame) -> DataFrame:
+    """kind, key and use of distinct entities. use is the kind whose surrogate serves: for names, with the
+    gender all texts agree on, so that a word has one surrogate in all of them."""
+    part = lambda n: F.split_part("kind", F.lit("/"), F.lit(n))
+    named = F.col("kind").startswith("name/")
+    of = lambda g: F.max(F.coalesce(named & (part(2) == g), F.lit(False))).alias(g)
+    words = entities.groupBy("key", F.when(named, F.concat(F.lit("name/"), part(3))).otherwise(F.col("kind")).alias("group")).agg(*map(of, "mfx"))
+    name = lambda g: F.concat(F.lit("name/"), g, F.substring("group", 5, 100))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("x")
+    kinds = F.filter(F.array(*(F.when(F.col(g), name(F.lit(g))) for g in "mfx")), lambda k: k.isNotNull())
+    is_name = F.col("group").startswith("name/")
+    return words.select("key", F.when(is_name, name(gender)).otherwise(F.col("group")).alias("use"), F.explode(F.when(is_name, kinds).otherwise(F.array("group"))).alias("kind")).select("kind", "key", "use")
+
+
 def settle_collisions(entities: DataFrame, secret: bytes) -> DataFrame:
-    """kind, key and attempt of the entities whose first surrogate doesn't serve.
+    """kind, key, use and attempt of the entities whose own first surrogate doesn't serve.
 
     A surrogate doesn't serve if another entity of its kind has it (the smallest key keeps
     it) or if it is a real entity itself. Those entities try again until none collides. Names
-    count as one kind, whatever their gender.
+    count as one kind, whatever their gender, and a name has the surrogate of one_kind().
     """
     group = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
-    real = settled(entities.select("kind", "key").distinct().withColumn("g", group))
+    ways = settled(one_kind(entities))
+    real = ways.select(F.col("use").alias("kind"), "key").distinct().withColumn("g", group)
     taken, open_rows = None, real.select("kind", "key", F.lit(0).cast("int").alias("attempt"))
     changed = None
     while True:
@@ -300,17 +347,18 @@ def settle_collisions(entities: DataFrame, secret: bytes) -> DataFrame:
         changed = later if changed is None else changed.union(later)
         open_rows = settled(tried.join(good, ["kind", "key"], "left_anti").select("kind", "key", (F.col("attempt") + 1).alias("attempt")))
         if open_rows.isEmpty():
-            return changed
+            own = ways.join(changed.withColumnRenamed("kind", "use"), ["use", "key"], "left")
+            return own.filter("attempt IS NOT NULL OR kind != use").select("kind", "key", "use", F.coalesce("attempt", F.lit(0)).alias("attempt"))
 
 
 def _with_attempts(d: DataFrame, secret: bytes):
-    """d with the column _own, and a broadcast: attempts of entities that collided, in the one or in the other."""
+    """d with the column _own, and a broadcast: kinds and attempts of the surrogates that aren't the first of an entity's own kind, in the one or in the other."""
     changed = settled(settle_collisions(entities_of(d).select("kind", "key"), secret))
     context = d.sparkSession.sparkContext
     if changed.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES:
-        few = {(r["kind"], r["key"]): r["attempt"] for r in changed.collect()}
-        return d.withColumn("_own", F.lit(None).cast("array<struct<kind:string,key:string,attempt:int>>")), context.broadcast(few)
-    own = entities_of(d).distinct().join(changed, ["kind", "key"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("kind", "key", "attempt")).alias("_own"))
+        few = {(r["kind"], r["key"]): (r["use"], r["attempt"]) for r in changed.collect()}
+        return d.withColumn("_own", F.lit(None).cast("array<struct<kind:string,key:string,use:string,attempt:int>>")), context.broadcast(few)
+    own = entities_of(d).distinct().join(changed, ["kind", "key"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("kind", "key", "use", "attempt")).alias("_own"))
     return d.join(own, d["doc_id"].eqNullSafe(own["_id"]), "left").drop("_id"), context.broadcast({})
 
 
@@ -329,8 +377,8 @@ def rewrite(docs: DataFrame, secret: bytes) -> DataFrame:
     return d.mapInArrow(run, docs.schema)
 
 
-def _attempts(own, shared: dict) -> dict[tuple[str, str], int]:
-    return {(x["kind"], x["key"]): x["attempt"] for x in own} if own else shared
+def _attempts(own, shared: dict) -> dict[tuple[str, str], tuple[str, int]]:
+    return {(x["kind"], x["key"]): (x["use"], x["attempt"]) for x in own} if own else shared
 
 
 def pseudonymize(docs: DataFrame, secret: bytes) -> DataFrame:
@@ -338,7 +386,7 @@ def pseudonymize(docs: DataFrame, secret: bytes) -> DataFrame:
 
     One entity has one surrogate in the whole corpus, however it is written, and no two share one.
     Surrogates keep digits, letters, separators and case; cards and IBANs stay valid; names
-    keep gender and script. Null texts stay null; empty texts and texts without entities are
+    keep script, and the gender of their titles where all texts agree on it. Null texts stay null; empty texts and texts without entities are
     left alone; repeated rows are each rewritten, alike; an empty table gives an empty result;
     extra columns are ignored.
     """

@@ -177,6 +177,28 @@ def test_pii_neighbouring_numbers():
     assert found("years 2019 2020 2021 2022 2023 2024 2025 2026 2027 2028") == []
 
 
+def test_pii_names_stay_one_entity(spark, monkeypatch):
+    """Titles of any gender and bare mentions give a name one surrogate, in its text and in all texts."""
+    rows = [(1, "Smith came. Mr John Smith said so. SMITH'S dog and John's cat; a smith, Smithers."), (2, "Dr Weber met Prof. Dr. Smith. Weber left."), (3, "Frau Weber ist da, sagt Weber."), (4, "Herr Weber und Frau Kim"), (5, "Mr Kim"), (6, "Dr Kim, Г-жа Иванова и Доктор Иванова")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def check():
+        seen = {}
+        for r in pii.pseudonymize(d, b"secret").collect():
+            for e in r.entities:
+                seen.setdefault(rows[r.doc_id - 1][1][e.start : e.end].casefold(), []).append((r.doc_id, e.kind, e.surrogate.casefold()))
+            assert not re.search(r"\b(Smith|SMITH|John|Weber|Kim|Иванова)\b", r.text)
+        assert {k: len(v) for k, v in seen.items()} == {"smith": 4, "john": 2, "weber": 5, "kim": 3, "иванова": 2}
+        assert all(len({x for _, _, x in v}) == 1 for v in seen.values()) and len({v[0][2] for v in seen.values()}) == 5
+        assert {k for _, k, _ in seen["smith"]} == {"name/m/latin", "name/x/latin"} and {k for _, k, _ in seen["иванова"]} == {"name/f/cyrillic"}
+        assert seen["smith"][0][2] == pii.surrogate_key("name/m/latin", "smith", b"secret") and seen["weber"][0][2] == pii.surrogate_key("name/x/latin", "weber", b"secret")
+        assert "a smith, Smithers." in pii.rewrite(d, b"secret").filter("doc_id = 1").first().text
+
+    check()
+    monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)
+    check()
+
+
 def test_pii_collisions(spark):
     """Short local parts collide; in the end no two entities share a surrogate and none is a real one."""
     rows = [(i, f"write to {chr(97 + i % 26)}@z.org and {chr(97 + i // 26)}{chr(97 + i % 26)}@z.org") for i in range(120)]
