@@ -26,12 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8 or more."""
-    found = settled(dedup.near_duplicates(docs, k=5, threshold=80))
-    kept = _without(docs, found.filter(~F.col("kept")))
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # Repeated rows of one id: one of them stays.
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+    found = settled(dedup.near_duplicate_rows(docs, k=5, threshold=80))
+    dropped = found.filter(~F.col("kept"))
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return _without(docs, dropped)
+    # Several rows of one id: of equal or linked texts one stays, others each for itself.
+    repeated = settled(repeated)
+    own = dedup.with_sets(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), k=5)
+    own = own.join(dropped.select("doc_id", "set_key").distinct(), ["doc_id", "set_key"], "left_anti").withColumn("_empty", F.when(F.col("set_key").isNull(), F.col("text")))
+    return _without(_without(docs, repeated), dropped).unionByName(own.dropDuplicates(["doc_id", "set_key", "_empty"]).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

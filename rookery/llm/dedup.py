@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, k: int, banding: Banding) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc_id and the full set of each wanted (doc_id, set_key), computed again from the text.
+    """rep and the full set of each wanted (rep, doc_id, set_key), computed again from the text.
 
     The wanted ids go to the scan by broadcast if they are few; else both sides are shuffled.
     """
@@ -119,7 +119,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     found = d.mapInArrow(run, f"doc_id {kind}, set_key binary, s array<long>")
     # A doc_id on several rows: the row whose set is meant, once.
-    return found.join(wanted, ["doc_id", "set_key"], "left_semi").groupBy("doc_id").agg(F.first("s").alias("s"))
+    return found.join(wanted, ["doc_id", "set_key"]).groupBy("rep").agg(F.first("s").alias("s"))
+
+
+def _wanted(classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, doc_id and set_key of the classes with these representatives."""
+    own = F.col("rep.doc_id") if classes.schema["rep"].dataType.typeName() == "struct" else F.col("rep")
+    return settled(classes.select("rep", own.alias("doc_id"), "set_key").join(reps, "rep", "left_semi"))
 
 
 def _could_reach(n: Column, m: Column, threshold: int) -> Column:
@@ -129,10 +135,8 @@ def _could_reach(n: Column, m: Column, threshold: int) -> Column:
 
 def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """Those pairs (x, y) of class representatives whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    wanted = settled(classes.select(F.col("rep").alias("doc_id"), "set_key").join(ids, "doc_id", "left_semi"))
-    sets = settled(full_sets(docs, wanted, k))
-    both = pairs.select("x", "y").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("t")), "y").join(sets.select(F.col("doc_id").alias("x"), "s"), "x")
+    sets = settled(full_sets(docs, _wanted(classes, pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()), k))
+    both = pairs.select("x", "y").join(sets.select(F.col("rep").alias("y"), F.col("s").alias("t")), "y").join(sets.select(F.col("rep").alias("x"), "s"), "x")
     common = F.size(F.array_intersect("s", "t")).cast("long")
     union = F.size("s") + F.size("t") - common
     return both.filter(100 * common >= threshold * union).select("x", "y")
@@ -152,13 +156,12 @@ def prefixes(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, thr
     count of a shingle's slot in a table of SLOTS counts, over the wanted classes; that table's
     size is fixed, so it is broadcast.
     """
-    ids = settled(classes.select(F.col("rep").alias("doc_id"), "set_key").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    sets = settled(full_sets(docs, ids, k))
+    sets = settled(full_sets(docs, _wanted(classes, wanted.select("rep")), k))
     counts = np.zeros(SLOTS, dtype=np.int64)
     got = sets.select(F.explode("s").alias("x")).groupBy(F.pmod("x", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")).toArrow()
     counts[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
     order = docs.sparkSession.sparkContext.broadcast(counts)
-    kind = sets.schema["doc_id"].dataType.simpleString()
+    kind = sets.schema["rep"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -170,7 +173,7 @@ def prefixes(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, thr
                 at.append(np.full(len(keys[-1]), row))
                 places.append(np.arange(len(keys[-1])))
             if at:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["rep", "key", "i"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["rep", "key", "i"])
 
     return sets.mapInArrow(run, f"rep {kind}, key long, i long")
 
@@ -194,7 +197,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, banding: Banding = Banding()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id is component_id) of every row.
+    """doc_id, n_shingles, component_id and kept (doc_id is component_id, and the set is that of its smallest class where
+    the id has several linked ones) of every row.
 
     Words are runs of anything but ASCII white space, ASCII case folded. A set is a text's
     distinct k-word shingles; with fewer words, the whole sequence. Documents are linked if 100 *
@@ -213,9 +217,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, banding: B
     their sets are. Rows without doc_id take part in no link but that of equal sets. An empty table gives an empty
     result; extra columns are ignored.
     """
+    return near_duplicate_rows(docs, k, threshold, banding).drop("set_key")
+
+
+def with_sets(docs: DataFrame, k: int) -> DataFrame:
+    """docs with set_key as in near_duplicate_rows()."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(x, k) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())], [*b.schema.names, "set_key"])
+
+    return docs.mapInArrow(run, docs.withColumn("set_key", F.lit(None).cast("binary")).schema)
+
+
+def near_duplicate_rows(docs: DataFrame, k: int = 5, threshold: int = 80, banding: Banding = Banding()) -> DataFrame:
+    """near_duplicates() with set_key, null for empty sets, by which rows of one doc_id differ."""
     signed = settled(signatures(docs, k, banding))
     filled = signed.filter("n > 0")
     classes = settled(filled.filter("doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "a", "b")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), "m.n", "m.a", "m.b"))
+    shared_ids = not classes.groupBy("rep").count().filter("count > 1").isEmpty()
+    if shared_ids:
+        # A doc_id stands for several classes: each is a node of its own.
+        classes = settled(classes.withColumn("rep", F.struct(F.col("rep").alias("doc_id"), "set_key")))
     table_keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, x, j, y))))
     keys = classes.select("rep", "n", F.posexplode(table_keys).alias("t", "key"))
     leaders = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.max("rep").alias("last")).filter("leader.rep < last").select("key", "leader")
@@ -258,5 +282,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, banding: B
 
     homes = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("home"))
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(homes, "set_key", "left")
-    component = F.coalesce("home", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.coalesce("home.doc_id" if shared_ids else "home", "doc_id")
+    kept = F.col("doc_id").eqNullSafe(component)
+    if shared_ids:
+        kept = kept & F.coalesce(F.col("home.set_key") == F.col("set_key"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "set_key")

@@ -146,6 +146,23 @@ def test_prefix_stage_misses_nothing(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in got.collect()} == want
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Texts that share a doc_id are documents of their own."""
+    import corpus_pipeline as cp
+
+    w = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = lambda c: w[c] + " tail"
+    rows = [(7, w["a"]), (7, w["b"]), (3, w["b"]), (1, w["c"]), (1, w["d"]), (2, near("d")), (1, near("c")), (9, near("a")), (9, near("a")), (5, None), (5, ""), (5, ""), (None, "no id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(d, k=2).filter("doc_id is not null").collect())
+    assert got == sorted([(7, 7, True), (7, 3, False), (3, 3, True), (1, 1, True), (1, 1, True), (2, 1, False), (1, 1, False), (9, 7, False), (9, 7, False), (5, 5, True), (5, 5, True), (5, 5, True)])
+    kept = cp.near_dedup(spark, d, "")
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    one_c = [x for x in out if x in [(1, w["c"]), (1, near("c"))]]
+    assert kept.columns == d.columns and len(one_c) == 1
+    assert sorted((x for x in out if x not in one_c), key=str) == sorted([(7, w["a"]), (3, w["b"]), (1, w["d"]), (5, None), (5, ""), (None, "no id")], key=str)
+
+
 def test_pii():
     t = "Dear Mr. John Smith, mail JOE@Mail.com or joe@mail.com, +1 (269) 555-3296, card 4524132264652876, DE89 3704 0044 0532 0130 00, 10.0.0.1, 123-45-6789. Г-жа Иванова"
     new, found = pii.replace(t, b"k", {})
