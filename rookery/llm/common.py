@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +29,49 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the session names none (tests, a laptop)."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about that many bytes of one string column, so that few Python strings live at a time."""
+    for b in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0)))
+        cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if end > start or not b.num_rows:
+                yield b.slice(start, end - start)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the one spark.checkpoint.dir names, or the session's checkpoint folder.
+
+    Only a session within one process (tests, a laptop) gets a temporary folder of this machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rookery-checkpoints-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rookery-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written once to the shared folder as Parquet; later reads survive lost executors and start there."""
+    path = f"{shared_dir(df.sparkSession)}/rookery-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder; later reads survive lost executors and start there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that settled() wrote and that nothing will read any more."""
+    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        if "/rookery-" in path:
+            hadoop = tables[0].sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
