@@ -2,40 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rookery.llm import decontam, dedup, packing, pii, quality
-from rookery.llm.common import settled, shared_dir, table
+from rookery.llm.common import settled, table
 from rookery.llm.queries import PII_SECRET, vocabulary
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows of dropped ids; rows without an id stay. The ids are broadcast if they are few."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    few = gone.limit(dedup.BROADCAST_IDS + 1).count() <= dedup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more."""
-    found = settled(dedup.near_duplicate_rows(docs, k=5, threshold=80))
-    dropped = found.filter(~F.col("kept"))
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return _without(docs, dropped)
-    # Several rows of one id: of equal or linked texts one stays, others each for itself.
-    repeated = settled(repeated)
-    own = dedup.with_sets(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), k=5)
-    own = own.join(dropped.select("doc_id", "set_key").distinct(), ["doc_id", "set_key"], "left_anti").withColumn("_empty", F.when(F.col("set_key").isNull(), F.col("text")))
-    return _without(_without(docs, repeated), dropped).unionByName(own.dropDuplicates(["doc_id", "set_key", "_empty"]).select(docs.columns))
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
+
+    Rows go by doc_id and text, so texts that share an id, and rows without one, are judged each for itself; null and
+    empty texts stay, as does one of several equal rows. An empty table stays empty.
+    """
+    return dedup.survivors(docs, k=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,13 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df by way of a Parquet table in the shared checkpoint folder."""
-    shared_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
