@@ -1,4 +1,4 @@
-"""Harmonic packing: every piece belongs to a class of capacity / k tokens, k pieces of which fill a sequence."""
+"""Harmonic packing: a document of at most capacity / k tokens, but more than capacity / (k + 1), is one of k in a sequence."""
 
 from __future__ import annotations
 
@@ -12,10 +12,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rookery.llm.common import texts
+from rookery.llm.common import sliced, texts
 
-#: Words that a worker remembers, twice: the ones since the last change and those before.
-MEMORY = 500_000
+#: Bytes of words and ids that a task remembers, twice: since the last change and before; ENTRY is what an entry takes besides.
+MEMORY = 24 << 20
+ENTRY = 180
+#: Longest word that is remembered.
+LONG = 256
+#: Bytes of ids in an output batch.
+OUT_BYTES = 8 << 20
 
 
 #: Chunks that need no library: ASCII without "'" and "<", and Latin-1 letters, which are composed and have
@@ -52,8 +57,13 @@ class WordCoder:
         self.core = self.model.model  # one object: each access copies
         self.merge = self.core.tokenize
         self.spelled = [i.to_bytes(4, "little") for i in range(self.model.get_vocab_size(with_added_tokens=True))]
+        self.forget()
+
+    def forget(self) -> None:
+        """Leaves nothing in a worker that waits for its next task."""
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _drops_blanks(spec: dict) -> bool:
@@ -90,18 +100,26 @@ class WordCoder:
         if not self.chunked:
             return self._whole(text)
         words = text.encode().split()
-        young = self.young
         try:
-            return b"".join(map(young.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
-            new = {w for w in words if w not in young}
-            if len(young) + len(new) > MEMORY:  # frequent words come back from the old ones
-                self.old, self.young = young, {}
-                young, new = self.young, set(words)
-            old = self.old
-            for w in new:
-                young[w] = old.get(w) or self._chunk(w)
-            return b"".join([young[w] for w in words])
+            once: dict[bytes, bytes] = {}
+            for w in set(words):
+                if w not in self.young:
+                    self._remember(w, once)
+            young = self.young
+            return b"".join([young[w] if w in young else once[w] if w in once else self._chunk(w) for w in words])
+
+    def _remember(self, w: bytes, once: dict[bytes, bytes]) -> None:
+        """Frequent words come back from the old ones; long ones are kept for this text only."""
+        ids = self.old.get(w) or self._chunk(w)
+        if len(w) > LONG:
+            once[w] = ids
+            return
+        self.held += len(w) + len(ids) + ENTRY
+        if self.held > MEMORY:
+            self.old, self.young, self.held = self.young, {}, len(w) + len(ids) + ENTRY
+        self.young[w] = ids
 
 
 @functools.cache
@@ -109,102 +127,140 @@ def _coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
-def reciprocal_cuts(length: int, capacity: int) -> list[int]:
-    """length as pieces of capacity / k tokens, k a power of two, largest first."""
-    cuts = [capacity] * (length // capacity)
-    rest, part = length % capacity, capacity // 2
-    while rest:
-        if rest >= part:
-            cuts.append(part)
-            rest -= part
-        part //= 2
-    return cuts
-
-
 class Bins:
-    """One worker's open sequences: one for each class, closed when it has its k pieces.
+    """One worker's open sequences: one for each reciprocal class, closed when it has its k documents.
 
-    Ids of sequences are (worker, running number), so no worker needs another one's.
+    The class of a length is k = capacity // length: capacity / (k + 1) < length <= capacity / k. There are about
+    2 * sqrt(capacity) of them, each open in one sequence. A closed sequence waits until its rest is
+    filled, with pieces of a document that is cut for it: one over capacity, or the next one that comes once
+    the rests are worth a whole sequence. Ids of sequences are (worker, running number), so no worker needs another one's.
+
+    Pieces are (doc_id, start, ids, doc_tokens); rows are pieces with sequence_id, offset and class, 0 for none.
     """
 
+    #: Closed sequences that wait at most.
+    WAITING = 64
+
     def __init__(self, worker: int, capacity: int):
         self.base, self.capacity, self.last = worker << 40, capacity, 0
         self.open: dict[int, list] = {}
-
-    def add(self, size: int, piece: tuple) -> Iterator[tuple]:
-        held = self.open.setdefault(size, [])
-        held.append(piece)
-        if len(held) * size == self.capacity:
-            yield from self._close([(size, p) for p in self.open.pop(size)])
-
-    def _close(self, held: list) -> Iterator[tuple]:
-        at, self.last = 0, self.last + 1
-        for size, piece in held:
-            yield (*piece, self.base + self.last - 1, at)
-            at += size
-
-    def rest(self) -> Iterator[tuple]:
-        """The unfilled classes, largest pieces first: sequences of full capacity, then one for
-        each power of two in what is left, so that none needs padding. Every held size divides
-        the ones before it, so each sequence ends exactly on a piece."""
-        held = [(size, p) for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        left = sum(size for size, _ in held)
-        room = min(self.capacity, 1 << max(0, left.bit_length() - 1))
+        self.waiting: list[list] = []  # rest, class, pieces
+        self.room = 0
+
+    def add(self, doc_id, ids: bytes) -> Iterator[tuple]:
+        """Rows of the sequences that a document fills."""
+        total, at, capacity = len(ids) // 4, 0, self.capacity
+        if total > capacity or self.room >= capacity or len(self.waiting) >= self.WAITING:
+            at = yield from self._fill((doc_id, 0, ids, total))
+        while total - at >= capacity:
+            yield from self._emit([(doc_id, at, ids[4 * at : 4 * (at + capacity)], total)], 1)
+            at += capacity
+        if at == total:
+            return
+        k = capacity // (total - at)
+        held = self.open.setdefault(k, [])
+        held.append((doc_id, at, ids[4 * at :], total))
+        if len(held) == k:
+            del self.open[k]
+            rest = capacity - sum(len(p[2]) for p in held) // 4
+            if rest:
+                self.waiting.append([rest, k, held])
+                self.room += rest
+            else:
+                yield from self._emit(held, k)
+
+    def _fill(self, piece: tuple) -> Iterator[tuple]:
+        """Cuts the piece into the rests, largest first, and returns how much of it is gone."""
+        doc_id, start, ids, total = piece
+        at, size = 0, len(ids) // 4
+        self.waiting.sort(key=lambda w: w[0])
+        while self.waiting and at < size:
+            w = self.waiting[-1]
+            cut = min(size - at, w[0])
+            w[2].append((doc_id, start + at, ids[4 * at : 4 * (at + cut)], total))
+            w[0] -= cut
+            at, self.room = at + cut, self.room - cut
+            if not w[0]:
+                self.waiting.pop()
+                yield from self._emit(w[2], w[1])
+        return at
+
+    def _emit(self, held: list, k: int) -> Iterator[tuple]:
+        offset = 0
+        for piece in held:
+            yield (*piece, self.base + self.last, offset, k)
+            offset += len(piece[2]) // 4
+        self.last += 1
+
+    def finish(self) -> Iterator[tuple]:
+        """What is still open: its documents fill the waiting sequences, smallest last; those left follow one another
+        in sequences that end where they are full and, at the end, at powers of two, so that none needs padding."""
+        left = []
+        for piece in sorted((p for held in self.open.values() for p in held), key=lambda p: len(p[2]), reverse=True):
+            at = yield from self._fill(piece)
+            if 4 * at < len(piece[2]):
+                left.append((piece[0], piece[1] + at, piece[2][4 * at :], piece[3]))
+        left += [p for w in self.waiting for p in w[2]]
+        self.open, self.waiting, self.room = {}, [], 0
+        total = sum(len(p[2]) for p in left) // 4
+        room = min(self.capacity, 1 << max(0, total.bit_length() - 1))
         now: list = []
-        for size, piece in held:
-            now.append((size, piece))
-            room -= size
-            if room == 0:
-                left -= sum(s for s, _ in now)
-                yield from self._close(now)
-                now, room = [], min(self.capacity, 1 << max(0, left.bit_length() - 1))
+        for doc_id, start, ids, n in left:
+            while ids:
+                cut = min(len(ids) // 4, room)
+                now.append((doc_id, start, ids[: 4 * cut], n))
+                start, ids, room, total = start + cut, ids[4 * cut :], room - cut, total - cut
+                if not room:
+                    yield from self._emit(now, 0)
+                    now, room = [], min(self.capacity, 1 << max(0, total.bit_length() - 1))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
-    """Pieces of all documents, laid into sequences of at most capacity tokens (a power of two).
+    """Pieces of all documents, laid into sequences of at most capacity tokens.
 
-    A document is its ids and end_id. It is cut into pieces of capacity / k tokens; each
-    partition fills the sequences of each class with k pieces, without any shuffle. Its last
-    sequences are cut at powers of two, so that padding is zero if a sequence of such a length
-    is not padded. Columns: doc_id, start (ids of the document before the piece), length, ids
-    (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    A document is its ids and end_id. Documents of the same reciprocal class fill a sequence, a fixed number to each;
+    what is left of it is filled with a document that is cut for that, as are the ones over capacity. Each
+    partition does so for itself, without any shuffle. Its last sequences are cut at powers of two, so that padding
+    is zero if a sequence of such a length is not padded. Columns: doc_id, start (ids of the document before
+    the piece), length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, docs_of_class (k, or 0
+    for the last sequences of a partition).
 
     Null and empty texts are end_id alone; repeated rows are packed each for itself; an empty
-    table gives an empty result; extra columns are ignored. A worker holds one Arrow batch and,
-    for each of the log2(capacity) classes, fewer pieces than fill one sequence.
+    table gives an empty result; extra columns are ignored. A worker holds one Arrow batch, the ids of one document, and
+    for each class and waiting sequence less than one sequence.
     """
-    if capacity & (capacity - 1):
-        raise ValueError("capacity has to be a power of two")
     d = texts(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         coder, bins = _coder(tokenizer_path), Bins(TaskContext.get().partitionId(), capacity)
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "docs_of_class"]
         id_type = None
+        rows: list[tuple] = []
 
-        def out(rows):
-            cols = list(zip(*rows, strict=True))
-            types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        def out():
+            ids, starts, parts, totals, sequences, offsets, classes = zip(*rows, strict=True)
+            lengths = [len(x) // 4 for x in parts]
+            columns = [pa.array(ids, id_type), *(pa.array(x, t) for x, t in ((starts, pa.int64()), (lengths, pa.int64()), (parts, pa.binary()), (totals, pa.int64()), (sequences, pa.int64()), (offsets, pa.int64()), (classes, pa.int64())))]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
 
-        rows: list[tuple] = []
-        held = 0
-        for b in batches:
-            id_type = b.column("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = coder.encode(text or "") + end
-                total, at = len(ids) // 4, 0
-                for size in reciprocal_cuts(total, capacity):
-                    rows.extend(bins.add(size, (doc_id, at, size, ids[4 * at : 4 * (at + size)], total)))
-                    at += size
-                held += len(ids)
-                if held > 16_000_000 and rows:
-                    yield out(rows)
-                    rows, held = [], 0
-        rows.extend(bins.rest())
-        if rows:
-            yield out(rows)
-
-    return d.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        try:
+            held = 0
+            for b in sliced(batches):
+                id_type = b.column("doc_id").type
+                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                    for row in bins.add(doc_id, coder.encode(text.as_py() or "") + end):
+                        rows.append(row)
+                        held += len(row[2])
+                        if held > OUT_BYTES:
+                            yield out()
+                            held = 0
+            rows.extend(bins.finish())
+            if rows:
+                yield out()
+        finally:
+            coder.forget()
+
+    return d.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, docs_of_class long")

@@ -57,6 +57,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"),
         count("secret").alias("n_secret"), count("endpoint").alias("n_endpoint"),
+        F.concat_ws(",", F.transform(F.filter("spans", lambda x: x["id_start"].isNotNull()), lambda x: F.concat_ws(">", x["start"].cast("string"), x["id_start"].cast("string")))).alias("links"),
     )
 
 
@@ -78,7 +79,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "docs_of_class")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
