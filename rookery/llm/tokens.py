@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import texts
+from rookery.llm.common import sliced, texts
 
-#: Pieces that a worker remembers; older ones are forgotten all at once.
-MEMORY = 400_000
+#: Bytes of pieces that a task remembers, with ENTRY for each; older ones are forgotten all at once.
+MEMORY = 48 << 20
+ENTRY = 150
+#: Longest piece that is remembered.
+LONG = 256
 #: A pre-token: blanks, as pieces spell them, then what follows up to the next blank.
 MARK = "▁"
 PRETOKEN = re.compile(f"{MARK}+[^{MARK}]*")
@@ -51,22 +54,32 @@ class PieceCounter:
             self.known = {x: 1 for x, ids in zip(whole, coded, strict=True) if len(ids) == 1}
             # Words by blanks: the piece of a word is the mark and the word.
             self.known = {x[1:]: n for x, n in self.known.items() if not x.startswith(MARK * 2)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Leaves nothing but the vocabulary in a worker that waits for its next task."""
         self.memory: dict[str, int] = dict(self.known)
+        self.held = 0
 
     @staticmethod
     def _text(pretoken: str) -> str:
         """The text that the model reads as this pre-token; it puts one blank in front itself."""
         return pretoken[1:].replace(MARK, " ")
 
-    def _lookup(self, words: list[str]) -> None:
-        """Merges the words that no vocabulary string settles. "\\nx" stands for a line feed and an x
+    def _lookup(self, words: list[str]) -> int:
+        """Tokens of words, after merging those that no vocabulary string settles. "\\nx" stands for a line feed and an x
         without a blank before; the model's own blank, a token by itself there, is taken off."""
-        new = {x for x in words if x not in self.memory}
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory = dict(self.known)
-            new = {x for x in words if x not in self.memory}
-        for x, ids in zip(new, self.model.encode(list(new), num_threads=1), strict=True):
-            self.memory[x] = len(ids) - (x[:1] == "\n") if x else 1
+        new = list({x for x in words if x not in self.memory})
+        counts = {x: len(ids) - (x[:1] == "\n") if x else 1 for x, ids in zip(new, self.model.encode(new, num_threads=1), strict=True)}
+        memory = self.memory
+        total = sum([memory[x] if x in memory else counts[x] for x in words])
+        for x, n in counts.items():
+            if len(x) <= LONG:
+                self.held += len(x) + ENTRY
+                if self.held > MEMORY:
+                    self.forget()
+                self.memory[x] = n
+        return total
 
     def count(self, text: str) -> int:
         if not text:
@@ -79,8 +92,7 @@ class PieceCounter:
         try:
             return sum(map(self.memory.__getitem__, words))
         except KeyError:
-            self._lookup(words)
-            return sum(map(self.memory.__getitem__, words))
+            return self._lookup(words)
 
 
 @functools.cache
@@ -93,14 +105,18 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     Null and empty texts have no bytes and no tokens. Repeated rows are counted row by row, an
     empty table gives an empty result, extra columns are ignored. model_path must be readable on
-    every executor. A worker holds one Arrow batch, the vocabulary and at most MEMORY pieces.
+    every executor. A worker holds one Arrow batch, the vocabulary and, while
+    a task runs, at most about MEMORY bytes of pieces.
     """
 
     def run(batches):
         counter = _counter(model_path)
-        for b in batches:
-            counts = [counter.count(x or "") for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        try:
+            for b in sliced(batches):
+                counts = [counter.count(x.as_py() or "") for x in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        finally:
+            counter.forget()
 
     d = texts(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     kind = d.schema["doc_id"].dataType.simpleString()
