@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rookery.llm.common import sliced
+
 #: Elements whose content is never text of the page. Fixed values.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "math", "object", "canvas")
 #: Elements that hold what surrounds an article.
@@ -31,14 +33,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag of one of the latter closes an open one of the former.
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 article section nav header footer aside form pre blockquote main hr address fieldset".split()), "li": frozenset(["li"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split())}
 
+#: Attributes up to the end of a tag. A quote opens a value only right behind "="; inside a value without quotes it is a letter.
+_ATTRS = r"(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?+|[^>=])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]|\Z)(?:/>|" + _ATTRS + r"(?:(?<=[\s\"']/)>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 SPLIT_NAME = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 #: Lines of a block, and characters of a surge: more than a line of a menu or notice has, less than a paragraph.
@@ -190,7 +195,7 @@ def lines_of(page: str) -> list[Line]:
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
             pop()
         attrs = m["attrs"] or ""
-        if tag in VOID or attrs.endswith("/"):
+        if tag in VOID or SELF_CLOSED.search(attrs):
             continue
         inside = tag in ("article", "main")
         mark = "" if tag in ("body", "html", "article", "main") or (tag == "header" and article) else _mark(tag, attrs)
@@ -282,8 +287,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
-            found = [extract(x) for x in b.column("html").to_pylist()]
+        for b in sliced(batches, "html"):
+            found = [extract(x.as_py()) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["page_id", "url", "text", "n_chars", "n_blocks"])
 
     d = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
