@@ -26,15 +26,17 @@ _FOUND = " UNION ALL ".join(
     f"SELECT rid, {n} AS kind, {lo} AS lo, {hi} AS hi, unnest(list_slice(string_split_regex(t, '{p}'), 1, len(regexp_extract_all(t, '{p}')))) AS gap, unnest(regexp_extract_all(t, '{p}')) AS whole, unnest(regexp_extract_all(t, '{p}', {g})) AS part, unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d"
     for n, _, p, g, lo, hi in _KINDS
 )
-_NEAR = f"OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN {secrets.SCOPE} PRECEDING AND {secrets.SCOPE} FOLLOWING)"
+_BESIDE = f"((p.stop<=w.start AND w.start-p.stop<={secrets.SCOPE}) OR (p.start>=w.stop AND p.start-w.stop<={secrets.SCOPE}))"
 
 OP6 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,'') AS t FROM documents), f AS MATERIALIZED ({_FOUND}),
 e AS (SELECT *, CAST(SUM(length(gap)+length(whole)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM f),
-s AS (SELECT rid, kind, stop-length(whole) AS start, stop FROM e WHERE length(part) BETWEEN lo AND hi),
-n AS (SELECT *, COUNT(*) FILTER (kind=1) {_NEAR} AS ids, COUNT(*) FILTER (kind IN (0,2,3)) {_NEAR} AS parts FROM s),
-k AS (SELECT *, ['assign','access','hex','secret','endpoint'][kind+1]||':'||start||':'||stop AS txt FROM n WHERE kind<3 OR (kind=3 AND ids>0) OR (kind=4 AND ids>0 AND parts>0)),
-g AS (SELECT rid, COUNT(*) FILTER (kind=0) AS a, COUNT(*) FILTER (kind=1) AS b, COUNT(*) FILTER (kind=2) AS c, COUNT(*) FILTER (kind=3) AS x, COUNT(*) FILTER (kind=4) AS y, string_agg(txt, ',' ORDER BY start, kind) FILTER (kind<3) AS base, string_agg(txt, ',' ORDER BY start, kind) AS spans FROM k GROUP BY 1)
-SELECT doc_id, coalesce(a,0) AS n_assign, coalesce(b,0) AS n_access, coalesce(c,0) AS n_hex, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans, coalesce(x,0) AS n_secret, coalesce(y,0) AS n_endpoint FROM d LEFT JOIN g USING (rid)"""
+s AS MATERIALIZED (SELECT rid, kind, stop-length(whole) AS start, stop FROM e WHERE length(part) BETWEEN lo AND hi),
+a AS (SELECT w.rid, w.kind, w.start, w.stop, arg_min(p.start, 2*(CASE WHEN p.stop<=w.start THEN w.start-p.stop ELSE p.start-w.stop END)+CAST(p.start>w.start AS INT)) AS id FROM s w JOIN s p ON p.rid=w.rid AND p.kind=1 AND w.kind>2 AND {_BESIDE} GROUP BY ALL),
+c AS (SELECT * FROM s WHERE kind IN (0,2,3) AND NOT EXISTS (SELECT 1 FROM s p WHERE p.rid=s.rid AND p.kind=1 AND p.start<s.stop AND p.stop>s.start)),
+q AS (SELECT rid, kind, start, stop, NULL AS id FROM s WHERE kind<3 UNION ALL SELECT * FROM a w WHERE kind=3 OR EXISTS (SELECT 1 FROM c p WHERE p.rid=w.rid AND {_BESIDE})),
+k AS (SELECT *, ['assign','access','hex','secret','endpoint'][kind+1]||':'||start||':'||stop AS txt FROM q),
+g AS (SELECT rid, COUNT(*) FILTER (kind=0) AS a, COUNT(*) FILTER (kind=1) AS b, COUNT(*) FILTER (kind=2) AS c, COUNT(*) FILTER (kind=3) AS x, COUNT(*) FILTER (kind=4) AS y, string_agg(txt, ',' ORDER BY start, kind) FILTER (kind<3) AS base, string_agg(txt, ',' ORDER BY start, kind) AS spans, string_agg(start||'>'||id, ',' ORDER BY start, kind) FILTER (kind>2) AS links FROM k GROUP BY 1)
+SELECT doc_id, coalesce(a,0) AS n_assign, coalesce(b,0) AS n_access, coalesce(c,0) AS n_hex, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans, coalesce(x,0) AS n_secret, coalesce(y,0) AS n_endpoint, coalesce(links,'') AS links FROM d LEFT JOIN g USING (rid)"""
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 OP7 = f"""WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations

@@ -38,7 +38,7 @@ WEAK = (
     Kind("endpoint", r"(https?://[A-Za-z0-9.-]+)", 1, 10, 1 << 30, "AKIA[A-Z0-9]{14}"),
 )
 KINDS = BASE + WEAK
-#: Code points between the starts of parts that belong together.
+#: Code points between the parts of one credential: from the end of the one to the start of the other, at most.
 SCOPE = 256
 
 
@@ -56,12 +56,16 @@ def _matches(text: Column, order: int, k: Kind) -> Column:
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id and spans, array of (start, kind number in KINDS, end), ordered; code points, end exclusive.
+    """doc_id and spans, array of (start, kind number in KINDS, end, id_start), ordered; code points, end exclusive.
 
-    Base spans always stay. A weak secret is listed if an access identifier starts within scope of
-    its start; an endpoint if an access identifier and a secret, an assignment or a hex run do. That interval
-    join is a range frame over the spans of a row, ordered by start: a frame holds no more than scope
-    characters can, however long the text, and no pair is ever written out.
+    Base spans always stay. A weak secret is listed if an access identifier lies within its scope: beside it,
+    at most scope code points away. An endpoint is listed if both an access identifier and a
+    secret do; that may be a weak secret, an assignment or a hex run, but none that overlaps an identifier. So no part
+    is its own complement: parts of a credential never overlap. id_start is where the identifier starts
+    that a weak span goes with, the nearest one, of two equally near the earlier; null for base spans.
+
+    That interval join is a range frame on either side over the spans of a row: parts in the order of their ends
+    before the span's start, in the order of their starts behind its end. No pair is ever written out.
 
     Null and empty texts have no spans. Every input row gives one row, repeated rows too; an
     empty table gives an empty result; extra columns are ignored. Texts do not leave the scan:
@@ -73,16 +77,28 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     d = d.select("row", "doc_id", F.explode_outer(F.concat(*found)).alias("m")).select("row", "doc_id", "m.*")
     # Where a match ends: all that stands up to it, summed over the matches of its kind.
     upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
     least, most = (F.create_map(*[F.lit(x) for n, k in enumerate(KINDS) for x in (n, getattr(k, side))])[F.col("kind")] for side in ("least", "most"))
     d = d.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("all")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("all"))
-    d = d.filter(F.col("kind").isNull() | F.col("part").between(least, most) | (F.col("i") == 0))
-    real = F.col("part").between(least, most)
-    counted = lambda *names: F.sum(F.when(real & F.col("kind").isin([n for n, k in enumerate(KINDS) if k.name in names]), 1).otherwise(0)).over(near)
-    d = d.withColumns({"ids": counted("access"), "parts": counted("secret", "assign", "hex")})
-    name = lambda x: next(n for n, k in enumerate(KINDS) if k.name == x)
-    listed = F.coalesce(real & ((F.col("kind") < len(BASE)) | ((F.col("kind") == name("secret")) & (F.col("ids") > 0)) | ((F.col("kind") == name("endpoint")) & (F.col("ids") > 0) & (F.col("parts") > 0))), F.lit(False))
-    spans = F.sort_array(F.collect_list(F.when(listed, F.struct("start", "kind", "end"))))
+    real = F.coalesce(F.col("part").between(least, most), F.lit(False))
+    d = d.filter(real | F.col("kind").isNull() | (F.col("i") == 0))
+
+    number = {k.name: n for n, k in enumerate(KINDS)}
+    is_id, is_weak = real & (F.col("kind") == number["access"]), real & (F.col("kind") >= len(BASE))
+    # A weak span asks for parts; all spans but endpoints are parts. A weak secret is both, in two rows.
+    d = d.withColumn("asks", F.explode(F.when(is_weak & (F.col("kind") == number["secret"]), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.coalesce(is_weak, F.lit(False))))))
+    d = d.withColumns({"before": F.when(F.col("asks"), F.col("start")).otherwise(F.col("end")), "behind": F.when(F.col("asks"), F.col("end")).otherwise(F.col("start"))})
+    ordered = lambda by: Window.partitionBy("row").orderBy(by)
+    overlap = ordered(F.when(is_id, F.col("start")).otherwise(F.col("end"))).rangeBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("id_end", F.last(F.when(is_id, F.col("end")), True).over(overlap))
+    near, far = ordered("before").rangeBetween(-scope, 0), ordered("behind").rangeBetween(0, scope)
+    is_secret = real & ~F.col("asks") & ~is_id & (F.coalesce("id_end", F.lit(0)) <= F.col("start"))
+    the_id = F.when(is_id, F.struct("start", "end"))
+    d = d.withColumns({"id_before": F.last(the_id, True).over(near), "secret_before": F.max(is_secret).over(near), "id_behind": F.first(the_id, True).over(far), "secret_behind": F.max(is_secret).over(far)})
+    earlier = F.col("id_behind").isNull() | (F.col("start") - F.col("id_before.end") <= F.col("id_behind.start") - F.col("end"))
+    with_id = F.when(F.col("asks"), F.when(F.col("id_before").isNotNull() & earlier, F.col("id_before.start")).otherwise(F.col("id_behind.start")))
+    complete = with_id.isNotNull() & ((F.col("kind") == number["secret"]) | F.col("secret_before") | F.col("secret_behind"))
+    listed = real & F.when(F.col("asks"), complete).otherwise(F.col("kind") < len(BASE))
+    spans = F.sort_array(F.collect_list(F.when(listed, F.struct("start", "kind", "end", with_id.alias("id_start")))))
     return d.groupBy("row").agg(F.first("doc_id").alias("doc_id"), spans.alias("spans")).drop("row")
 
 
