@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable
@@ -13,16 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import settled, texts
+from rookery.llm.common import fresh, settled, sliced, texts
 
 #: Entities with another surrogate than their first one that may be broadcast; more are joined.
 BROADCAST_ENTITIES = 100_000
+#: Surrogates that are tried for an entity.
+ATTEMPTS = 200
 
 #: Titles by gender; the name after one is a person's. Fixed values.
 TITLES = {
-    "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Господин"),
-    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Г-жа", "Госпожа"),
-    "x": ("Dr", "Prof", "Доктор"),
+    "m": ("Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "Г-н", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Fräulein", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Signora", "Г-жа", "Госпожа", "Κυρία"),
+    "x": ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Доктор", "Профессор"),
 }
 #: Syllable parts of invented names by script, and endings by gender. Fixed values.
 SYLLABLES = {
@@ -42,10 +45,11 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")),
     ("ip", ".", re.compile(rf"(?<![\w.-]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w-]|\.\d)")),
+    ("ipv6", ":", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", "-", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")),
-    ("phone", "", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])|(?<![\w.+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
+    ("phone", "", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])|(?<![\w.+-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+/-])0\d{1,4}(?:([ .-])\d{2,4})(?:\1\d{2,4}){1,3}(?![\w-]|[./]\d)")),
     ("name", "", re.compile(rf"(?<!\w)({_TITLE})\.? (?:(?:{_RANK})\.? )*((?!(?:{_RANK})(?!\w))(?:{_NAME})(?: (?:{_NAME}))?)")),
 )
 _DIGIT = re.compile(r"\d")
@@ -101,6 +105,16 @@ def script_of(word: str) -> str:
     return next((s for s in ("cyrillic", "greek") if name.startswith(s.upper())), "latin")
 
 
+def _ipv6(surface: str) -> str | None:
+    """The address in full, if surface is one and no clock time, path or lone prefix."""
+    if not any(c.isdigit() for c in surface) or sum(map(bool, surface.split(":"))) < 3:
+        return None
+    try:
+        return ipaddress.IPv6Address(surface).exploded
+    except ValueError:
+        return None
+
+
 def _valid(kind: str, surface: str) -> str | None:
     """The entity's key, or None if its check digits or its length are wrong."""
     plain = re.sub(r"[^A-Za-z0-9]", "", surface)
@@ -109,7 +123,11 @@ def _valid(kind: str, surface: str) -> str | None:
     if kind == "iban":
         return plain if 15 <= len(plain) <= 34 and mod97(plain) == 1 else None
     if kind == "phone":
-        return plain if 8 <= len(plain) <= 15 else None
+        # A number of ten digits without a country code or a trunk zero is of the numbering plan that has code 1.
+        key = plain if surface[0] in "+0" else "1" + plain
+        return key if (10 <= len(plain) <= 11 if surface[0] == "0" else 8 <= len(plain) <= 15) else None
+    if kind == "ipv6":
+        return _ipv6(surface)
     return surface.lower() if kind == "email" else surface if kind == "ip" else plain
 
 
@@ -119,7 +137,7 @@ def _plausible(kind: str, surface: str) -> bool:
     if kind == "card":
         return 13 <= len(plain) <= 19 and bool(_ISSUER.match(plain))
     if kind == "phone":
-        least, most = next((PHONE_DIGITS[plain[:n]] for n in (1, 2, 3) if plain[:n] in PHONE_DIGITS), (8, 15)) if surface[0] == "+" else (10, 10)
+        least, most = next((PHONE_DIGITS[plain[:n]] for n in (1, 2, 3) if plain[:n] in PHONE_DIGITS), (8, 15)) if surface[0] == "+" else (10, 11) if surface[0] == "0" else (10, 10)
         return least <= len(plain) <= most
     return len(plain) == IBAN_CHARS.get(plain[:2], len(plain))
 
@@ -224,8 +242,8 @@ class Stream:
 
 
 def surrogate_key(kind: str, key: str, secret: bytes, attempt: int = 0) -> str:
-    """The surrogate of an entity, as a key of the same kind. From the fourth attempt on, kinds of
-    open length grow by a character, so that attempts never run out."""
+    """The surrogate of an entity, as a key of the same kind. From the fourth attempt on, e-mail addresses and names,
+    which have no fixed length, grow by a character each time."""
     s = Stream(secret, kind, key, str(attempt))
     more = max(0, attempt - 3)
     if kind == "email":
@@ -235,6 +253,8 @@ def surrogate_key(kind: str, key: str, secret: bytes, attempt: int = 0) -> str:
         return s.alike(local + "a" * more) + "@" + ".".join([*(d.alike(x) for x in labels[:-1]), labels[-1]])
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
+    if kind == "ipv6":  # groups of nothing stay so, and with them the places that can be left out
+        return ":".join(g if g == "0000" else f"{1 + s.below(0xFFFF):04x}" for g in key.split(":"))
     if kind == "card":
         body = key[0] + s.alike(key[1:-1])
         return body + str(luhn(body))
@@ -244,7 +264,7 @@ def surrogate_key(kind: str, key: str, secret: bytes, attempt: int = 0) -> str:
     if kind == "ssn":
         return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "phone":
-        head = key[: max(0, len(key) - 10)] or ""
+        head = key[: max(int(key[0] == "0"), len(key) - 10)]
         rest = key[len(head) :]
         return head + str(2 + s.below(8)) + s.alike(rest[1:])
     _, gender, script = kind.split("/")
@@ -259,6 +279,12 @@ def pour(surface: str, kind: str, new: str) -> str:
         return new.upper() if surface.isupper() else new
     if kind == "ip":
         return new
+    if kind == "ipv6":
+        address = ipaddress.IPv6Address(new)
+        full = len(surface) == len(new)
+        return (address.exploded if full else address.compressed).upper() if surface.isupper() else address.exploded if full else address.compressed
+    if kind == "phone":  # the same last digits with and without the country code
+        new = new[-sum(map(str.isdigit, surface)) :]
     if kind.startswith("name"):
         return new.upper() if surface.isupper() and len(surface) > 1 else new[0].upper() + new[1:]
     chars = iter(new)
@@ -289,7 +315,7 @@ def entities_of(docs: DataFrame) -> DataFrame:
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [(n, *x) for n, t in enumerate(b.column("text").to_pylist()) for x in sorted({(e.kind, e.key) for e in find_entities(t)})]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "kind", "key"])
@@ -326,7 +352,8 @@ def settle_collisions(entities: DataFrame, secret: bytes) -> DataFrame:
     """kind, key, use and attempt of the entities whose own first surrogate doesn't serve.
 
     A surrogate doesn't serve if another entity of its kind has it (the smallest key keeps
-    it) or if it is a real entity itself. Those entities try again until none collides. Names
+    it) or if it is a real entity itself. Those entities try again until none collides; an error says if
+    that takes over ATTEMPTS rounds, as when a corpus has most of all numbers of a kind. Names
     count as one kind, whatever their gender, and a name has the surrogate of one_kind().
     """
     group = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
@@ -334,7 +361,7 @@ def settle_collisions(entities: DataFrame, secret: bytes) -> DataFrame:
     real = ways.select(F.col("use").alias("kind"), "key").distinct().withColumn("g", group)
     taken, open_rows = None, real.select("kind", "key", F.lit(0).cast("int").alias("attempt"))
     changed = None
-    while True:
+    for _ in range(ATTEMPTS):
         tried = settled(_with_surrogates(open_rows, secret).withColumn("g", group))
         first = tried.groupBy("g", "new").agg(F.min(F.struct("kind", "key")).alias("w"))
         good = tried.join(first, ["g", "new"]).filter((F.col("w.kind") == F.col("kind")) & (F.col("w.key") == F.col("key"))).drop("w")
@@ -349,29 +376,31 @@ def settle_collisions(entities: DataFrame, secret: bytes) -> DataFrame:
         if open_rows.isEmpty():
             own = ways.join(changed.withColumnRenamed("kind", "use"), ["use", "key"], "left")
             return own.filter("attempt IS NOT NULL OR kind != use").select("kind", "key", "use", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    raise ValueError(f"entities are left without a surrogate of their own after {ATTEMPTS} attempts")
 
 
 def _with_attempts(d: DataFrame, secret: bytes):
-    """d with the column _own, and a broadcast: kinds and attempts of the surrogates that aren't the first of an entity's own kind, in the one or in the other."""
+    """d with a column more, its name, and a broadcast: kinds and attempts of the surrogates that aren't the first of an entity's own kind, in the one or in the other."""
     changed = settled(settle_collisions(entities_of(d).select("kind", "key"), secret))
-    context = d.sparkSession.sparkContext
+    context, own_name = d.sparkSession.sparkContext, fresh(d, "own")
     if changed.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES:
         few = {(r["kind"], r["key"]): (r["use"], r["attempt"]) for r in changed.collect()}
-        return d.withColumn("_own", F.lit(None).cast("array<struct<kind:string,key:string,use:string,attempt:int>>")), context.broadcast(few)
-    own = entities_of(d).distinct().join(changed, ["kind", "key"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("kind", "key", "use", "attempt")).alias("_own"))
-    return d.join(own, d["doc_id"].eqNullSafe(own["_id"]), "left").drop("_id"), context.broadcast({})
+        return d.withColumn(own_name, F.lit(None).cast("array<struct<kind:string,key:string,use:string,attempt:int>>")), own_name, context.broadcast(few)
+    id_name = fresh(d, "id")
+    own = entities_of(d).distinct().join(changed, ["kind", "key"]).groupBy(F.col("doc_id").alias(id_name)).agg(F.collect_set(F.struct("kind", "key", "use", "attempt")).alias(own_name))
+    return d.join(own, d["doc_id"].eqNullSafe(own[id_name]), "left").drop(own[id_name]), own_name, context.broadcast({})
 
 
 def rewrite(docs: DataFrame, secret: bytes) -> DataFrame:
     """docs with the texts of pseudonymize(), and n_chars, if there is one, counted anew."""
-    d, shared = _with_attempts(docs, secret)
+    d, own_name, shared = _with_attempts(docs, secret)
 
     def run(batches):
-        for b in batches:
-            own = b.column("_own").to_pylist()
+        for b in sliced(batches):
+            own = b.column(own_name).to_pylist()
             done = [replace(t, secret, _attempts(o, shared.value))[0] for t, o in zip(b.column("text").to_pylist(), own, strict=True)]
             new = {"text": done, "n_chars": [None if t is None else len(t) for t in done]}
-            names = [n for n in b.schema.names if n != "_own"]
+            names = [n for n in b.schema.names if n != own_name]
             yield pa.RecordBatch.from_arrays([pa.array(new[n], b.schema.field(n).type) if n in new else b.column(n) for n in names], names)
 
     return d.mapInArrow(run, docs.schema)
@@ -390,13 +419,13 @@ def pseudonymize(docs: DataFrame, secret: bytes) -> DataFrame:
     left alone; repeated rows are each rewritten, alike; an empty table gives an empty result;
     extra columns are ignored.
     """
-    d, shared = _with_attempts(texts(docs), secret)
+    d, own_name, shared = _with_attempts(texts(docs), secret)
     kind = d.schema["doc_id"].dataType.simpleString()
     listed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
     def run(batches):
-        for b in batches:
-            own = b.column("_own").to_pylist()
+        for b in sliced(batches):
+            own = b.column(own_name).to_pylist()
             done = [replace(t, secret, _attempts(o, shared.value)) for t, o in zip(b.column("text").to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], listed)], ["doc_id", "text", "entities"])
 
