@@ -32,7 +32,10 @@ _FRONT = f"({B.file_set('sq')} & {B.ahead('sq')})"
 _PROM = f"({B.file_of('sq')} * 8 + 7 * (1 - side))"
 _STOP = "(sq + 1 - 2 * side)"
 _FLOOR_RANK = "greatest(r, 2)"
-_KING_HITS = "filter(men, x -> x.pc = 5)[0].tos"
+#: The score of a pawn that nothing can stop; both phases get it.
+_GAIN = f"CAST(90000 * ({_FLOOR_RANK} - 1) DIV 6 AS BIGINT)"
+OFFICER_FORCE = "bit_count(own[1]) + bit_count(own[2]) + 2 * bit_count(own[3]) + 4 * bit_count(own[4])"
+_KING_HITS = "king_tos"
 _IS_UNSTOPPABLE = (
     f"passed AND (opp_all & ~(opp[0] | opp[5])) = 0 AND ({_FRONT} & occ) = 0 AND "
     f"(7 - {_FLOOR_RANK} + CASE WHEN turn <> side THEN 1 ELSE 0 END < {B.distance('xking', _PROM)} OR ({_FRONT} & ~{_KING_HITS}) = 0)"
@@ -42,11 +45,14 @@ _BEHIND = f"(shiftrightunsigned(occ & {B.file_set('sq')} & {B.ahead('sq', '(1 -
 _NEAREST = f"CAST(floor(log2(CASE WHEN side = 0 THEN {_BEHIND} ELSE {_BEHIND} & -{_BEHIND} END)) AS INT)"
 _PUSHED = f"({_BEHIND} <> 0 AND ((opp[3] | opp[4]) & shiftleft(1L, {B.file_of('sq')} * 8 + {_NEAREST})) <> 0)"
 _IS_FREE = f"(({_FRONT} & (opp_all | ~queen_safe)) = 0 AND NOT {_PUSHED})"
-_N_ATTACKERS = "least(size(filter(men, x -> x.pc BETWEEN 1 AND 4 AND (x.tos & xzone & pawn_safe) <> 0)), 4)"
 _IS_PINNED_BY = f"get(filter(pins, x -> x.pin = {B.bit('sq')}), 0).pc"
 _PROTECTED = B.has("o_hit_pawn", "sq")
 
 
+#: Beyond the features: what scores need of unstoppable pawns and of the officers on the board.
+GAIN, FORCE = N_FEATURES, N_FEATURES + 1
+
+
 def _sum(*pairs: tuple[str, str]) -> tuple[tuple[str, str], ...]:
     return pairs
 
@@ -78,31 +84,40 @@ FAMILIES = (
     Family("x23_side_to_move", "side", f"side = turn AND NOT {B.has('x_hit_all', 'king')}", _sum(("758", "1"))),
 )
 
+EXTRAS = (Family("gain", "piece", "unstoppable", ((str(GAIN), _GAIN),)), Family("force", "side", "true", ((str(FORCE), OFFICER_FORCE),)))
+
 
-def piece_rows(side_rows: DataFrame) -> DataFrame:
-    d = side_rows.withColumn("m", F.explode("men")).selectExpr("*", "m.sq AS sq", "m.pc AS pc", "m.tos AS tos").drop("m")
-    d = d.withColumns({"f": F.expr(B.mirror_file("sq")), "r": F.expr(B.side_rank("sq")), "passed": F.expr(_IS_PASSED), "pinner": F.expr(_IS_PINNED_BY), "attackers": F.expr(_N_ATTACKERS)})
+#: What stands for a side in its list of pieces.
+_SIDE = -1
+
+
+def piece_rows(side_rows: DataFrame, with_side: bool = False) -> DataFrame:
+    """A row for each own piece; with_side: and one, of pc -1, for the side itself."""
+    d = side_rows.withColumns({
+        "attackers": F.expr("least(size(filter(men, x -> x.pc BETWEEN 1 AND 4 AND (x.tos & xzone & pawn_safe) <> 0)), 4)"),
+        "king_tos": F.expr("filter(men, x -> x.pc = 5)[0].tos"),
+    })
+    men = F.expr(f"concat(men, array(struct(0 AS sq, {_SIDE} AS pc, 0L AS tos)))") if with_side else F.col("men")
+    d = d.withColumn("m", F.explode(men)).drop("men").selectExpr("*", "m.sq AS sq", "m.pc AS pc", "m.tos AS tos").drop("m")
+    d = d.withColumns({"f": F.expr(B.mirror_file("sq")), "r": F.expr(B.side_rank("sq")), "passed": F.expr(_IS_PASSED), "pinner": F.expr(_IS_PINNED_BY)})
     return d.withColumns({"unstoppable": F.expr(_IS_UNSTOPPABLE), "free": F.expr(f"passed AND {_IS_FREE}")})
 
 
-def _pairs(d: DataFrame, families: tuple[Family, ...]) -> DataFrame:
-    """pos_id, side, turn, idx, value: all families of one level in a single projection."""
-    entries = ", ".join(f"CASE WHEN {f.where} THEN struct(CAST({i} AS INT) AS idx, CAST({v} AS DOUBLE) AS value) END" for f in families for i, v in f.values)
+def values(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pos_id, side, turn, idx and summed value of the families, for each side, with further columns of side_rows.
+
+    All families are one projection over the rows of pieces and sides, and its sums share the partitioning of sides(): no
+    shuffle is added.
+    """
+    with_side = any(f.level == "side" for f in families)
+    level = lambda f: f"pc {'=' if f.level == 'side' else '<>'} {_SIDE} AND" if with_side else ""
+    entries = ", ".join(f"CASE WHEN {level(f)} ({f.where}) THEN struct(CAST({i} AS INT) AS idx, CAST({v} AS DOUBLE) AS value) END" for f in families for i, v in f.values)
     # A column first: a generator would evaluate its argument without generated code. Outer, else the
     # optimizer would test the size of the array before, and so build it twice.
-    d = d.select("pos_id", "side", "turn", F.expr(f"array({entries})").alias("all"))
-    return d.select("pos_id", "side", "turn", F.explode_outer("all").alias("e")).filter("e.value <> 0").select("pos_id", "side", "turn", "e.*")
-
-
-def values(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
-    """pos_id, side, turn, idx and summed value of the families, for each side. No shuffle beyond sides()."""
-    parts = []
-    if own := tuple(f for f in families if f.level == "side"):
-        parts.append(_pairs(side_rows, own))
-    if own := tuple(f for f in families if f.level == "piece"):
-        parts.append(_pairs(piece_rows(side_rows), own))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.groupBy("pos_id", "side", "turn", "idx").agg(F.sum("value").alias("value"))
+    own = ["pos_id", "side", "turn", *keep]
+    d = piece_rows(side_rows, with_side).select(*own, F.expr(f"array({entries})").alias("all"))
+    d = d.select(*own, F.explode_outer("all").alias("e")).filter("e.value <> 0").select(*own, "e.*")
+    return d.groupBy(*own, "idx").agg(F.sum("value").alias("value"))
 
 
 def feature_rows(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
@@ -111,13 +126,20 @@ def feature_rows(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES)
     return signed.groupBy("pos_id", "idx").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
+def signed_values(side_rows: DataFrame) -> DataFrame:
+    """pos_id, idx, value (the side to move less the other), with the officers of both sides under FORCE (force) and, in
+    every row, whether the side to move is in check (checked)."""
+    d = side_rows.withColumn("checked", F.expr(B.has("x_hit_all", "king")))
+    v = values(d, (*FAMILIES, EXTRAS[1]), ("checked",))
+    return v.groupBy("pos_id", "idx").agg(F.sum(F.expr("CASE WHEN side = turn THEN value ELSE -value END")).alias("value"), F.sum("value").alias("force"), F.expr("bool_or(side = turn AND checked)").alias("checked"))
+
+
 def phases(side_rows: DataFrame) -> DataFrame:
     """pos_id, mg and eg factors (24 together) by the officers on the board."""
-    force = "bit_count(own[1]) + bit_count(own[2]) + 2 * bit_count(own[3]) + 4 * bit_count(own[4])"
-    return side_rows.groupBy("pos_id").agg(F.expr(f"CAST(greatest(24 - sum({force}), 0) AS INT)").alias("stage")).selectExpr("pos_id", "24 - stage AS mg", "stage AS eg")
+    return side_rows.groupBy("pos_id").agg(F.expr(f"CAST(greatest(24 - sum({OFFICER_FORCE}), 0) AS INT)").alias("stage")).selectExpr("pos_id", "24 - stage AS mg", "stage AS eg")
 
 
 def unstoppable(side_rows: DataFrame) -> DataFrame:
-    """pos_id, side and the score that pawns give which nothing can stop; both phases get it."""
+    """pos_id, side and the score that pawns give which nothing can stop."""
     d = piece_rows(side_rows).filter("unstoppable")
-    return d.groupBy("pos_id", "side").agg(F.expr(f"CAST(sum(90000 * ({_FLOOR_RANK} - 1) DIV 6) AS BIGINT)").alias("gain"))
+    return d.groupBy("pos_id", "side").agg(F.expr(f"sum({_GAIN})").alias("gain"))

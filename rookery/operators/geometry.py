@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from rookery.functions import board as B
 
 
-def lines(spark: SparkSession) -> DataFrame:
-    """pc, side, sq, dst and the squares strictly between: every move on an empty board, pawns as they attack.
+#: Every move from sq on an empty board, pawns as they attack, as (dst, squares strictly between).
+_DF, _DR = "(dst DIV 8 - sq DIV 8)", "(dst % 8 - sq % 8)"
+_BETWEEN = f"CASE WHEN pc BETWEEN 2 AND 4 THEN aggregate(sequence(1, 7), 0L, (a, i) -> CASE WHEN i < greatest(abs({_DF}), abs({_DR})) THEN a | shiftleft(1L, CAST(sq + i * (sign({_DF}) * 8 + sign({_DR})) AS INT)) ELSE a END) ELSE 0L END"
+_ROOK, _BISHOP = f"({_DF} = 0 OR {_DR} = 0)", f"abs({_DF}) = abs({_DR})"
+_REACH = f"CASE pc WHEN 0 THEN abs({_DF}) = 1 AND {_DR} = 1 - 2 * side WHEN 1 THEN abs({_DF} * {_DR}) = 2 WHEN 2 THEN {_BISHOP} WHEN 3 THEN {_ROOK} WHEN 4 THEN {_ROOK} OR {_BISHOP} ELSE greatest(abs({_DF}), abs({_DR})) = 1 END"
 
-    3,500 rows from the board's coordinates; its size doesn't depend on any data.
-    """
-    df, dr = "(dst DIV 8 - sq DIV 8)", "(dst % 8 - sq % 8)"
-    between = f"aggregate(sequence(1, 7), 0L, (a, i) -> CASE WHEN i < greatest(abs({df}), abs({dr})) THEN a | shiftleft(1L, CAST(sq + i * (sign({df}) * 8 + sign({dr})) AS INT)) ELSE a END)"
-    rook, bishop = f"({df} = 0 OR {dr} = 0)", f"abs({df}) = abs({dr})"
-    reach = f"CASE pc WHEN 0 THEN abs({df}) = 1 AND {dr} = 1 - 2 * side WHEN 1 THEN abs({df} * {dr}) = 2 WHEN 2 THEN {bishop} WHEN 3 THEN {rook} WHEN 4 THEN {rook} OR {bishop} ELSE greatest(abs({df}), abs({dr})) = 1 END"
-    squares = spark.range(64 * 64).selectExpr("CAST(id DIV 64 AS INT) AS sq", "CAST(id % 64 AS INT) AS dst").filter("sq <> dst")
-    kinds = squares.withColumn("kind", F.explode(F.sequence(F.lit(0), F.lit(11)))).selectExpr("kind DIV 2 AS k", "kind % 2 AS side", "sq", "dst")
-    return kinds.selectExpr("CAST(k AS INT) AS pc", "CAST(side AS INT) AS side", "sq", "dst").filter(reach).selectExpr("pc", "side", "sq", "dst", f"CASE WHEN pc BETWEEN 2 AND 4 THEN {between} ELSE 0L END AS between")
 
+def targets(spark: SparkSession) -> DataFrame:
+    """pc, side, sq and its lines: 768 rows from the board's coordinates; their size doesn't depend on any data."""
+    d = spark.range(768).selectExpr("CAST(id DIV 128 AS INT) AS pc", "CAST(id DIV 64 % 2 AS INT) AS side", "CAST(id % 64 AS INT) AS sq")
+    return d.selectExpr("pc", "side", "sq", f"transform(filter(sequence(0, 63), dst -> sq <> dst AND {_REACH}), dst -> struct(dst, {_BETWEEN} AS between)) AS lines")
+
+
+def lines(spark: SparkSession) -> DataFrame:
+    """pc, side, sq, dst and the squares strictly between, a row for each of the 7,532 lines."""
+    return targets(spark).select("pc", "side", "sq", F.explode("lines").alias("l")).select("pc", "side", "sq", "l.*")
 
-def attack_edges(positions: DataFrame, pieces: DataFrame) -> DataFrame:
+
+def attack_edges(pieces: DataFrame) -> DataFrame:
     """pos_id, side, pc, sq, dst of every attacked square; sliders reach the first piece, inclusive.
 
     One shuffle by pos_id, to give each piece the occupied squares; the lines are broadcast.
@@ -42,37 +46,33 @@ def sides(positions: DataFrame, pieces: DataFrame) -> DataFrame:
     own and opp: pieces by type (arrays of six sets); o_* and x_*: sets of own and opposing
     attacks; men: own pieces with what they attack and, for sliders, the one piece that stands
     between them and the other king; probes: what each piece type would attack from the other
-    king's square. All groupings share the partitioning by pos_id, so the plan has one shuffle of pieces
-    and one of positions.
+    king's square. A row for each piece meets the broadcast targets and is folded back; that and all later
+    groupings share the partitioning by pos_id, so the plan has one shuffle of pieces and one of positions.
     """
-    masks = [F.expr(f"coalesce(bit_or(CASE WHEN side = {s} AND pc = {p} THEN {B.bit('sq')} END), 0L)") for s in (0, 1) for p in range(6)]
-    b = pieces.groupBy("pos_id").agg(F.array(*masks[:6]).alias("w"), F.array(*masks[6:]).alias("b"), F.collect_list(F.struct(F.lit(_REAL).alias("what"), "sq", "side", "pc")).alias("men"))
+    b = pieces.groupBy("pos_id").agg(F.expr(f"bit_or({B.bit('sq')})").alias("occ"), F.collect_list(F.struct(F.lit(_REAL).alias("what"), "sq", "side", "pc")).alias("men"))
     b = positions.select("pos_id", "wk", "bk", "turn", "castling").join(b, "pos_id")
-    b = b.withColumn("occ", F.expr("aggregate(concat(w, b), 0L, (a, x) -> a | x)"))
     probes = ", ".join(f"struct({_PROBE} AS what, {king} AS sq, {side} AS side, {pc} AS pc)" for side, king in ((0, "bk"), (1, "wk")) for pc in (1, 2, 3))
-    each = b.withColumn("m", F.explode(F.expr(f"concat(men, array({probes}))"))).drop("men").select("*", "m.*").drop("m")
-    hit = each.join(F.broadcast(lines(pieces.sparkSession)), ["pc", "side", "sq"], "left")
+    each = b.withColumn("m", F.explode(F.expr(f"concat(men, array({probes}))"))).select("pos_id", "wk", "bk", "turn", "castling", "occ", "m.*")
+    hit = each.join(F.broadcast(targets(pieces.sparkSession)), ["pc", "side", "sq"])
     other_king = "CASE WHEN side = 0 THEN bk ELSE wk END"
-    hit = hit.groupBy("pos_id", "what", "sq", "side", "pc").agg(
-        F.expr(f"coalesce(bit_or(CASE WHEN (between & occ) = 0 THEN {B.bit('dst')} END), 0L)").alias("tos"),
-        F.expr(f"coalesce(bit_or(CASE WHEN dst = {other_king} AND bit_count(between & occ) = 1 THEN between & occ END), 0L)").alias("pin"),
-        *[F.first(c).alias(c) for c in ("wk", "bk", "turn", "castling", "occ", "w", "b")],
-    )
-    one = hit.groupBy("pos_id").agg(F.collect_list(F.struct("what", "sq", "side", "pc", "tos", "pin")).alias("all"), *[F.first(c).alias(c) for c in ("wk", "bk", "turn", "castling", "occ", "w", "b")])
-    one = one.withColumns({
-        "men": F.expr(f"transform(array(0, 1), s -> filter(all, x -> x.what = {_REAL} AND x.side = s))"),
-        "probe": F.expr(f"transform(array(0, 1), s -> transform(array(1, 2, 3), p -> filter(all, x -> x.what = {_PROBE} AND x.side = s AND x.pc = p)[0].tos))"),
+    hit = hit.withColumns({
+        "tos": F.expr("aggregate(lines, 0L, (a, l) -> CASE WHEN (l.between & occ) = 0 THEN a | shiftleft(1L, l.dst) ELSE a END)"),
+        "pin": F.expr(f"CASE WHEN pc BETWEEN 2 AND 4 AND what = {_REAL} THEN aggregate(lines, 0L, (a, l) -> CASE WHEN l.dst = {other_king} AND bit_count(l.between & occ) = 1 THEN l.between & occ ELSE a END) ELSE 0L END"),
     })
-    union = lambda cond: f"transform(men, m -> aggregate(filter(m, x -> {cond}), 0L, (a, x) -> a | x.tos))"
+    real = f"what = {_REAL}"
+    either = lambda value, cond: F.array(*[F.expr(f"coalesce(bit_or(CASE WHEN {real} AND side = {s} AND {cond} THEN {value} END), 0L)") for s in (0, 1)])
+    listed = lambda value, cond: F.array(*[F.expr(f"collect_list(CASE WHEN {real} AND side = {s} AND {cond} THEN {value} END)") for s in (0, 1)])
+    mean = lambda e: F.expr(f"CAST(CAST(coalesce(avg(CASE WHEN {real} AND pc = 0 THEN {e} + 0.5D END), 4.0D) AS FLOAT) AS DOUBLE)")
+    one = hit.groupBy("pos_id", "wk", "bk", "turn", "castling", "occ").agg(
+        *[F.array(*[F.expr(f"coalesce(bit_or(CASE WHEN {real} AND side = {s} AND pc = {p} THEN {B.bit('sq')} END), 0L)") for p in range(6)]).alias("wb"[s]) for s in (0, 1)],
+        F.array(*[F.array(*[F.expr(f"max(CASE WHEN what = {_PROBE} AND side = {s} AND pc = {p} THEN tos END)") for p in (1, 2, 3)]) for s in (0, 1)]).alias("probe"),
+        either("tos", "true").alias("hit_all"), either("tos", "pc <= 4").alias("hit_queen"), either("tos", "pc = 0").alias("hit_pawn"),
+        listed("struct(sq, pc, tos)", "true").alias("men"), listed("struct(pin, pc)", "pin <> 0").alias("pins"),
+        mean("shiftright(sq, 3)").alias("mid_file"), mean("(sq & 7)").alias("mid_rank"),
+    )
     # Squares attacked twice: pawns attack as one set, every other piece for itself.
-    twice = "transform(men, m -> aggregate(concat(array(aggregate(filter(m, x -> x.pc = 0), 0L, (a, x) -> a | x.tos)), transform(filter(m, x -> x.pc > 0), x -> x.tos)), struct(0L AS once, 0L AS twice), (a, t) -> struct(a.once | t AS once, a.twice | (a.once & t) AS twice), a -> a.twice))"
-    pawns = "concat(transform(filter(all, x -> x.what = 0 AND x.pc = 0), x -> x.sq))"
-    one = one.withColumns({
-        "hit_all": F.expr(union("true")), "hit_queen": F.expr(union("x.pc <= 4")), "hit_pawn": F.expr(union("x.pc = 0")), "twice": F.expr(twice), "pawns": F.expr(pawns),
-        "pins": F.expr("transform(men, m -> transform(filter(m, x -> x.pin <> 0), x -> struct(x.pin AS pin, x.pc AS pc)))"),
-    })
-    mean = lambda e: f"CAST(CAST(CASE WHEN size(pawns) = 0 THEN 4.0D ELSE aggregate(pawns, 0.0D, (a, s) -> a + {e} + 0.5D) / size(pawns) END AS FLOAT) AS DOUBLE)"
-    one = one.withColumns({"mid_file": F.expr(mean("shiftright(s, 3)")), "mid_rank": F.expr(mean("(s & 7)")), "side": F.explode(F.array(F.lit(0), F.lit(1)))})
+    twice = "transform(array(0, 1), s -> aggregate(filter(men[s], x -> x.pc > 0), struct(hit_pawn[s] AS once, 0L AS twice), (a, x) -> struct(a.once | x.tos AS once, a.twice | (a.once & x.tos) AS twice), a -> a.twice))"
+    one = one.withColumn("twice", F.expr(twice)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     pick = lambda c, x: f"{c}[{'side' if x == 'o' else '1 - side'}]"
     out = one.select(
         "pos_id", "side", "turn", "castling", "occ", "mid_file", "mid_rank",
@@ -81,7 +81,7 @@ def sides(positions: DataFrame, pieces: DataFrame) -> DataFrame:
         *[F.expr(pick(c, x)).alias(f"{x}_{c}") for x in "ox" for c in ("hit_all", "hit_queen", "hit_pawn", "twice")],
         F.expr("men[side]").alias("men"), F.expr("pins[1 - side]").alias("pins"), F.expr("probe[side]").alias("probe"),
     )
-    every = "aggregate({}, 0L, (a, x) -> a | x)"
+    every = " | ".join("{0}[%d]" % p for p in range(6))
     return _pawn_reach(out.withColumns({
         "own_all": F.expr(every.format("own")), "opp_all": F.expr(every.format("opp")), "op": F.expr("own[0]"), "xp": F.expr("opp[0]"),
         "pawn_safe": F.expr("~(own[0] | x_hit_pawn)"), "queen_safe": F.expr("~x_hit_all | (~x_hit_queen & o_twice)"),

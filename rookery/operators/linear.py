@@ -1,14 +1,22 @@
-"""The linear model: phase expansion, predictions, gradients, steps and fits."""
+"""The linear model: phase expansion, predictions, gradients and steps on tables of features."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import win_probability
 
+#: Features or weights that may be broadcast: models have a row a feature, not a row a record.
+MOST_FEATURES = 1 << 20
+
+
+def small(d: DataFrame, most: int = MOST_FEATURES) -> DataFrame:
+    """d for a broadcast, after its rows were counted up to the bound."""
+    if d.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows can't be broadcast")
+    return F.broadcast(d)
+
 
 def phase_expand(d: DataFrame, half: int) -> DataFrame:
     """Rows (.., idx, value, mg, eg) twice: value * mg / 24 at idx, value * eg / 24 at idx + half. No shuffle."""
@@ -19,17 +27,29 @@ def phase_expand(d: DataFrame, half: int) -> DataFrame:
 
 def scale_features(d: DataFrame, scales: DataFrame) -> DataFrame:
     """value / scale; scales has at most one row a feature, so it is broadcast."""
-    return d.join(F.broadcast(scales), "idx").withColumn("value", F.col("value") / F.col("scale")).drop("scale")
+    return d.join(small(scales), "idx").withColumn("value", F.col("value") / F.col("scale")).drop("scale")
 
 
 def predict(d: DataFrame, weights: DataFrame, row: str = "row_id") -> DataFrame:
-    """row and y_hat, the sum of weight and value. Weights are a row for each feature and broadcast."""
-    return d.join(F.broadcast(weights), "idx").groupBy(row).agg(F.sum(F.col("w") * F.col("value")).alias("y_hat"))
+    """row, y_hat, the sum of weight and value, and v, the row's (idx, value); a feature without weight adds nothing.
 
+    Weights are a row for each feature and broadcast; the one shuffle brings the values of a row together.
+    """
+    d = d.join(small(weights), "idx", "left")
+    return d.groupBy(row).agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("value")).alias("y_hat"), F.collect_list(F.struct("idx", "value")).alias("v"))
 
-def gradient(d: DataFrame, residuals: DataFrame, n: Column | int, row: str = "row_id") -> DataFrame:
-    """idx and the mean over rows of residual * value. Spark sums each partition's features before the shuffle."""
-    return d.join(residuals, row).groupBy("idx").agg((F.sum(F.col("residual") * F.col("value")) / n).alias("g"))
+
+def gradient(rows: DataFrame) -> DataFrame:
+    """idx and the mean over rows (v, residual) of residual * value.
+
+    Rows are taken apart where they are: each partition sums its features, and a row a feature is shuffled. The number of
+    rows is summed along, under no feature.
+    """
+    none = F.array(F.struct(F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("value")))
+    e = rows.select("residual", F.explode(F.concat(F.transform("v", lambda x: F.struct(x["idx"].cast("long").alias("idx"), x["value"].cast("double").alias("value"))), none)).alias("e"))
+    sums = e.groupBy("e.idx").agg(F.sum(F.col("residual") * F.col("e.value")).alias("s"), F.count("*").alias("n"))
+    n = F.max(F.when(F.col("idx").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    return sums.withColumn("g", F.col("s") / n).filter("idx is not null").select("idx", "g")
 
 
 def logistic_residuals(d: DataFrame, mix: float) -> DataFrame:
@@ -47,70 +67,3 @@ def l2_shrink(grad: DataFrame, weights: DataFrame, penalty: float) -> DataFrame:
 def step(grad: DataFrame, rate: float) -> DataFrame:
     """w + rate * gradient. An empty gradient leaves every weight."""
     return grad.select("idx", (F.col("w") + rate * F.col("g")).alias("w"))
-
-
-def gram(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """sum of phi phi^T, of y phi, of y^2, and the rows, of (indices, vals, y).
-
-    Partial matrices of each partition are summed by matrix row in Spark, so the driver gets dim rows of
-    dim numbers whatever the input.
-    """
-
-    def partial(batches):
-        g, c, yy, n = np.zeros((dim, dim)), np.zeros(dim), 0.0, 0
-        for b in batches:
-            ix, v = b.column("indices"), b.column("vals")
-            x = np.zeros((b.num_rows, dim))
-            at = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(ix.offsets)))
-            np.add.at(x, (at, np.asarray(ix.flatten())), np.asarray(v.flatten()))
-            y = np.asarray(b.column("y"), dtype=float)
-            g += x.T @ x
-            c += x.T @ y
-            yy += float(y @ y)
-            n += b.num_rows
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1), pa.int32()), pa.array([*g, c], pa.list_(pa.float64())), pa.array([0.0] * dim + [yy]), pa.array([0] * dim + [n], pa.int64())], ["r", "x", "yy", "n"])
-
-    parts = vectors.select("indices", "vals", "y").repartition(vectors.sparkSession.sparkContext.defaultParallelism).mapInArrow(partial, "r int, x array<double>, yy double, n long")
-    summed = parts.select("r", "yy", "n", F.posexplode("x").alias("k", "x")).groupBy("r", "k").agg(F.sum("x").alias("x"), F.sum("yy").alias("yy"), F.sum("n").alias("n"))
-    out = summed.toPandas()
-    full = np.zeros((dim + 1, dim))
-    full[out["r"], out["k"]] = out["x"]
-    last = out[(out["r"] == dim) & (out["k"] == 0)]
-    return full[:dim], full[dim], float(last["yy"].sum()), int(last["n"].sum())
-
-
-def fit_gram(vectors: DataFrame, dim: int, epochs: int, rate: float, penalty: float) -> list[np.ndarray]:
-    """Weights after each full-batch epoch: rate * ((c - G w) / n - penalty * w), from one pass over the rows."""
-    g, c, _, n = gram(vectors, dim)
-    w, out = np.zeros(dim), []
-    for _ in range(epochs):
-        if n:
-            w = w + rate * ((c - g @ w) / n - penalty * w)
-        out.append(w)
-    return out
-
-
-def fit_batches(d: DataFrame, labels: DataFrame, dim: int, batch: int, epochs: int, rate: float, penalty: float) -> list[np.ndarray]:
-    """Mini-batch descent in row order: one aggregate a batch, weights (dim numbers) on the driver.
-
-    d: (row_ord, idx, value); labels: (row_ord, y). For parity and small data; fit_gram is for large ones.
-    """
-    spark = d.sparkSession
-    n_batches = (labels.agg(F.max(F.expr(f"row_ord DIV {batch}"))).first()[0] or 0) + 1
-    w, out = np.zeros(dim), []
-    for _ in range(epochs):
-        for k in range(n_batches):
-            inside = f"row_ord DIV {batch} = {k}"
-            part, y = d.filter(inside), labels.filter(inside)
-            n = y.count()
-            if not n:
-                continue
-            weights = spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "idx long, w double")
-            r = y.join(predict(part, weights, "row_ord"), "row_ord", "left").select("row_ord", (F.col("y") - F.coalesce("y_hat", F.lit(0.0))).alias("residual"))
-            g = np.zeros(dim)
-            for row in gradient(part, r, n, "row_ord").collect():
-                g[int(row["idx"])] = row["g"]
-            w = w + rate * (g - penalty * w)
-        out.append(w.copy())
-    return out

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import win_probability
+from rookery.operators.linear import small
 
 
-def mse(d: DataFrame) -> DataFrame:
-    """n, sum and mean of (y - y_hat)^2; zeros on empty input."""
-    e = (F.col("y") - F.col("y_hat")) ** 2
-    return d.agg(F.count("*").alias("n"), F.coalesce(F.sum(e), F.lit(0.0)).alias("sse"), F.coalesce(F.avg(e), F.lit(0.0)).alias("mse"))
+def mse(d: DataFrame, whole: bool = False) -> DataFrame:
+    """n, sum and mean of (y - y_hat)^2; zeros on empty input. whole: errors are whole numbers, and so is their sum, without rounding."""
+    e = (F.col("y") - F.col("y_hat")) * (F.col("y") - F.col("y_hat"))
+    total = F.sum(e.cast("decimal(28,0)")).cast("decimal(38,0)") if whole else F.sum(e)
+    return d.agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).alias("sse"), F.coalesce(F.avg(e), F.lit(0.0)).alias("mse"))
 
 
 def entropy(a: Column, b: Column, eps: float = 1e-6) -> Column:
@@ -31,14 +33,14 @@ def feature_scale(d: DataFrame, n_features: int) -> DataFrame:
     """idx and ceil(max(1, max |value|)) of every feature, seen or not."""
     seen = d.groupBy("idx").agg(F.max(F.abs("value")).alias("top"))
     every = d.sparkSession.range(n_features).select(F.col("id").alias("idx"))
-    return every.join(F.broadcast(seen), "idx", "left").select("idx", F.ceil(F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))).cast("double").alias("scale"))
+    return every.join(small(seen), "idx", "left").select("idx", F.ceil(F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))).cast("double").alias("scale"))
 
 
 def feature_range(d: DataFrame, rows: DataFrame) -> DataFrame:
     """idx, least and greatest |value|; zeros that aren't stored count."""
-    total = rows.agg(F.count("*").alias("total"))
+    total = F.lit(rows.count())
     seen = d.groupBy("idx").agg(F.min(F.abs("value")).alias("low"), F.max(F.abs("value")).alias("high"), F.count("*").alias("n"))
-    return seen.join(F.broadcast(total)).select("idx", F.when(F.col("n") < F.col("total"), 0.0).otherwise(F.col("low").cast("double")).alias("low"), F.col("high").cast("double").alias("high"))
+    return seen.select("idx", F.when(F.col("n") < total, 0.0).otherwise(F.col("low").cast("double")).alias("low"), F.col("high").cast("double").alias("high"))
 
 
 def value_widths(d: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ mid AS MATERIALIZED (SELECT a.s AS sq, b.s AS dst, c.s AS m FROM sqs a, sqs b, s
     AND (a.f-c.f)*(b.r-a.r)=(a.r-c.r)*(b.f-a.f)),
 cov AS MATERIALIZED (SELECT o.pos_id, m.sq, m.dst, COUNT(*) AS n, MIN(o.sq) AS only_sq FROM mid m JOIN men0 o ON o.sq=m.m GROUP BY 1,2,3),
 men AS MATERIALIZED (SELECT p.pos_id, p.sq, p.side, p.pc, least(p.sq//8, 7-p.sq//8) AS f, CASE WHEN p.side=0 THEN p.sq%8 ELSE 7-p.sq%8 END AS r, p.sq//8 AS fl, p.sq%8 AS rk,
-  CASE WHEN p.side=0 THEN k.wk ELSE k.bk END AS king, CASE WHEN p.side=0 THEN k.bk ELSE k.wk END AS xking, k.turn FROM men0 p JOIN pos k USING (pos_id)),
+  CASE WHEN p.side=0 THEN k.wk ELSE k.bk END AS king, CASE WHEN p.side=0 THEN k.bk ELSE k.wk END AS xking, k.turn, k.rights FROM men0 p JOIN pos k USING (pos_id)),
 att AS MATERIALIZED (SELECT p.pos_id, p.side, p.pc, p.sq, l.dst FROM men0 p JOIN ln l ON l.pc=p.pc AND l.side=p.side AND l.sq=p.sq
   LEFT JOIN cov c ON p.pc IN (2,3,4) AND c.pos_id=p.pos_id AND c.sq=l.sq AND c.dst=l.dst WHERE c.n IS NULL),
 patt AS MATERIALIZED (SELECT DISTINCT pos_id, side, dst FROM att WHERE pc=0),
@@ -78,7 +78,7 @@ FAMILIES = {
     "x14_minor_outpost": "SELECT m.pos_id, m.side, 433+m.pc*8+m.r AS idx, 1 AS v FROM prot m WHERE m.pc IN (1,2) AND m.f>=2 AND m.r BETWEEN 3 AND 5 AND NOT EXISTS (SELECT 1 FROM xreach x WHERE x.pos_id=m.pos_id AND x.side=m.side AND x.s=m.sq)",
     "x15_bad_bishop": "SELECT m.pos_id, m.side, CASE WHEN p.r<7 AND EXISTS (SELECT 1 FROM shut u WHERE u.pos_id=p.pos_id AND u.side=p.side AND u.s=p.sq+1-2*p.side) THEN 481 ELSE 482 END AS idx, 1 AS v FROM men m JOIN pawn p ON p.pos_id=m.pos_id AND p.side=m.side AND (p.fl+p.rk)%2=(m.fl+m.rk)%2 WHERE m.pc=2",
     "x16_rook_files": "SELECT m.pos_id, m.side, CASE WHEN EXISTS (SELECT 1 FROM pawn p WHERE p.pos_id=m.pos_id AND p.fl=m.fl) THEN 484 ELSE 483 END AS idx, 1 AS v FROM men m WHERE m.pc=3 AND NOT EXISTS (SELECT 1 FROM pawn p WHERE p.pos_id=m.pos_id AND p.side=m.side AND p.fl=m.fl)",
-    "x17_trapped_rook": "SELECT m.pos_id, m.side, 485 AS idx, 1 AS v FROM men m WHERE m.pc=3 AND m.r<2 AND m.king%8=7*m.side AND CASE WHEN m.king//8<4 THEN m.fl<=m.king//8 ELSE m.fl>=m.king//8 END AND (SELECT COUNT(*) FROM att a JOIN psafe s ON s.pos_id=a.pos_id AND s.side=a.side AND s.s=a.dst WHERE a.pos_id=m.pos_id AND a.sq=m.sq AND a.dst<>m.king)<3",
+    "x17_trapped_rook": "SELECT m.pos_id, m.side, 485 AS idx, 1 AS v FROM men m WHERE m.pc=3 AND m.r<2 AND m.king%8=7*m.side AND CASE WHEN m.king//8<4 THEN m.fl<=m.king//8 ELSE m.fl>=m.king//8 END AND (SELECT COUNT(*) FROM att a JOIN psafe s ON s.pos_id=a.pos_id AND s.side=a.side AND s.s=a.dst WHERE a.pos_id=m.pos_id AND a.sq=m.sq AND a.dst<>m.king)<3 AND m.rights & CASE m.sq WHEN 56 THEN 1 WHEN 0 THEN 2 WHEN 63 THEN 4 WHEN 7 THEN 8 ELSE 0 END = 0",
     "x18_passed_pawn": "SELECT pos_id, side, 486+rr*20+k AS idx, 1 AS v FROM (SELECT pos_id, side, rr, unnest([0, CASE WHEN held THEN NULL ELSE 1 END, CASE WHEN free THEN 2 END, 4+greatest(abs(king//8-stop//8),abs(king%8-stop%8)), 12+greatest(abs(xking//8-stop//8),abs(xking%8-stop%8))]) AS k FROM pp) WHERE k IS NOT NULL",
     "x20_pawn_structure": "SELECT p.pos_id, p.side, 646+p.r*4+p.f AS idx, 1 AS v FROM pawn p WHERE EXISTS (SELECT 1 FROM pawn x WHERE x.pos_id=p.pos_id AND x.side=p.side AND x.rk=p.rk AND abs(x.fl-p.fl)=1) UNION ALL SELECT p.pos_id, p.side, 678+p.r*4+p.f, 1 FROM prot p WHERE p.pc=0 UNION ALL SELECT p.pos_id, p.side, 710+p.r*4+p.f, 1 FROM pawn p JOIN pawn x ON x.pos_id=p.pos_id AND x.side<>p.side AND x.sq=p.sq+1-2*p.side",
     "x21_weak_pawn": "SELECT pos_id, side, unnest([742+f, 746+r]) AS idx, 1 AS v FROM weak",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from rookery.functions import board as B
 from rookery.functions import scalars as S
-from rookery.operators import batching, features, geometry, linear, metrics, moves, scoring
+from rookery.operators import batching, features, geometry, linear, metrics, moves, scoring, sparse, training
 from rookery.plans import feature_sql as Q
+from rookery.plans import jobs
 from rookery.sources import fixtures as X
-from rookery.sources import records, text_positions, weight_text
+from rookery.sources import records, shared, text_positions, weight_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +92,7 @@ def g1_geometry(spark, sf_dir):
 
 @query(f"{BASE} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(side AS INTEGER) AS side, CAST(pc AS INTEGER) AS pc, CAST(sq AS INTEGER) AS sq, CAST(dst AS INTEGER) AS dst FROM att")
 def g2_attack_edges(spark, sf_dir):
-    return geometry.attack_edges(X.positions(spark, sf_dir), X.pieces(spark, sf_dir))
+    return geometry.attack_edges(X.pieces(spark, sf_dir))
 
 
 @query(f"{BASE} SELECT CAST(b.pos_id AS BIGINT) AS pos_id, {Q._IN_CHECK} AS in_check FROM both_sides b WHERE b.side=b.turn")
@@ -185,9 +186,10 @@ def f6_scale_features(spark, sf_dir):
 
 @query(f"WITH {SPARSE} SELECT a.row_id, CAST(SUM(a.value*((a.idx*37)%101-50)) AS DOUBLE) AS dot, CAST(SUM(a.value*a.value) AS DOUBLE) AS norm2, CAST(SUM(2*a.value+a.idx) AS DOUBLE) AS combined FROM sp a GROUP BY 1")
 def f7_sparse_algebra(spark, sf_dir):
-    v = X.sparse(spark, sf_dir).groupBy("row_id").agg(F.collect_list(F.struct("idx", "value")).alias("v"))
-    total = lambda e: f"aggregate(v, 0.0D, (a, x) -> a + {e})"
-    return v.selectExpr("row_id", f"{total('x.value * ((x.idx * 37) % 101 - 50)')} AS dot", f"{total('x.value * x.value')} AS norm2", f"{total('2 * x.value + x.idx')} AS combined")
+    v = training.vectors(X.sparse(spark, sf_dir), "row_id").select("row_id", sparse.vector(F.col("indices"), F.col("vals")).alias("v")).withColumn("dense", sparse.densify(F.col("v"), 40))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: ((i * 37) % 101 - 50).cast("double"))
+    present = sparse.total(F.transform("v.indices", lambda i: i.cast("double")))
+    return v.select("row_id", sparse.dot(F.col("v"), weights).alias("dot"), sparse.dot(F.col("v"), F.col("dense")).alias("norm2"), (sparse.total(sparse.multiply(F.col("dense"), 2.0)) + present).alias("combined"))
 
 
 @query(f"WITH {POS} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(least(wk//8,7-wk//8) AS INTEGER) AS w_file, CAST(7-bk%8 AS INTEGER) AS b_rank, CAST(greatest(abs(wk//8-bk//8),abs(wk%8-bk%8)) AS INTEGER) AS dist, CAST((wk//8+wk%8)%2 AS INTEGER) AS colour, CAST(CASE WHEN wk%8<7 THEN wk+1 ELSE -1 END AS INTEGER) AS front FROM pos")
@@ -270,7 +272,7 @@ _PRED = "pr AS (SELECT row_id, SUM(value*((idx*37)%101-50)) AS y_hat FROM sp GRO
 
 
 def _predicted(spark, sf_dir):
-    p = linear.predict(X.sparse(spark, sf_dir), _w(spark))
+    p = linear.predict(X.sparse(spark, sf_dir), _w(spark))  # with the rows' values, for gradients
     return p.join(X.rows(spark, sf_dir).withColumnRenamed("row_ord", "row_id"), "row_id").withColumn("residual", F.col("y") - F.col("y_hat"))
 
 
@@ -283,9 +285,7 @@ _GRAD = "gr AS (SELECT idx, SUM(value*residual)/(SELECT COUNT(*) FROM res) AS g
 
 
 def _grad(spark, sf_dir):
-    p = _predicted(spark, sf_dir)
-    n = p.count()
-    return linear.gradient(X.sparse(spark, sf_dir), p.select("row_id", "residual"), n)
+    return linear.gradient(_predicted(spark, sf_dir))
 
 
 @query(f"WITH {SPARSE}, {ROWS}, {_PRED}, {_GRAD} SELECT CAST(idx AS BIGINT) AS idx, CAST(ROUND(g,4) AS DOUBLE) AS g FROM gr")
@@ -308,9 +308,7 @@ _P = lambda x: f"(1/(1+exp(-CAST({x} AS DOUBLE)/206/4*ln(CAST(10 AS DOUBLE)))))"
 
 @query(f"WITH {SPARSE}, {ROWS}, {_PRED}, lr AS (SELECT row_id, 0.7*({_P('y_hat')}-{_P('y')})+0.3*({_P('y_hat')}-(result+1)/2.0) AS residual FROM res) SELECT CAST(idx AS BIGINT) AS idx, CAST(ROUND(SUM(value*residual)/(SELECT COUNT(*) FROM lr),4) AS DOUBLE) AS g FROM sp JOIN lr USING (row_id) GROUP BY 1")
 def l5_logistic_gradient(spark, sf_dir):
-    p = linear.logistic_residuals(_predicted(spark, sf_dir), 0.7)
-    n = p.count()
-    return linear.gradient(X.sparse(spark, sf_dir), p.select("row_id", "residual"), n).select("idx", F.round("g", 4).alias("g"))
+    return linear.gradient(linear.logistic_residuals(_predicted(spark, sf_dir), 0.7)).select("idx", F.round("g", 4).alias("g"))
 
 
 _SCORES = f"""fam AS MATERIALIZED ({Q.all_families()}), wsum AS (SELECT a.pos_id, SUM(CASE WHEN a.side=p.turn THEN v ELSE -v END*((a.idx*37)%101-50)) AS ms, SUM(CASE WHEN a.side=p.turn THEN v ELSE -v END*((a.idx*53)%97-48)) AS es FROM fam a JOIN pos p USING (pos_id) GROUP BY 1),
@@ -320,7 +318,7 @@ stat AS MATERIALIZED (SELECT p.pos_id, p.turn, CAST(floor((ROUND(w.ms*(24-s.stag
 
 @query(f"{BASE}, {_SCORES} SELECT CAST(pos_id AS BIGINT) AS pos_id, score FROM stat")
 def l8_static_score(spark, sf_dir):
-    return scoring.static_scores(_sides(spark, sf_dir), _weights(spark, 759)).select("pos_id", "score")
+    return _scores(spark, sf_dir).select("pos_id", "score")
 
 
 _SCALED = f"""{_FLAGS}, vw AS (SELECT t.pos_id, t.turn, CASE WHEN t.turn=0 THEN t.score ELSE -t.score END AS v FROM stat t), led AS (SELECT v.pos_id, v.turn, v.v, x.force AS xf, x.pawns AS xp, x.rook_a OR x.rook_h AS rook, x.two_knights AS tk, coalesce(x.blocked,false) AS bl, y.force AS yf, y.pawns AS yp, y.minors AS ym, x.one_bishop AS xb, y.one_bishop AS yb
@@ -330,24 +328,28 @@ dv AS (SELECT *, CASE WHEN xf>=6 THEN 1 WHEN xf=0 AND xp=0 THEN 0 WHEN rook THEN
 sc9 AS (SELECT pos_id, CAST(least(greatest(CASE WHEN turn=0 THEN 1 ELSE -1 END*CASE WHEN k=0 THEN 0 ELSE trunc(v/CAST(k AS DOUBLE)) END,-9900),9900) AS BIGINT) AS score FROM dv)"""
 
 
+def _scores(spark, sf_dir):
+    return scoring.scores(_sides(spark, sf_dir), _weights(spark, 759))
+
+
 def _scaled(spark, sf_dir):
-    s = _sides(spark, sf_dir)
-    return scoring.scaled_scores(scoring.static_scores(s, _weights(spark, 759)), scoring.endgame_flags(s))
+    return scoring.scaled_scores(_scores(spark, sf_dir))
 
 
 @query(f"{BASE}, {_SCORES}, {_SCALED} SELECT CAST(pos_id AS BIGINT) AS pos_id, score FROM sc9")
 def l9_endgame_scaled_score(spark, sf_dir):
-    return _scaled(spark, sf_dir)
+    return _scaled(spark, sf_dir).select("pos_id", "score")
 
 
 @query(f"{BASE}, {_SCORES}, {_SCALED} SELECT CAST(p.pos_id AS BIGINT) AS pos_id, CAST(s.score AS BIGINT) AS score, CAST(p.move AS INTEGER) AS move, CAST(p.game_result AS INTEGER) AS game_result FROM pos p JOIN sc9 s USING (pos_id)")
 def s10_relabel_records(spark, sf_dir):
-    return X.positions(spark, sf_dir).drop("score").join(_scaled(spark, sf_dir), "pos_id").selectExpr("pos_id", "score", "move", "CAST(game_result AS INT) AS game_result")
+    return X.positions(spark, sf_dir).drop("score").join(_scaled(spark, sf_dir).select("pos_id", "score"), "pos_id").selectExpr("pos_id", "score", "move", "CAST(game_result AS INT) AS game_result")
 
 
 # Text and packed positions.
 _FEN = """fen AS (SELECT p.pos_id, (SELECT string_agg(line, '/' ORDER BY r DESC) FROM (SELECT q.r, replace(replace(replace(replace(replace(replace(replace(string_agg(coalesce(CASE WHEN m.side=0 THEN substr('PNBRQK',m.pc+1,1) ELSE lower(substr('PNBRQK',m.pc+1,1)) END,'1'),'' ORDER BY q.f),'11111111','8'),'1111111','7'),'111111','6'),'11111','5'),'1111','4'),'111','3'),'11','2') AS line
-  FROM (SELECT CAST(range//8 AS INT) AS f, CAST(range%8 AS INT) AS r FROM range(64)) q LEFT JOIN men m ON m.pos_id=p.pos_id AND m.sq=q.f*8+q.r GROUP BY q.r))||CASE WHEN p.turn=0 THEN ' w' ELSE ' b' END||' - - 0 1' AS fen FROM pos p)"""
+  FROM (SELECT CAST(range//8 AS INT) AS f, CAST(range%8 AS INT) AS r FROM range(64)) q LEFT JOIN men m ON m.pos_id=p.pos_id AND m.sq=q.f*8+q.r GROUP BY q.r))||CASE WHEN p.turn=0 THEN ' w ' ELSE ' b ' END||CASE WHEN p.rights=0 THEN '-' ELSE CASE WHEN p.rights&1<>0 THEN 'K' ELSE '' END||CASE WHEN p.rights&2<>0 THEN 'Q' ELSE '' END||CASE WHEN p.rights&4<>0 THEN 'k' ELSE '' END||CASE WHEN p.rights&8<>0 THEN 'q' ELSE '' END END
+  ||' '||CASE WHEN p.ep>=0 THEN chr(CAST(97+p.ep//8 AS INT))||chr(CAST(49+p.ep%8 AS INT)) ELSE '-' END||' 0 1' AS fen FROM pos p)"""
 
 
 @query(f"WITH {POS}, {MEN}, {_FEN} SELECT CAST(pos_id AS BIGINT) AS pos_id, fen FROM fen")
@@ -363,13 +365,12 @@ def s7_read_text_positions(spark, sf_dir):
 @query(f"{BASE}, {_SCORES}, {_SCALED}, {_FEN.replace('JOIN men m', 'JOIN men0 m')} SELECT CAST(f.pos_id AS BIGINT) AS pos_id, f.fen||' '||CAST(s.score AS VARCHAR) AS line FROM fen f JOIN sc9 s USING (pos_id)")
 def s9_score_text_positions(spark, sf_dir):
     p, m, _ = text_positions.read_text(s8_write_text_positions(spark, sf_dir))
-    s = geometry.sides(p, m)
-    scores = scoring.scaled_scores(scoring.static_scores(s, _weights(spark, 759)), scoring.endgame_flags(s))
+    scores = scoring.scaled_scores(scoring.scores(geometry.sides(p, m), _weights(spark, 759)))
     return s8_write_text_positions(spark, sf_dir).join(scores, "pos_id").selectExpr("pos_id", "concat(fen, ' ', CAST(score AS STRING)) AS line")
 
 
 #: Positions of over 256 bits have no packed form: 19 bits, one a square, four more and a colour bit a piece but kings.
-@query(f"WITH {MEN} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(sq AS INTEGER) AS sq, CAST(side AS INTEGER) AS side, CAST(pc AS INTEGER) AS pc FROM men WHERE pos_id IN (SELECT pos_id FROM men GROUP BY 1 HAVING 13+62+4*(COUNT(*)-2)+4+1+14<=256)")
+@query(f"WITH {POS}, {MEN} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(sq AS INTEGER) AS sq, CAST(side AS INTEGER) AS side, CAST(pc AS INTEGER) AS pc FROM men WHERE pos_id IN (SELECT pos_id FROM men JOIN pos USING (pos_id) GROUP BY 1 HAVING 13+62+4*(COUNT(*)-2)+4+1+CASE WHEN MAX(ep)>=0 THEN 6 ELSE 0 END+14<=256)")
 def s3_decode_positions(spark, sf_dir):
     packed = records.encode_positions(X.positions(spark, sf_dir), X.pieces(spark, sf_dir))
     return records.decode_positions(packed, "pos_id")[1]
@@ -411,15 +412,14 @@ def s11_read_weights(spark, sf_dir):
 # Metrics.
 @query(f"WITH {SPARSE}, {ROWS}, {_PRED} SELECT COUNT(*) AS n, CAST(SUM(CAST(residual*residual AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS sse, CAST(ROUND(AVG(residual*residual),2) AS DOUBLE) AS mse FROM res")
 def m1_mse(spark, sf_dir):
-    d = _predicted(spark, sf_dir)
-    return metrics.mse(d).join(d.agg(F.sum((F.col("residual") * F.col("residual")).cast("decimal(28,0)")).cast("decimal(38,0)").alias("exact"))).select("n", F.col("exact").alias("sse"), F.round("mse", 2).alias("mse"))
+    return metrics.mse(_predicted(spark, sf_dir), whole=True).select("n", "sse", F.round("mse", 2).alias("mse"))
 
 
 @query(f"{BASE}, {_QUIET}, {_SCORES} SELECT COUNT(*) AS n, CAST(coalesce(SUM((q.score-t.score)*(q.score-t.score)),0) AS BIGINT) AS sse FROM quiet q JOIN stat t USING (pos_id)")
 def m2_mse_quiet(spark, sf_dir):
-    s = _sides(spark, sf_dir)
-    quiet = moves.quiet(_classified(spark, sf_dir), moves.in_check(s)).select("pos_id", F.col("score").alias("y"))
-    return metrics.mse(quiet.join(scoring.static_scores(s, _weights(spark, 759)).select("pos_id", F.col("score").alias("y_hat")), "pos_id")).select("n", F.col("sse").cast("long").alias("sse"))
+    s = _scores(spark, sf_dir).select("pos_id", "in_check", F.col("score").alias("y_hat"))
+    calm = _classified(spark, sf_dir).filter("NOT is_tactical").select("pos_id", F.col("score").alias("y"))
+    return metrics.mse(calm.join(s.filter("NOT in_check"), "pos_id")).select("n", F.col("sse").cast("long").alias("sse"))
 
 
 _H = lambda a, b: f"(-{a}*ln({b}+1e-6)-(1-{a})*ln(1-{b}+1e-6))"
@@ -456,31 +456,61 @@ def m7_value_widths(spark, sf_dir):
 @query(f"{BASE}, {_SCORES}, rw AS (SELECT a.pos_id, SUM(CASE WHEN a.side=p.turn THEN 1 ELSE -1 END*round(v)*((a.idx*37)%101-50)) AS ms, SUM(CASE WHEN a.side=p.turn THEN 1 ELSE -1 END*round(v)*((a.idx*53)%97-48)) AS es FROM (SELECT pos_id, side, idx, floor(ROUND(SUM(v),4)+0.5) AS v FROM fam GROUP BY 1,2,3) a JOIN pos p USING (pos_id) GROUP BY 1) SELECT CAST(t.pos_id AS BIGINT) AS pos_id, t.score, CAST(floor((w.ms*(24-s.stage)+w.es*s.stage+24*coalesce(g.gain,0)+1200)/2400) AS BIGINT) AS rounded FROM stat t JOIN rw w USING (pos_id) JOIN stg s USING (pos_id) LEFT JOIN gain g USING (pos_id) WHERE t.score<>CAST(floor((w.ms*(24-s.stage)+w.es*s.stage+24*coalesce(g.gain,0)+1200)/2400) AS BIGINT)")
 def m9_score_mismatch(spark, sf_dir):
     """Positions where rounding each feature value first moves the score."""
-    return scoring.static_scores(_sides(spark, sf_dir), _weights(spark, 759)).select("pos_id", "score", "rounded").filter("score <> rounded")
+    return _scores(spark, sf_dir).select("pos_id", "score", "rounded").filter("score <> rounded")
 
 
-# Fits: driver loops over aggregates, without SQL.
-def _vectors(spark, sf_dir):
-    v = X.sparse(spark, sf_dir).groupBy("row_id").agg(F.collect_list(F.struct("idx", "value")).alias("v"))
-    return v.join(X.rows(spark, sf_dir).withColumnRenamed("row_ord", "row_id"), "row_id").select("row_id", F.expr("transform(v, x -> CAST(x.idx AS INT))").alias("indices"), F.expr("transform(v, x -> CAST(x.value / 50 AS DOUBLE))").alias("vals"), F.col("y").cast("double").alias("y"))
+# Training: one epoch of two mini-batches each; penalty 1e-5 and 1e-3.
+def _epoch_sql(rate, penalty):
+    """From ex (row, b, idx, v) and lab (row, b, y): the weights after batches 0 and 1."""
+    return f"""n AS (SELECT b, COUNT(*) AS n FROM lab GROUP BY 1), w1 AS (SELECT idx, {rate}*SUM(y*v)/(SELECT n FROM n WHERE b=0) AS w FROM ex JOIN lab USING (row, b) WHERE b=0 GROUP BY 1),
+yh AS (SELECT l.row, l.y-coalesce(SUM(w1.w*e.v),0) AS r FROM lab l LEFT JOIN ex e ON e.row=l.row LEFT JOIN w1 ON w1.idx=e.idx WHERE l.b=1 GROUP BY l.row, l.y),
+g2 AS (SELECT idx, SUM(r*v)/(SELECT n FROM n WHERE b=1) AS g FROM ex JOIN yh USING (row) GROUP BY 1),
+fin AS (SELECT coalesce(w1.idx, g2.idx) AS idx, coalesce(w1.w,0)+{rate}*(coalesce(g2.g,0)-{penalty}*coalesce(w1.w,0)) AS w FROM w1 FULL JOIN g2 ON w1.idx=g2.idx)"""
 
 
-@query(None)
-def l7_fit_features(spark, sf_dir):
-    """Weights after each of five full-batch epochs, from one pass."""
-    w = linear.fit_gram(_vectors(spark, sf_dir), 40, 5, 0.5, 0.001)
-    return spark.createDataFrame([(e, i, float(round(x, 6))) for e, ws in enumerate(w) for i, x in enumerate(ws)], "epoch int, idx int, w double")
+_L6 = f"""x0 AS (SELECT a.pos_id, a.idx, SUM(CASE WHEN a.side=p.turn THEN v ELSE -v END) AS value FROM ({Q.all_families()}) a JOIN pos p USING (pos_id) GROUP BY 1,2), stg AS (SELECT pos_id, {_STAGE} AS stage FROM men0 GROUP BY 1),
+lab AS (SELECT pos_id AS row, pos_id//((SELECT MAX(pos_id) FROM pos)//2+1) AS b, CAST(score AS DOUBLE) AS y FROM quiet),
+ex AS (SELECT l.row, l.b, x.idx, x.value*(24-s.stage)/24.0 AS v FROM x0 x JOIN lab l ON l.row=x.pos_id JOIN stg s ON s.pos_id=x.pos_id UNION ALL SELECT l.row, l.b, x.idx+759, x.value*s.stage/24.0 FROM x0 x JOIN lab l ON l.row=x.pos_id JOIN stg s ON s.pos_id=x.pos_id)"""
 
 
-@query(None)
+@query(f"{BASE}, {_QUIET}, {_L6}, {_epoch_sql('0.001', '1e-5')} SELECT CAST(0 AS INTEGER) AS epoch, CAST(k.range AS INTEGER) AS idx, CAST(ROUND(coalesce(fin.w,0),5) AS DOUBLE)+0.0 AS w FROM range(1518) k LEFT JOIN fin ON fin.idx=k.range")
 def l6_fit_records(spark, sf_dir):
-    """Two epochs over quiet positions' features, in three batches; 759 mg weights."""
-    s = _sides(spark, sf_dir)
-    quiet = moves.quiet(_classified(spark, sf_dir), moves.in_check(s)).select(F.col("pos_id").alias("row_ord"), F.col("score").cast("double").alias("y")).persist()
-    d = features.feature_rows(s).withColumnRenamed("pos_id", "row_ord").join(quiet.select("row_ord"), "row_ord", "left_semi").persist()
-    top = quiet.agg(F.max("row_ord")).first()[0] or 0
-    w = linear.fit_batches(d, quiet, 759, top // 3 + 1, 2, 0.001, 1e-5)
-    return spark.createDataFrame([(e, i, float(round(x, 6))) for e, ws in enumerate(w) for i, x in enumerate(ws)], "epoch int, idx int, w double")
+    """Quiet positions' features with their phases, 1518 weights."""
+    positions, men = X.positions(spark, sf_dir), X.pieces(spark, sf_dir)
+    rows = jobs.feature_vectors(positions, men, quiet_moves=True).select("row_ord", "mg", "eg", "y", "quiet", "indices", "vals")
+    top = positions.agg(F.max("pos_id")).first()[0] or 0
+    path = shared.new_path(spark, "training")
+    rows = shared.settled(rows)
+    w, _ = training.fit_records(rows, rows, path, 759, training.Plan(1, top // 2 + 1, 0.001, 1e-5), quiet_only=True)
+    shared.release_path(spark, path)
+    shared.release(rows)
+    return _weight_rows(spark, w, 5)
+
+
+def _weight_rows(spark, w, digits):
+    return spark.createDataFrame([(e, i, float(round(x, digits)) + 0.0) for e, ws in enumerate(w) for i, x in enumerate(ws)], "epoch int, idx int, w double")
+
+
+_L7 = f"""deal0 AS (SELECT chunk_id, row_number() OVER (ORDER BY {_key('chunk_id*31', 5)}, chunk_id)-1 AS place FROM (SELECT DISTINCT row_ord//500 AS chunk_id FROM rws)),
+dealt AS (SELECT r.*, d.place%4 AS worker, row_number() OVER (PARTITION BY d.place%4 ORDER BY d.place, r.row_ord)-1 AS rn FROM rws r JOIN deal0 d ON d.chunk_id=r.row_ord//500),
+lab AS (SELECT row_ord AS row, CAST(rn//CASE WHEN worker=3 THEN t.n-3*(t.n//4) ELSE t.n//4 END AS BIGINT) AS b, CAST(y AS DOUBLE) AS y, mg, eg FROM dealt, (SELECT COUNT(*) AS n FROM rws) t),
+ex AS (SELECT l.row, l.b, sp.idx, sp.value/sc.scale*l.mg/24.0 AS v FROM sp JOIN sc USING (idx) JOIN lab l ON l.row=sp.row_id UNION ALL SELECT l.row, l.b, sp.idx+40, sp.value/sc.scale*l.eg/24.0 FROM sp JOIN sc USING (idx) JOIN lab l ON l.row=sp.row_id)"""
+
+
+@query(f"WITH {SPARSE}, {ROWS}, {_SC}, {_L7}, {_epoch_sql('0.5', '1e-3')} SELECT CAST(0 AS INTEGER) AS epoch, CAST(k.range AS INTEGER) AS idx, CAST(ROUND(coalesce(fin.w,0)/(SELECT scale FROM sc WHERE sc.idx=k.range%40),5) AS DOUBLE)+0.0 AS w FROM range(80) k LEFT JOIN fin ON fin.idx=k.range")
+def l7_fit_features(spark, sf_dir):
+    """Scaled features, read by chunk in a new order and dealt to four workers; weights of both phases, for features as they are."""
+    values, labels = X.sparse(spark, sf_dir), X.rows(spark, sf_dir)
+    scales = [r["scale"] for r in metrics.feature_scale(values, 40).orderBy("idx").collect()]
+    v = training.vectors(values, "row_id").withColumnRenamed("row_id", "row_ord")
+    empty = F.array().cast("array<int>"), F.array().cast("array<double>")
+    rows = labels.join(v, "row_ord", "left").select("row_ord", "mg", "eg", F.col("y").cast("double").alias("y"), F.lit(True).alias("quiet"), *[F.coalesce(c, e).alias(c) for c, e in zip(("indices", "vals"), empty, strict=True)])
+    rows, path = shared.settled(rows), shared.new_path(spark, "training")
+    plan = training.Plan(1, rows.count(), 0.5, 1e-3)
+    w, _ = training.fit_chunks(rows, rows, path, 40, plan, chunk=500, workers=4, seed=5, scales=scales)
+    shared.release_path(spark, path)
+    shared.release(rows)
+    return _weight_rows(spark, w, 5)
 
 
 @query(f"WITH {SPARSE}, {_WT}, wr AS (SELECT idx, CAST({_CUT('mg')} AS BIGINT) AS w100 FROM wt) SELECT sp.row_id, CAST(ROUND(SUM(value*w100)/100.0,2) AS DOUBLE) AS y_hat FROM sp JOIN wr USING (idx) GROUP BY 1")

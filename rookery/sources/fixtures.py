@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-POSITIONS = """SELECT CAST(FLOOR(o_orderkey/5) AS BIGINT) AS pos_id, (o_orderkey*17+o_custkey)%64 AS wk,
-  ((o_orderkey*17+o_custkey)%64 + 1 + (o_custkey*13+o_orderkey)%63)%64 AS bk, o_custkey%2 AS turn,
-  CAST(FLOOR(o_totalprice) AS BIGINT)%4001-2000 AS score,
-  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END AS game_result,
-  (o_orderkey*2654435 + o_custkey*97) % 65536 AS move
-FROM orders WHERE o_orderkey%5=0"""
+from rookery.functions import board as B
+
+#: A position is made from all orders of five keys.
+POSITIONS = """SELECT pos_id, (k*17+c)%64 AS wk, ((k*17+c)%64 + 1 + (c*13+k)%63)%64 AS bk, c%2 AS turn, p%4001-2000 AS score,
+  CASE s WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END AS game_result, (k*2654435 + c*97) % 65536 AS move,
+  (k+c)%16 AS rights, CASE WHEN c%3=0 THEN k%8*8 + CASE WHEN c%2=0 THEN 5 ELSE 2 END ELSE -1 END AS ep
+FROM (SELECT CAST(FLOOR(o_orderkey/5) AS BIGINT) AS pos_id, CAST(SUM(o_orderkey) AS BIGINT) AS k, CAST(SUM(o_custkey) AS BIGINT) AS c,
+  CAST(SUM(CAST(FLOOR(o_totalprice) AS BIGINT)) AS BIGINT) AS p, MAX(o_orderstatus) AS s FROM orders GROUP BY 1)"""
 
 PIECES = f"""WITH k AS ({POSITIONS}), r AS (
   SELECT CAST(FLOOR(l_orderkey/5) AS BIGINT) AS pos_id, (l_partkey*31+l_suppkey*7+l_linenumber)%64 AS sq,
@@ -33,9 +35,14 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+#: Squares of the rooks with the four bits of rights.
+RIGHTS = (56, 0, 63, 7)
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos_id, king squares, turn, score, game_result and best move; castling rights are empty."""
-    return _run(spark, sf_dir, POSITIONS, "orders").selectExpr("pos_id", "CAST(wk AS INT) wk", "CAST(bk AS INT) bk", "CAST(turn AS INT) turn", "score", "game_result", "CAST(move AS INT) move", "0L AS castling")
+    """pos_id, king squares, turn, score, game_result, best move, castling (squares of rooks with rights) and ep (-1 or a square)."""
+    castling = " + ".join(f"CASE WHEN (rights & {1 << n}) <> 0 THEN {B.bit(str(sq))} ELSE 0L END" for n, sq in enumerate(RIGHTS))
+    return _run(spark, sf_dir, POSITIONS, "orders").selectExpr("pos_id", "CAST(wk AS INT) wk", "CAST(bk AS INT) bk", "CAST(turn AS INT) turn", "score", "game_result", "CAST(move AS INT) move", f"{castling} AS castling", "CAST(ep AS INT) AS ep")
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

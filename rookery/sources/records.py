@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,6 +24,13 @@ class Range(InputPartition):
         self.file_idx, self.path, self.first, self.last, self.before = file_idx, path, first, last, before
 
 
+def _batch(file_idx: int, ords: np.ndarray, raw: bytes) -> pa.RecordBatch:
+    r = np.frombuffer(raw, dtype=RECORD)
+    n = len(r)
+    sfen = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(np.ascontiguousarray(r["sfen"]).tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, file_idx, np.int32)), pa.array(ords), sfen, pa.array(r["score"]), pa.array(r["move"].astype(np.int32)), pa.array(r["ply"].astype(np.int32)), pa.array(r["result"])], ["file_idx", "row_ord", "sfen", "score", "move", "game_ply", "game_result"])
+
+
 class RecordSource(DataSource):
     """spark.read.format('labelled_records').option('paths', 'a\\nb').load()
 
@@ -64,49 +72,92 @@ class RecordReader(DataSourceReader):
             f.seek(part.first * RECORD.itemsize)
             for at in range(part.first, part.last, 50_000):
                 n = min(50_000, part.last - at)
-                r = np.frombuffer(f.read(n * RECORD.itemsize), dtype=RECORD)
-                sfen = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(np.ascontiguousarray(r["sfen"]).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.file_idx, np.int32)), pa.array(part.before + np.arange(at, at + n)), sfen, pa.array(r["score"]), pa.array(r["move"].astype(np.int32)), pa.array(r["ply"].astype(np.int32)), pa.array(r["result"])], ["file_idx", "row_ord", "sfen", "score", "move", "game_ply", "game_result"])
+                yield _batch(part.file_idx, part.before + np.arange(at, at + n), f.read(n * RECORD.itemsize))
 
 
 def read_records(spark: SparkSession, paths: list[str], rows_per_split: int = 1_000_000) -> DataFrame:
+    """Records of local or mounted files, by byte ranges."""
     spark.dataSource.register(RecordSource)
     return spark.read.format("labelled_records").option("paths", "\n".join(paths)).option("rows_per_split", str(rows_per_split)).load()
 
 
+def read_list(spark: SparkSession, list_path: str) -> list[str]:
+    """Paths in a list file, one a line; read by Spark, so the list may be in any store."""
+    return [p for r in spark.read.text(list_path, wholetext=True).collect() for line in r["value"].split("\n") if (p := line.strip())]
+
+
+def read_stored_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of read_records() from files in any store that Spark reads (a file is one row of bytes, of at most 2 GB,
+    and one task's work): their order is that of paths, a part record at a file's end is left out."""
+    order = spark.createDataFrame(list(enumerate(paths)), "file_idx int, wanted string")
+    # A path comes back with its scheme: files are told by the path behind that.
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    files = spark.read.format("binaryFile").load(paths)
+    files = files.join(F.broadcast(order), plain(F.col("path")) == plain(F.col("wanted"))).withColumn("n", F.expr(f"length DIV {RECORD.itemsize}"))
+    sizes = {r["file_idx"]: r["n"] for r in files.select("file_idx", "n").collect()}
+    before, at = {}, 0
+    for k in sorted(sizes):
+        before[k], at = at, at + sizes[k]
+
+    def run(batches):
+        for b in batches:
+            for k, raw in zip(b.column("file_idx").to_pylist(), b.column("content"), strict=True):
+                whole = memoryview(raw.as_buffer())
+                for first in range(0, sizes[k], 50_000):
+                    n = min(50_000, sizes[k] - first)
+                    yield _batch(k, before[k] + np.arange(first, first + n), whole[first * RECORD.itemsize : (first + n) * RECORD.itemsize])
+
+    return files.select("file_idx", "content").mapInArrow(run, SCHEMA)
+
+
 def _turned(s):
     return (s & 7) * 8 + (s >> 3)
 
 
-def encode(turn: int, men: list[tuple[int, int, int]], castling: int = 0, ep: int = -1) -> bytes:
-    """A packed position from (square, side, piece) of 64 squares, file by file."""
-    at = {sq: (side, pc) for sq, side, pc in men}
-    kings = {side: sq for sq, side, pc in men if pc == 5}
-    bits: list[int] = []
-    put = lambda v, n: bits.extend((v >> k) & 1 for k in range(n))
+def encode_batch(turn: np.ndarray, castling: np.ndarray, ep: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n x 32 packed bytes, and whether the position fits in 256 bits with one king a side.
+
+    piece: n x 64, file by file, piece * 2 + side or -1. One bit cursor a row, as in decode_batch().
+    """
+    n = len(turn)
+    bits, rows, cur = np.zeros((n, 512), dtype=np.uint8), np.arange(n), np.zeros(n, dtype=np.int64)
+
+    def put(value, width) -> None:
+        width = np.broadcast_to(width, n)
+        for k in range(int(width.max(initial=0))):
+            on = width > k
+            bits[rows[on], cur[on] + k] = (np.broadcast_to(value, n)[on] >> k) & 1
+        cur[:] = cur + width
+
+    kings = [piece == 10, piece == 11]
     put(turn, 1)
-    put(_turned(kings[0]), 6)
-    put(_turned(kings[1]), 6)
+    for k in kings:
+        put(_turned(k.argmax(axis=1)), 6)
+    codes = np.array([CODES[p // 2] | (p % 2) << 4 if p < 10 else 0 for p in range(12)])
     for r in range(7, -1, -1):
         for f in range(8):
-            sq = f * 8 + r
-            if sq in kings.values():
-                continue
-            if sq in at:
-                put(CODES[at[sq][1]], 4)
-                put(at[sq][0], 1)
-            else:
-                put(0, 1)
+            p = piece[:, f * 8 + r].astype(np.int64)
+            full = (p >= 0) & (p < 10)
+            put(np.where(full, codes[p], 0), np.where(full, 5, np.where(p < 0, 1, 0)))
     for sq in ROOKS:
-        put((castling >> sq) & 1, 1)
+        put((castling >> np.int64(sq)) & 1, 1)
     put(ep >= 0, 1)
-    if ep >= 0:
-        put(_turned(ep), 6)
+    put(_turned(np.maximum(ep, 0)), np.where(ep >= 0, 6, 0))
     put(0, 6)
     put(1, 8)
-    if len(bits) > 256:
-        raise ValueError("more than 256 bits")
-    return np.packbits(np.array(bits + [0] * (256 - len(bits)), dtype=np.uint8), bitorder="little").tobytes()
+    good = (cur <= 256) & (kings[0].sum(axis=1) == 1) & (kings[1].sum(axis=1) == 1)
+    return np.packbits(bits[:, :256], axis=1, bitorder="little"), good
+
+
+def encode(turn: int, men: list[tuple[int, int, int]], castling: int = 0, ep: int = -1) -> bytes:
+    """A packed position from (square, side, piece) of 64 squares, file by file."""
+    piece = np.full((1, 64), -1, dtype=np.int8)
+    for sq, side, pc in men:
+        piece[0, sq] = pc * 2 + side
+    packed, good = encode_batch(np.array([turn]), np.array([castling], dtype=np.int64), np.array([ep]), piece)
+    if not good[0]:
+        raise ValueError("more than 256 bits, or not one king a side")
+    return packed[0].tobytes()
 
 
 def decode_batch(sfen: np.ndarray) -> dict[str, np.ndarray]:
@@ -153,9 +204,10 @@ def decode_positions(records: DataFrame, key: str = "row_ord") -> tuple[DataFram
             raw = b.column("sfen").to_pylist()
             whole = [x is not None and len(x) == 32 for x in raw]
             d = decode_batch(np.frombuffer(b"".join(x if w else bytes(32) for x, w in zip(raw, whole, strict=True)), dtype=np.uint8).reshape(-1, 32))
-            men = [[{"sq": int(s), "side": int(p[s] & 1), "pc": int(p[s] >> 1)} for s in np.flatnonzero(p >= 0)] for p in d["piece"]]
-            kind = pa.list_(pa.struct([("sq", pa.int32()), ("side", pa.int32()), ("pc", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("pos_id"), *[pa.array(d[c].astype(np.int32)) for c in ("turn", "wk", "bk")], pa.array(d["castling"]), pa.array(d["ep"].astype(np.int32)), pa.array(men, kind), pa.array(d["bad"] | ~np.array(whole, dtype=bool))], ["pos_id", "turn", "wk", "bk", "castling", "ep", "men", "bad"])
+            row, sq = np.nonzero(d["piece"] >= 0)
+            p = d["piece"][row, sq].astype(np.int32)
+            men = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(raw) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(sq.astype(np.int32)), pa.array(p & 1), pa.array(p >> 1)], ["sq", "side", "pc"]))
+            yield pa.RecordBatch.from_arrays([b.column("pos_id"), *[pa.array(d[c].astype(np.int32)) for c in ("turn", "wk", "bk")], pa.array(d["castling"]), pa.array(d["ep"].astype(np.int32)), men, pa.array(d["bad"] | ~np.array(whole, dtype=bool))], ["pos_id", "turn", "wk", "bk", "castling", "ep", "men", "bad"])
 
     src = records.select(F.col(key).cast("long").alias("pos_id"), "sfen")
     d = src.mapInArrow(run, "pos_id long, turn int, wk int, bk int, castling long, ep int, men array<struct<sq:int,side:int,pc:int>>, bad boolean")
@@ -164,21 +216,24 @@ def decode_positions(records: DataFrame, key: str = "row_ord") -> tuple[DataFram
 
 
 def encode_positions(positions: DataFrame, pieces: DataFrame) -> DataFrame:
-    """pos_id and sfen of positions (turn, castling) and pieces; positions of over 256 bits get null."""
+    """pos_id and sfen of positions (turn, castling and, if there, ep) and pieces; positions of over 256 bits get null."""
     def run(batches):
         for b in batches:
-            out = []
-            for turn, castling, men in zip(b.column("turn").to_pylist(), b.column("castling").to_pylist(), b.column("men").to_pylist(), strict=True):
-                try:
-                    out.append(encode(turn, [(m["sq"], m["side"], m["pc"]) for m in men], castling))
-                except ValueError:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("pos_id"), pa.array(out, pa.binary())], ["pos_id", "sfen"])
+            piece = np.full((b.num_rows, 64), -1, dtype=np.int8)
+            men = b.column("men")
+            sq, side, pc = (np.asarray(men.flatten().field(c)) for c in ("sq", "side", "pc"))
+            piece[np.repeat(np.arange(b.num_rows), np.diff(np.asarray(men.offsets))), sq] = pc * 2 + side
+            packed, good = encode_batch(*(np.asarray(b.column(c), dtype=np.int64) for c in ("turn", "castling", "ep")), piece)
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(packed).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("pos_id"), compute.if_else(pa.array(good), whole, pa.scalar(None, pa.binary()))], ["pos_id", "sfen"])
 
     men = pieces.groupBy("pos_id").agg(F.collect_list(F.struct("sq", "side", "pc")).alias("men"))
-    return positions.select("pos_id", "turn", "castling").join(men, "pos_id").mapInArrow(run, "pos_id long, sfen binary")
+    ep = F.col("ep").cast("long") if "ep" in positions.columns else F.lit(-1).cast("long")
+    return positions.select("pos_id", "turn", "castling", ep.alias("ep")).join(men, "pos_id").mapInArrow(run, "pos_id long, sfen binary")
 
 
-def write_feature_chunks(feature_rows: DataFrame, path: str, size: int) -> None:
-    """feature rows (row_ord, ..) as Parquet by chunk; chunk_id counts input rows, so filter afterwards or carry row_ord."""
-    feature_rows.withColumn("chunk_id", F.expr(f"row_ord DIV {size}")).repartition("chunk_id").write.mode("overwrite").partitionBy("chunk_id").parquet(path)
+def write_feature_chunks(feature_rows: DataFrame, path: str, size: int, kept: Column | None = None) -> None:
+    """feature rows (row_ord, ..) as Parquet by chunk; chunk_id counts rows before those that aren't kept are left out."""
+    d = feature_rows.withColumn("chunk_id", F.expr(f"row_ord DIV {size}"))
+    d = d if kept is None else d.filter(kept)
+    d.repartition("chunk_id").write.mode("overwrite").partitionBy("chunk_id").parquet(path)

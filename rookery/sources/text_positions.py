@@ -11,7 +11,8 @@ LETTERS = "PNBRQK"
 
 
 def write_text(positions: DataFrame, pieces: DataFrame) -> DataFrame:
-    """pos_id and fen: ranks from the eighth, files from A, runs of empty squares as digits; ends '0 1'."""
+    """pos_id and fen: ranks from the eighth, files from A, runs of empty squares as digits; castling rights, the square
+    of an en-passant capture if positions have an ep that isn't -1, and '0 1'."""
     letter = F.expr(f"CASE WHEN side = 0 THEN substring('{LETTERS}', pc + 1, 1) ELSE lower(substring('{LETTERS}', pc + 1, 1)) END")
     men = pieces.groupBy("pos_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sq"), letter.alias("l")))).alias("at"))
     ranks = "array_join(transform(sequence(7, 0, -1), r -> array_join(transform(sequence(0, 7), f -> coalesce(at[f * 8 + r], '1')), '')), '/')"
@@ -19,7 +20,8 @@ def write_text(positions: DataFrame, pieces: DataFrame) -> DataFrame:
     for n in range(8, 1, -1):
         d = d.withColumn("board", F.expr(f"replace(board, '{'1' * n}', '{n}')"))
     rights = "concat_ws('', " + ", ".join(f"CASE WHEN {B.has('castling', str(sq))} THEN '{x}' END" for sq, x in ((56, "K"), (0, "Q"), (63, "k"), (7, "q"))) + ")"
-    return d.select("pos_id", F.expr(f"concat(board, ' ', CASE WHEN turn = 0 THEN 'w' ELSE 'b' END, ' ', CASE WHEN castling = 0 THEN '-' ELSE {rights} END, ' - 0 1')").alias("fen"))
+    ep = "CASE WHEN ep >= 0 THEN concat(substring('abcdefgh', shiftright(ep, 3) + 1, 1), CAST((ep & 7) + 1 AS STRING)) ELSE '-' END" if "ep" in positions.columns else "'-'"
+    return d.select("pos_id", F.expr(f"concat(board, ' ', CASE WHEN turn = 0 THEN 'w' ELSE 'b' END, ' ', CASE WHEN castling = 0 THEN '-' ELSE {rights} END, ' ', {ep}, ' 0 1')").alias("fen"))
 
 
 def read_text(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
