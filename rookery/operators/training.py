@@ -112,7 +112,7 @@ def losses(v: DataFrame, w: np.ndarray, quiet: str | None = None) -> dict[str, f
 def store_batches(v: DataFrame, path: str) -> DataFrame:
     """v (with batch_id) as Parquet by batch, so that a step reads its batch alone; an epoch is one scan."""
     v.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id").parquet(path)
-    return v.sparkSession.read.parquet(path)
+    return v.sparkSession.read.schema(v.schema).parquet(path)
 
 
 def fit(batches: DataFrame, dim: int, plan: Plan, after: Callable[[int, np.ndarray], None] | None = None) -> list[np.ndarray]:

@@ -12,7 +12,7 @@ from rookery.sources import records, weight_text
 def record_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """positions (pos_id is row_ord; score, move and game_result) and pieces of labelled records that decode; others are left out."""
     positions, pieces, _ = records.decode_positions(rows)
-    labels = rows.select(F.col("row_ord").alias("pos_id"), F.col("score").cast("long").alias("score"), "move", F.col("result").alias("game_result"))
+    labels = rows.select(F.col("row_ord").alias("pos_id"), F.col("score").cast("long").alias("score"), "move", F.col("game_result").cast("long").alias("game_result"))
     return positions.join(labels, "pos_id"), pieces
 
 

@@ -19,13 +19,13 @@ def learn_from_folder(spark: SparkSession, chunks: str, weights: str, checkpoint
 
     def one(batch: DataFrame, number: int) -> None:
         rows = batch.select("row_ord", "y").distinct()
-        n = rows.count()
-        if not n:
+        if rows.isEmpty():
             return
         before = current_weights(spark, weights, number)
-        guess = linear.predict(batch.select(F.col("row_ord").alias("row_id"), "idx", "value"), before)
-        left = rows.withColumnRenamed("row_ord", "row_id").join(guess, "row_id", "left").select("row_id", (F.col("y") - F.coalesce("y_hat", F.lit(0.0))).alias("residual"))
-        g = linear.gradient(batch.select(F.col("row_ord").alias("row_id"), "idx", "value"), left, n)
+        guess = linear.predict(batch.select("row_ord", "idx", "value"), before, "row_ord")
+        none = F.array().cast("array<struct<idx:bigint,value:double>>")
+        left = rows.join(guess, "row_ord", "left").select(F.coalesce("v", none).alias("v"), (F.col("y") - F.coalesce("y_hat", F.lit(0.0))).alias("residual"))
+        g = linear.gradient(left)
         linear.step(linear.l2_shrink(g, before, penalty), rate).write.mode("overwrite").parquet(f"{weights}/batch={number}")
 
     return spark.readStream.schema(CHUNK_SCHEMA).parquet(chunks).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

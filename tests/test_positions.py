@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rookery.operators import batching, features, geometry, linear, metrics, moves, scoring
+from rookery.operators import batching, features, geometry, metrics, moves, scoring, sparse, training
+from rookery.plans import jobs
 from rookery.sources import records, text_positions, weight_text
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
@@ -22,14 +23,14 @@ def test_start_position(spark):
     assert sorted(map(tuple, features.feature_rows(s).collect())) == [(0, 758, 1.0), (1, 758, 1.0)]
     assert {tuple(r) for r in features.phases(s).collect()} == {(0, 24, 0), (1, 24, 0)}
     pair = spark.createDataFrame([(758, 1361.0, 1467.0)], "idx int, mg double, eg double")
-    assert {r.score for r in scoring.static_scores(s, pair).collect()} == {14}
+    assert {r.score for r in scoring.scores(s, pair).collect()} == {14}
 
 
 def test_two_kings_are_a_draw(spark):
     p, m, _ = load(spark, "4k3/8/8/8/8/8/8/4K3 w - - 0 1")
     s = geometry.sides(p, m)
     w = spark.range(759).selectExpr("CAST(id AS INT) AS idx", "1000.0D AS mg", "1000.0D AS eg")
-    assert scoring.scaled_scores(scoring.static_scores(s, w), scoring.endgame_flags(s)).first().score == 0
+    assert scoring.scaled_scores(scoring.scores(s, w)).first().score == 0
 
 
 def test_colour_flip_leaves_features(spark):
@@ -91,11 +92,115 @@ def test_gram_fit_is_gradient_descent(spark):
     w = np.zeros(4)
     for _ in range(5):
         w = w + 0.1 * (x.T @ (y - x @ w) / 60 - 0.01 * w)
-    assert np.allclose(linear.fit_gram(d, 4, 5, 0.1, 0.01)[-1], w)
-    long = spark.createDataFrame([(i, k, float(x[i, k])) for i in range(60) for k in range(4)], "row_ord long, idx long, value double")
-    labels = spark.createDataFrame([(i, float(y[i])) for i in range(60)], "row_ord long, y double")
-    one = linear.fit_batches(long, labels, 4, 60, 1, 0.1, 0.01)[-1]
-    assert np.allclose(one, 0.1 * x.T @ y / 60)
+    assert np.allclose(training.fit_gram(d, 4, 5, 0.1, 0.01)[-1], w)
+    assert training.gram(d.limit(0), 4)[3] == 0
+
+
+def vector_rows(spark, n=60, dim=4, seed=0):
+    """Rows with phases, labels, results and half of them quiet, and the same as NumPy arrays."""
+    r = np.random.default_rng(seed)
+    x, y, eg = r.integers(-3, 4, (n, dim)).astype(float), r.normal(size=n) * 50, r.integers(0, 25, n)
+    result, quiet = r.integers(-1, 2, n).astype(float), r.random(n) < 0.5
+    d = spark.createDataFrame([(i, int(24 - eg[i]), int(eg[i]), float(y[i]), float(result[i]), bool(quiet[i]), list(range(dim)), [float(v) for v in x[i]]) for i in range(n)],
+                              "row_ord long, mg int, eg int, y double, result double, quiet boolean, indices array<int>, vals array<double>")
+    return d, np.hstack([x * (24 - eg)[:, None] / 24, x * eg[:, None] / 24]), y, result, quiet
+
+
+@pytest.mark.parametrize("mix", [None, 0.7])
+def test_fit_records(spark, tmp_path, mix):
+    """Batches are cut before the filter; two epochs, losses and snapshots as NumPy has them."""
+    d, x, y, result, quiet = vector_rows(spark)
+    plan = training.Plan(2, 25, 0.01, 0.1, mix)
+    got, losses = training.fit_records(d, d, str(tmp_path / "job"), 4, plan, quiet_only=True)
+    chance = lambda v: 1 / (1 + 10 ** (-v / 206 / 4))
+    w, want = np.zeros(8), []
+    for _ in range(2):
+        for at in range(0, 60, 25):
+            k = np.flatnonzero(quiet[at : at + 25]) + at
+            q = x[k] @ w
+            r = y[k] - q if mix is None else mix * (chance(q) - chance(y[k])) + (1 - mix) * (chance(q) - (result[k] + 1) / 2)
+            w = w + 0.01 * (x[k].T @ r / len(k) - 0.1 * w)
+        want.append(w)
+    assert np.allclose(got, want)
+    e = (y - x @ want[-1]) ** 2
+    assert losses[-1]["n"] == 60 and losses[-1]["mse"] == pytest.approx(e.mean()) and losses[-1]["mse_quiet"] == pytest.approx(e[quiet].mean())
+    shots = spark.read.parquet(str(tmp_path / "job/weights")).filter("epoch = 1").orderBy("idx").collect()
+    assert np.allclose([r.mg for r in shots] + [r.eg for r in shots], want[-1])
+    assert training.losses(training.expand(d.limit(0), 4), w)["mse"] == 0.0
+    assert not np.any(training.fit_records(d.limit(0), d, str(tmp_path / "none"), 4, plan)[0])
+
+
+def test_fit_chunks(spark, tmp_path):
+    """Every row is in one batch of an epoch, a share from each worker; weights come back for unscaled features."""
+    d, x, y, _, _ = vector_rows(spark)
+    dealt = training.worker_batches(d, 10, 20, 3, 1, 9).collect()
+    assert sorted(r.row_ord for r in dealt) == list(range(60))
+    first = [r.worker for r in dealt if r.batch_id == 0]
+    assert [first.count(k) for k in range(3)] == [6, 6, 8]
+    scales = [2.0, 1.0, 4.0, 3.0]
+    got, losses = training.fit_chunks(d, d, str(tmp_path / "job"), 4, training.Plan(1, 60, 0.01, 0.0), 60, 1, 9, scales)
+    s = np.tile(scales, 2)
+    want = 0.01 * ((x / s).T @ y / 60) / s
+    assert np.allclose(got[0], want) and losses[0]["mse"] == pytest.approx(((y - x @ want) ** 2).mean())
+
+
+def test_sparse_algebra(spark):
+    d = spark.sql("SELECT named_struct('indices', array(1, 3, 1), 'vals', array(2.0D, 5.0D, 7.0D)) AS v, array(1.0D, 2.0D, 3.0D, 4.0D) AS w, named_struct('indices', array(), 'vals', array()) AS none")
+    v, w = F.col("v"), F.col("w")
+    r = d.select(sparse.dot(v, w).alias("dot"), sparse.densify(v, 4).alias("dense"), sparse.add_sparse(w, v, 2.0).alias("plus"), sparse.add_dense(w, w).alias("twice"), sparse.multiply(w, 3.0).alias("times"), sparse.divide(w, 2.0).alias("half"), sparse.total(w).alias("total")).first()
+    assert r.dot == 2 * 2 + 5 * 4 + 7 * 2 and r.dense == [0, 7, 0, 5] and r.plus == [1, 2 + 18, 3, 4 + 10]
+    assert r.twice == [2, 4, 6, 8] and r.times == [3, 6, 9, 12] and r.half == [0.5, 1, 1.5, 2] and r.total == 10
+
+
+def record_file(spark, path, fens, labels):
+    p, m, _ = load(spark, *fens)
+    packed = {r.pos_id: bytes(r.sfen) for r in records.encode_positions(p, m).collect()}
+    raw = np.zeros(len(fens), dtype=records.RECORD)
+    for k, (score, move) in enumerate(labels):
+        raw[k]["sfen"], raw[k]["score"], raw[k]["move"] = np.frombuffer(packed[k], dtype=np.uint8), score, move
+    path.write_bytes(raw.tobytes() + b"part")
+
+
+QUIET_MOVE, CAPTURE = 28 | (12 << 6), 35 | (28 << 6)
+
+
+def test_jobs_from_records(spark, tmp_path):
+    """Record files to feature files and chunks, and the losses of a weight file on them."""
+    fens = [START, FLIPPED, "4k3/8/8/3p4/4P3/8/8/4K3 w - - 0 1"]
+    record_file(spark, tmp_path / "a.bin", fens[:2], [(10, QUIET_MOVE), (-20, QUIET_MOVE)])
+    record_file(spark, tmp_path / "b.bin", fens[2:], [(30, CAPTURE)])
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/a.bin\n\n{tmp_path}/b.bin\n")
+    paths = records.read_list(spark, str(tmp_path / "list.txt"))
+    spark.dataSource.register(records.RecordSource)
+    ranged = spark.read.format("labelled_records").option("files", str(tmp_path / "list.txt")).option("rows_per_split", "1").load()
+    stored = records.read_stored_records(spark, paths)
+    assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, stored.collect())) and stored.count() == 3
+    v = jobs.feature_vectors(*jobs.record_tables(stored))
+    rows = {r.row_ord: r for r in v.collect()}
+    assert [rows[k].quiet for k in range(3)] == [True, True, False] and [rows[k].y for k in range(3)] == [10, -20, 30]
+    assert rows[0].indices == [758] and rows[0].vals == [1.0] and (rows[0].mg, rows[0].eg) == (24, 0)
+    jobs.write_features(v, str(tmp_path / "features"), quiet_only=True)
+    assert spark.read.parquet(str(tmp_path / "features")).count() == 2
+    manifest = {r.chunk_id: (r.name, r.n_rows, r.n_kept) for r in jobs.write_feature_chunks(v, str(tmp_path / "chunks.d"), 2, quiet_only=True).collect()}
+    assert manifest == {0: ("chunks-0.bin", 2, 2), 1: ("chunks-1.bin", 1, 0)}
+    assert {(r.row_ord, r.chunk_id) for r in spark.read.parquet(str(tmp_path / "chunks.d")).collect()} == {(0, 0), (1, 0)}
+    weights = spark.range(759).selectExpr("id AS idx", "CASE id WHEN 758 THEN 4.0D ELSE 0.0D END AS mg", "0.0D AS eg")
+    weight_text.save_lines(weight_text.weight_lines_x100(weights), str(tmp_path / "weights"))
+    got = jobs.validate_files(spark, paths, str(tmp_path / "weights"))
+    assert got["n"] == 3 and got["n_quiet"] == 2 and got["sse_quiet"] == (10 - 4) ** 2 + (-20 - 4) ** 2
+    assert jobs.validate(v, weights) == got
+
+
+def test_positions_view_has_rights(spark):
+    """Rights and en-passant squares go through packed and text form."""
+    from rookery.sources import fixtures as X
+
+    p, m = X.positions(spark, "/root/testdata/sf0.001"), X.pieces(spark, "/root/testdata/sf0.001")
+    want = {r.pos_id: (r.turn, r.wk, r.bk, r.castling, r.ep) for r in p.collect()}
+    assert len({x[3] for x in want.values()}) == 16 and any(x[4] >= 0 for x in want.values())
+    for back in (records.decode_positions(records.encode_positions(p, m), "pos_id"), text_positions.read_text(text_positions.write_text(p, m))):
+        got = {r.pos_id: (r.turn, r.wk, r.bk, r.castling, r.ep) for r in back[0].collect()}
+        assert got and all(want[k] == v for k, v in got.items())
 
 
 def test_empty_metrics(spark):
@@ -110,7 +215,7 @@ def test_quiet_and_text(spark):
     assert [r.text for r in rows] == ["e4e2", "e1g1", "a7a8q"]
 
 
-@pytest.mark.parametrize("name", ["x10_pinned", "f3_filter_quiet", "m1_mse", "s6_chunk_manifest", "a4_assign_workers"])
+@pytest.mark.parametrize("name", ["x10_pinned", "f2_move_class", "f3_filter_quiet", "m1_mse", "s6_chunk_manifest", "a4_assign_workers", "l6_fit_records", "l7_fit_features", "l9_endgame_scaled_score"])
 def test_registered_sql(spark, name):
     import duckdb
 
@@ -136,7 +241,16 @@ def test_streamed_steps(spark, tmp_path):
     assert current_weights(spark, str(tmp_path / "w")).first().w == pytest.approx(0.5)
 
 
-def test_imports_without_the_text_operators():
-    import __spark_entry__
+def test_imports_without_the_text_operators(tmp_path):
+    """With the text operators and their pipeline gone, all else is registered."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
 
-    assert "x0_feature_rows" in __spark_entry__.queries()
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "rookery", tmp_path / "rookery", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"], cwd=tmp_path, env={"PATH": "", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    names = said.stdout.split()
+    assert said.returncode == 0 and "x0_feature_rows" in names and not any(n.startswith("op") or n == "pipeline" for n in names), said.stderr
