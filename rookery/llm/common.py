@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.sources.shared import release, settled
+
+__all__ = ["FOLD", "LOWER", "UPPER", "fresh", "release", "settled", "sliced", "table", "texts"]
+
 #: ASCII upper case and its lower case: the only letters that word contracts fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -44,34 +45,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name = "_" + name
     return name
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one spark.checkpoint.dir names, or the session's checkpoint folder.
-
-    Only a session within one process (tests, a laptop) gets a temporary folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rookery-checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once to the shared folder as Parquet; later reads survive lost executors and start there."""
-    path = f"{shared_dir(df.sparkSession)}/rookery-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes the files of tables that settled() wrote and that nothing will read any more."""
-    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
-        if "/rookery-" in path:
-            hadoop = tables[0].sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)

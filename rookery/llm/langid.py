@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,17 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import settled
+from rookery.llm.common import release, settled, sliced
 
 #: Characters of an n-gram; one blank stands for everything between two words.
 N = 4
-#: Slots of the filter and hashes of an n-gram: 4 Mi slots of 8 bytes bound it at 32 MiB.
+#: Slots of the filter and hashes of an n-gram: 4 Mi slots of 8 bytes, 32 MiB for each PLANE languages.
 SLOTS = 1 << 22
 HASHES = 4
 #: An n-gram belongs to a language if it makes up this share of that language's n-grams at least.
 MIN_SHARE = 2e-5
-#: Languages fit in one 64-bit mask.
-MAX_LANGUAGES = 63
+#: Languages of one 64-bit mask; more take more masks.
+PLANE = 63
+#: Characters that are taken at once.
+CHARS = 1_000_000
 #: Odd 64-bit factors for the characters and the slots.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -35,6 +39,8 @@ def _letters() -> np.ndarray:
     return fold
 
 
+#: Where a long text may be cut.
+BLANK = re.compile(r"\s")
 _fold: list[np.ndarray] = []
 
 
@@ -73,9 +79,31 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
     return [((h * (FACTORS[k] | np.uint64(1))) >> np.uint64(40)).astype(np.int64) % SLOTS for k in range(HASHES)]
 
 
+def parts(texts: list[str | None], chars: int = CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The texts in lists of (number, part) of about so many characters. Long texts are cut between two words, where no
+    n-gram that counts is lost."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        text = text or ""
+        at = 0
+        while True:
+            end = min(len(text), at + chars)
+            if end < len(text):
+                end = next((m.end() for m in BLANK.finditer(text, end)), len(text))
+            held.append((k, text[at:end]))
+            size, at = size + end - at, end
+            if size >= chars:
+                yield held
+                held, size = [], 0
+            if at >= len(text):
+                break
+    if held:
+        yield held
+
+
 @dataclass(frozen=True)
 class Model:
-    """names[k] has bit k; masks: for each slot, the languages that have set it; fill: share of slots each has set."""
+    """names[k] has bit k % PLANE of masks[k // PLANE]; masks: for each slot, the languages that have set it; fill: share of slots each has set."""
 
     names: list[str]
     masks: np.ndarray
@@ -83,21 +111,26 @@ class Model:
     default: str
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        h, owner, has = grams(texts)
         n = len(texts)
+        hits, total, has = np.zeros((len(self.names), n)), np.zeros(n), np.zeros(n, dtype=bool)
+        for held in parts(texts):
+            h, owner, letters = grams([x for _, x in held])
+            number = np.array([k for k, _ in held])
+            has[number[letters]] = True
+            owner = number[owner]
+            total += np.bincount(owner, minlength=n)
+            at = slots(h)
+            for plane, masks in enumerate(self.masks):
+                found = np.full(len(h), -1, dtype=np.int64)
+                for s in at:
+                    found &= masks[s]
+                for k in range(plane * PLANE, min(len(self.names), (plane + 1) * PLANE)):
+                    hits[k] += np.bincount(owner, weights=(found >> (k % PLANE)) & 1, minlength=n)
         if not self.names:
             return [("und", 0.0)] * n
-        found = np.full(len(h), -1, dtype=np.int64)
-        for s in slots(h):
-            found &= self.masks[s]
-        total = np.bincount(owner, minlength=n).astype(float)
         # Popcount of each language, less what a filter of that fill lets through by chance.
-        shares = np.zeros((len(self.names), n))
-        for k in range(len(self.names)):
-            hits = np.bincount(owner, weights=(found >> k) & 1, minlength=n)
-            false = self.fill[k] ** HASHES
-            shares[k] = (hits / np.maximum(total, 1) - false) / max(1e-9, 1 - false)
-        shares = np.clip(shares, 0.0, 1.0)
+        false = (self.fill**HASHES)[:, None]
+        shares = np.clip((hits / np.maximum(total, 1) - false) / np.maximum(1e-9, 1 - false), 0.0, 1.0)
         best = shares.argmax(axis=0)
         out = []
         for i in range(n):
@@ -110,63 +143,50 @@ class Model:
         return out
 
 
-def _pieces(batch_texts: list[str | None], chars: int = 1_000_000):
-    """Slices of a batch of about so many characters each, so that arrays stay small."""
-    at, held = 0, 0
-    for k, x in enumerate(batch_texts):
-        held += len(x or "")
-        if held >= chars:
-            yield at, k + 1
-            at, held = k + 1, 0
-    if at < len(batch_texts):
-        yield at, len(batch_texts)
-
-
 def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
     """The filter from all rows (text, lang) with a language.
 
     Workers count n-grams by slice and Spark sums the counts; n-grams of enough share set their
-    slots. What reaches the driver is one mask for each set slot, at most SLOTS rows however many the
-    documents. More than MAX_LANGUAGES languages are an error.
+    slots. What reaches the driver is one mask for each set slot and PLANE languages, at most SLOTS rows each however many the
+    documents.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
 
     def count(batches):
-        for b in batches:
+        for b in sliced(batches):
             all_texts, all_langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-            for start, end in _pieces(all_texts):
-                h, owner, _ = grams(all_texts[start:end])
-                names = sorted(set(all_langs[start:end]))
+            for held in parts(all_texts):
+                h, owner, _ = grams([x for _, x in held])
+                names = sorted({all_langs[k] for k, _ in held})
                 number = {x: k for k, x in enumerate(names)}
-                lang = np.array([number[x] for x in all_langs[start:end]])[owner]
+                lang = np.array([number[all_langs[k]] for k, _ in held])[owner]
                 for k, name in enumerate(names):
                     values, counts = np.unique(h[lang == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = settled(counts)
-    totals = sorted((r["lang"], r["t"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).limit(MAX_LANGUAGES + 1).collect())
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    totals = sorted((r["lang"], r["t"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect())
     names = [x for x, _ in totals]
     default = max(totals, key=lambda x: (x[1], x[0]))[0] if totals else "und"
-    masks = np.zeros(SLOTS, dtype=np.int64)
+    masks = np.zeros((-(-len(names) // PLANE), SLOTS), dtype=np.int64)
     if names:
-        bit = F.create_map(*[y for k, (x, _) in enumerate(totals) for y in (F.lit(x), F.lit(1 << k))])[F.col("lang")]
+        number = F.create_map(*[y for k, (x, _) in enumerate(totals) for y in (F.lit(x), F.lit(k))])[F.col("lang")]
         least = F.create_map(*[y for x, t in totals for y in (F.lit(x), F.lit(max(2.0, t * min_share)))])[F.col("lang")]
 
         def set_slots(batches):
             for b in batches:
                 h = np.asarray(b.column("gram")).view(np.uint64)
                 for s in slots(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(s), b.column("bit")], ["slot", "bit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s), b.column("plane"), b.column("bit")], ["slot", "plane", "bit"])
 
-        chosen = counts.filter(F.col("n") >= least).select("gram", bit.cast("long").alias("bit"))
+        chosen = counts.filter(F.col("n") >= least).withColumn("k", number).select("gram", F.expr(f"CAST(k DIV {PLANE} AS INT)").alias("plane"), F.expr(f"shiftleft(1L, CAST(k % {PLANE} AS INT))").alias("bit"))
         # A small language keeps something even where every n-gram of it is rare.
-        filled = chosen.mapInArrow(set_slots, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+        filled = chosen.mapInArrow(set_slots, "slot long, plane int, bit long").groupBy("slot", "plane").agg(F.bit_or("bit").alias("mask"))
         got = filled.toArrow()
-        masks[np.asarray(got.column("slot"))] = np.asarray(got.column("mask"))
-    fill = np.array([np.count_nonzero((masks >> k) & 1) / SLOTS for k in range(len(names))])
+        masks[np.asarray(got.column("plane"), dtype=np.int64), np.asarray(got.column("slot"), dtype=np.int64)] = np.asarray(got.column("mask"), dtype=np.int64)
+    release(counts)
+    fill = np.array([np.count_nonzero((masks[k // PLANE] >> (k % PLANE)) & 1) / SLOTS for k in range(len(names))])
     return Model(names, masks, fill, default)
 
 
@@ -177,15 +197,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     n-gram is known get the language with most training text, with score 0; ties go to the
     first name in order. Repeated rows are judged each for itself; an empty table gives an empty
     result; extra columns are ignored; without training rows everything is 'und'. The filter
-    that workers get is at most 8 * SLOTS bytes.
+    that workers get is at most 8 * SLOTS bytes for each PLANE languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            t = b.column("text").to_pylist()
-            found = [x for start, end in _pieces(t) for x in m.predict(t[start:end])]
+        for b in sliced(batches):
+            found = m.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
