@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rookery.llm.common import fresh, settled, sliced, texts
 
@@ -403,7 +404,8 @@ def rewrite(docs: DataFrame, secret: bytes) -> DataFrame:
             names = [n for n in b.schema.names if n != own_name]
             yield pa.RecordBatch.from_arrays([pa.array(new[n], b.schema.field(n).type) if n in new else b.column(n) for n in names], names)
 
-    return d.mapInArrow(run, docs.schema)
+    # n_chars of a null text is null, whatever it was before.
+    return d.mapInArrow(run, StructType([StructField(f.name, f.dataType, True, f.metadata) for f in docs.schema]))
 
 
 def _attempts(own, shared: dict) -> dict[tuple[str, str], tuple[str, int]]:
