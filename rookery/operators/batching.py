@@ -37,11 +37,22 @@ def chunk_manifest(d: DataFrame, size: int, base: str, kept: Column | None = Non
     return g.withColumn("name", F.concat(stem, F.lit("-"), F.col("chunk_id").cast("string"), F.lit(".bin")))
 
 
+#: Ranges of keys in which chunks are ranked side by side.
+RANGES = 1024
+
+
 def deal_chunks(ids: DataFrame, epoch: int, seed: int, workers: int) -> DataFrame:
-    """chunk_id, its place in the epoch's order and its worker, dealt round robin. One row a chunk, so the order is of the manifest only."""
-    order = Window.orderBy("key", "chunk_id")
-    ranked = ids.select("chunk_id", draw(F.col("chunk_id") * 31 + epoch, seed).alias("key")).withColumn("place", F.row_number().over(order) - 1)
-    return ranked.withColumn("worker", F.col("place") % workers)
+    """chunk_id, its place in the epoch's order and its worker, dealt round robin.
+
+    Keys are spread evenly, so each range of keys is ranked by itself and starts where the ranges before it end; only the counts of
+    the RANGES ranges meet in one task.
+    """
+    d = ids.select("chunk_id", draw(F.col("chunk_id") * 31 + epoch, seed).alias("key")).withColumn("part", F.expr(f"key DIV {2**31 // RANGES}"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("key", "chunk_id")
+    ranked = d.join(F.broadcast(starts), "part").withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
+    return ranked.select("chunk_id", "key", "place", (F.col("place") % workers).alias("worker"))
 
 
 def mini_batches(d: DataFrame, size: int, workers: int) -> DataFrame:
