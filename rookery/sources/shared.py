@@ -29,10 +29,13 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark)}/rookery-{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once to the shared folder as Parquet; later reads survive lost executors and start there."""
+def settled(df: DataFrame, name: str = "table", most: int | None = None) -> DataFrame:
+    """df written once to the shared folder as Parquet; later reads survive lost executors and start there.
+
+    most: files and tasks that the last stage takes at most, for tables whose size is known.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(most)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
