@@ -4,6 +4,7 @@ import hashlib
 import ipaddress
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,7 +32,8 @@ def test_quality_counts(spark):
         t = "null id" if r.doc_id is None else ODD[r.doc_id] or ""
         w = words(t)
         wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        covered = {i + k for i, x in enumerate(wins) if wins.count(x) > 1 for k in range(3)} if len(w) < 1000 else set()
+        often = Counter(wins)
+        covered = {i + k for i, x in enumerate(wins) if often[x] > 1 for k in range(3)}
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
         assert not (r.base_failed and r.kept)
     assert quality.judge(odd(spark, [])).count() == 0
@@ -172,7 +174,7 @@ def test_near_duplicate_recall(spark):
         home |= brute_components({i: texts[i] for i in range(10 * g, 10 * g + 6)}, 2)[0]
     got = {x.doc_id: x.component_id for x in dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=2).collect()}
     linked = [i for i in home if sum(home[j] == home[i] for j in range(i // 10 * 10, i // 10 * 10 + 6)) > 1]
-    assert len(linked) > 1500 and sum(got[i] == home[i] for i in linked) / len(linked) >= 0.99
+    assert len(linked) > 1000 and sum(got[i] == home[i] for i in linked) / len(linked) >= 0.99
     assert all(got[i] == i for i in home if i not in set(linked))
 
 
