@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -66,20 +66,16 @@ def format_chats(turns: DataFrame) -> DataFrame:
     role = F.regexp_replace(escape(F.coalesce(F.col("role").cast("string"), F.lit(""))), "\n", LINE)
     flat = F.coalesce(_flat(F.col("parts")), F.lit(""))
     t = turns.select("conv_id", "turn", role.alias("role"), flat.alias("content"), _attached(F.col("parts")).alias("attached"))
-    t = t.select("conv_id", F.struct("turn", "role", "content", "attached").alias("t"))
-    c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # Where a turn starts: the lengths of those before it.
+    size = F.length("role") + F.length("content") + len(START) + len(END) + 2
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "attached").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "content", "attached"))).alias("turns"))
     said = F.transform("turns", lambda x: F.concat(F.lit(START), x["role"], F.lit("\n"), x["content"], F.lit(END + "\n")))
     c = c.withColumn("formatted", F.array_join(said, ""))
-    # Content starts: lengths of the turns before, as a running sum within the conversation.
-    size = lambda x: F.length(x["role"]) + F.length(x["content"]) + len(START) + len(END) + 2
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + len(START) + F.length(x["role"]) + 1
-        span = F.array(F.struct(start.alias("start"), (start + F.length(x["content"])).alias("end")))
-        return F.struct((acc["at"] + size(x)).alias("at"), F.when(x["role"].isin(*LEARNED), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    c = c.withColumn("loss_spans", F.aggregate("turns", first, step, lambda acc: acc["spans"]))
+    start = lambda x: x["at"] + len(START) + F.length(x["role"]) + 1
+    spans = F.transform(F.filter("turns", lambda x: x["role"].isin(*LEARNED)), lambda x: F.struct(start(x).alias("start"), (start(x) + F.length(x["content"])).alias("end")))
+    c = c.withColumn("loss_spans", spans)
     c = c.withColumn("attachments", F.flatten(F.transform("turns", lambda x: F.coalesce(x["attached"], F.array().cast("array<struct<type:string,ref:string,n_tokens:bigint>>")))))
     return c.select("conv_id", "formatted", "loss_spans", "attachments", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"]).alias("n_expanded"))
 
