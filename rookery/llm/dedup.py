@@ -30,6 +30,10 @@ STAR_ROUNDS = 3
 PLAIN_FACTOR = 4
 
 
+#: Tables of nodes and pairs of nodes are written in PARTS parts and one more for PART_NODES nodes that met another one.
+PARTS, PART_NODES = 8, 5_000
+
+
 @dataclass(frozen=True)
 class Banding:
     """Keys of tables are pairs of one half-key from each of two collections.
@@ -231,19 +235,19 @@ def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     return sets.mapInArrow(run, "node long, key long, i long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """node and component (its smallest node) of every node of the links (x, y).
 
     Every node takes the least label around it, then its label's label, until nothing changes: a
     number of rounds like the logarithm of the longest chain. Each round is written out.
     """
-    both = settled(links.select("x", "y").union(links.select("y", "x")).distinct())
-    labels = settled(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("component")))
+    both = settled(links.select("x", "y").union(links.select("y", "x")).distinct(), most=parts)
+    labels = settled(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("component")), most=parts)
     while True:
         seen = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("near"))
         least = labels.join(seen, labels["node"] == seen["x"]).select("node", F.least("component", "near").alias("c"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("far"))
-        new = settled(least.join(jump, "c").select("node", F.least("c", "far").alias("component"), "was"))
+        new = settled(least.join(jump, "c").select("node", F.least("c", "far").alias("component"), "was"), most=parts)
         release(labels)
         labels = new.select("node", "component")
         if new.filter("component < was").isEmpty():
@@ -338,8 +342,9 @@ def _judged(docs: DataFrame, k: int, threshold: int, banding: Banding) -> DataFr
         some = rows.select("node", "n", "c").distinct()
         if sets is None:
             wanted = settled(classes.join(some, "node", "left_semi").select("node", F.xxhash64("first.none", "first.doc_id").alias("h"), F.col("first.t").alias("t")))
-            here = signed.select(_id_key().alias("h"), "t").join(wanted, ["h", "t"], "left_semi").count()
-            sets = settled(full_sets(docs, wanted, k, repeated=here > wanted.count()))
+            here, n = signed.select(_id_key().alias("h"), "t").join(wanted, ["h", "t"], "left_semi").count(), wanted.count()
+            parts = PARTS + n // PART_NODES
+            sets = settled(full_sets(docs, wanted, k, repeated=here > n))
             release(wanted)
         if turn:
             size = rows.agg(F.count("*").alias("rows"), F.sum((F.col("s") - F.col("top")) * 1.0).alias("pairs")).first()
@@ -348,18 +353,18 @@ def _judged(docs: DataFrame, k: int, threshold: int, banding: Banding) -> DataFr
         leaders = rows.groupBy("key").agg(*[F.max_by(x, "rank").alias(y) for x, y in (("node", "q"), ("n", "m"), ("c", "cq"))])
         met = rows.join(leaders, "key").filter((F.col("c") != F.col("cq")) & _could_reach(F.col("n"), F.col("m"), threshold))
         pairs = _ordered(met.select(F.col("node").alias("p"), "q"))
-        pairs = settled(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
+        pairs = settled(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), most=parts)
         tested = pairs if tested is None else tested.union(pairs)
         links = settled(confirm(pairs, sets, threshold))
         known = found
-        found = components(links if known is None else links.union(known.select("node", "component")))
-        old, nodes = nodes, settled(nodes.drop("c").join(some.select("node"), "node", "left_semi").join(found, "node", "left").select("node", "n", "weight", "a", "b", F.coalesce("component", "node").alias("c")))
+        found = components(links if known is None else links.union(known.select("node", "component")), parts)
+        old, nodes = nodes, settled(nodes.drop("c").join(some.select("node"), "node", "left_semi").join(found, "node", "left").select("node", "n", "weight", "a", "b", F.coalesce("component", "node").alias("c")), most=parts)
         release(old, rows, links, *([known] if known is not None else []))
 
-    some = settled(some)
+    some = settled(some, most=parts)
     pairs = settled(_by_prefixes(sets, some, threshold).join(tested, ["x", "y"], "left_anti"))
     links = settled(confirm(pairs, sets, threshold).union(found.select("node", "component")))
-    known, found = found, components(links)
+    known, found = found, components(links, parts)
     release(nodes, rows, some, links, known, pairs, tested, sets)
 
     homes = classes.join(found, "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("c"))
