@@ -368,7 +368,8 @@ def _judged(docs: DataFrame, k: int, threshold: int, banding: Banding) -> DataFr
     release(nodes, rows, some, links, known, pairs, tested, sets)
 
     homes = classes.join(found, "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("c"))
-    best = homes.groupBy("c").agg(F.min("first").alias("best"))
+    # Written first, so that a join with a component of very many nodes can be split.
+    best = settled(homes.groupBy("c").agg(F.min("first").alias("best")))
     homes = homes.join(best, "c").select("set_key", "best")
     return signed.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(homes, "set_key", "left").drop("set_key")
 
