@@ -12,7 +12,7 @@ MOST_FEATURES = 1 << 20
 
 
 def small(d: DataFrame, most: int = MOST_FEATURES) -> DataFrame:
-    """d for a broadcast, after its rows were counted up to the bound."""
+    """d, a stored or otherwise cheap table, for a broadcast, after its rows were counted up to the bound."""
     if d.limit(most + 1).count() > most:
         raise ValueError(f"over {most} rows can't be broadcast")
     return F.broadcast(d)
@@ -25,9 +25,9 @@ def phase_expand(d: DataFrame, half: int) -> DataFrame:
     return d.select(*keep, pair.alias("p")).select(*keep, "p.*")
 
 
-def scale_features(d: DataFrame, scales: DataFrame) -> DataFrame:
-    """value / scale; scales has at most one row a feature, so it is broadcast."""
-    return d.join(small(scales), "idx").withColumn("value", F.col("value") / F.col("scale")).drop("scale")
+def scale_features(d: DataFrame, scales: list[float]) -> DataFrame:
+    """value / scales[idx]; rows of other features go. No join: the scales are part of the expression."""
+    return d.filter(F.col("idx").between(0, len(scales) - 1)).withColumn("value", F.col("value") / F.get(F.array(*[F.lit(float(x)) for x in scales]), F.col("idx").cast("int")))
 
 
 def predict(d: DataFrame, weights: DataFrame, row: str = "row_id") -> DataFrame:

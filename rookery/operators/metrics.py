@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import win_probability
-from rookery.operators.linear import small
 
 
 def mse(d: DataFrame, whole: bool = False) -> DataFrame:
@@ -31,9 +30,9 @@ def cross_entropy(d: DataFrame, mix: float) -> DataFrame:
 
 def feature_scale(d: DataFrame, n_features: int) -> DataFrame:
     """idx and ceil(max(1, max |value|)) of every feature, seen or not."""
-    seen = d.groupBy("idx").agg(F.max(F.abs("value")).alias("top"))
+    seen = d.filter(F.col("idx").between(0, n_features - 1)).groupBy("idx").agg(F.max(F.abs("value")).alias("top"))
     every = d.sparkSession.range(n_features).select(F.col("id").alias("idx"))
-    return every.join(small(seen), "idx", "left").select("idx", F.ceil(F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))).cast("double").alias("scale"))
+    return every.join(F.broadcast(seen), "idx", "left").select("idx", F.ceil(F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))).cast("double").alias("scale"))
 
 
 def feature_range(d: DataFrame, rows: DataFrame) -> DataFrame:

@@ -178,10 +178,15 @@ def f5_phase_expand(spark, sf_dir):
 _SC = "sc AS (SELECT CAST(range AS BIGINT) AS idx, ceil(greatest(1.0, coalesce((SELECT MAX(abs(value)) FROM sp WHERE sp.idx=range.range),0))) AS scale FROM range(40))"
 
 
+def _scales(d):
+    """One number a feature."""
+    return [r["scale"] for r in metrics.feature_scale(d, 40).orderBy("idx").collect()]
+
+
 @query(f"WITH {SPARSE}, {_SC} SELECT row_id, CAST(sp.idx AS BIGINT) AS idx, CAST(ROUND(value/scale,6) AS DOUBLE) AS value FROM sp JOIN sc USING (idx)")
 def f6_scale_features(spark, sf_dir):
     d = X.sparse(spark, sf_dir)
-    return linear.scale_features(d, metrics.feature_scale(d, 40)).selectExpr("row_id", "idx", "CAST(round(value, 6) AS DOUBLE) AS value")
+    return linear.scale_features(d, _scales(d)).selectExpr("row_id", "idx", "CAST(round(value, 6) AS DOUBLE) AS value")
 
 
 @query(f"WITH {SPARSE} SELECT a.row_id, CAST(SUM(a.value*((a.idx*37)%101-50)) AS DOUBLE) AS dot, CAST(SUM(a.value*a.value) AS DOUBLE) AS norm2, CAST(SUM(2*a.value+a.idx) AS DOUBLE) AS combined FROM sp a GROUP BY 1")
@@ -501,7 +506,7 @@ ex AS (SELECT l.row, l.b, sp.idx, sp.value/sc.scale*l.mg/24.0 AS v FROM sp JOIN
 def l7_fit_features(spark, sf_dir):
     """Scaled features, read by chunk in a new order and dealt to four workers; weights of both phases, for features as they are."""
     values, labels = X.sparse(spark, sf_dir), X.rows(spark, sf_dir)
-    scales = [r["scale"] for r in metrics.feature_scale(values, 40).orderBy("idx").collect()]
+    scales = _scales(values)
     v = training.vectors(values, "row_id").withColumnRenamed("row_id", "row_ord")
     empty = F.array().cast("array<int>"), F.array().cast("array<double>")
     rows = labels.join(v, "row_ord", "left").select("row_ord", "mg", "eg", F.col("y").cast("double").alias("y"), F.lit(True).alias("quiet"), *[F.coalesce(c, e).alias(c) for c, e in zip(("indices", "vals"), empty, strict=True)])
@@ -518,7 +523,7 @@ def l10_load_then_predict(spark, sf_dir):
     names = _means(spark, sf_dir).select("idx")
     w = s11_read_weights(spark, sf_dir)
     ranked = names.agg(F.sort_array(F.collect_list("idx")).alias("f")).select(F.posexplode("f").alias("idx", "feature"))
-    named = w.join(ranked, "idx").select(F.col("feature").alias("idx"), F.col("mg").alias("w"))
+    named = shared.settled(w.join(ranked, "idx").select(F.col("feature").alias("idx"), F.col("mg").alias("w")))
     return linear.predict(X.sparse(spark, sf_dir), named).select("row_id", F.round("y_hat", 2).alias("y_hat"))
 
 

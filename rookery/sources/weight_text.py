@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import truncate_x100
-from rookery.operators.linear import small
 
 _NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
 
@@ -25,7 +24,7 @@ def weight_lines(weights: DataFrame) -> DataFrame:
 
 def weight_lines_x100(weights: DataFrame, scales: DataFrame | None = None) -> DataFrame:
     """idx and its line as integers, 100 times the weight cut towards zero; divided by the feature's scale first."""
-    w = weights if scales is None else weights.join(small(scales), "idx").withColumns({"mg": F.col("mg") / F.col("scale"), "eg": F.col("eg") / F.col("scale")})
+    w = weights if scales is None else weights.join(scales, "idx").withColumns({"mg": F.col("mg") / F.col("scale"), "eg": F.col("eg") / F.col("scale")})
     whole = w.select("idx", F.expr(truncate_x100("mg")).alias("mg"), F.expr(truncate_x100("eg")).alias("eg"))
     return whole.select("idx", F.format_string("\tScore_Pair(%d,%d),", "mg", "eg").alias("line"))
 
