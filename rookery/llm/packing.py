@@ -107,8 +107,9 @@ class WordCoder:
             for w in set(words):
                 if w not in self.young:
                     self._remember(w, once)
-            young = self.young
-            return b"".join([young[w] if w in young else once[w] if w in once else self._chunk(w) for w in words])
+            # What went over to the old ones meanwhile is there.
+            young, old = self.young, self.old
+            return b"".join([young[w] if w in young else once[w] if w in once else old[w] if w in old else self._chunk(w) for w in words])
 
     def _remember(self, w: bytes, once: dict[bytes, bytes]) -> None:
         """Frequent words come back from the old ones; long ones are kept for this text only."""

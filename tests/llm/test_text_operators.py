@@ -640,3 +640,22 @@ def test_digest_columns(spark):
     r = queries.op8_packing(spark, sf).first()
     assert 0 <= r.ids_crc32 < 1 << 32
     assert hashlib.sha256(b"").hexdigest() in {x.items_sha256 for x in queries.op9_decontamination(spark, sf).collect()}
+
+
+def test_ids_when_memory_changes(monkeypatch):
+    """Texts are encoded alike however often the remembered words change."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "MEMORY", 2_000)
+    monkeypatch.setattr(tokens, "MEMORY", 2_000)
+    coder = packing.WordCoder(path)
+    r = np.random.default_rng(7)
+    for _ in range(30):
+        t = " ".join(f"word{x}" for x in r.integers(0, 60, 80)) + " " + "z" * 400
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+    counter, plain = tokens.PieceCounter(queries.vocabulary("piece_bpe_32k.model")), tokens.PieceCounter(queries.vocabulary("piece_bpe_32k.model"))
+    for _ in range(30):
+        t = " ".join(f"Xword{x}" for x in r.integers(0, 60, 80)) + " " + "z" * 400
+        assert counter.count(t) == len(plain.model.encode(t))
