@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontam, dedup, html_text, langid, oracle, packing, pii, quality, secrets, tokens
+from rookery.llm import chat, decontam, dedup, html_text, langid, line_dedup, oracle, packing, phrases, pii, quality, repair, secrets, tokens
 from rookery.llm.common import table
 
 
@@ -92,11 +92,40 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of conversations with planted faults, by the checksum of conv_id and turn; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    d = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fault.alias("fault")).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    d = d.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "fault")
+    return d.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("conv_id", "turn", "role", "text")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    summary, edits = repair.repair(damaged(conversations))
+    done = summary.join(repair.as_text(edits).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c").withColumnRenamed("conv_id", "c")
+    ids = conversations.select("conv_id").distinct()
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return ids.join(done, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *[none(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_near_dedup, op4_pii_surrogates, op5_language_id, op6_secret_scan, op7_chat_format, op8_packing, op9_decontamination, op10_html_text)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_near_dedup, op4_pii_surrogates, op5_language_id, op6_secret_scan, op7_chat_format, op8_packing, op9_decontamination, op10_html_text, op11_conversation_repair, op12_line_dedup, op13_phrase_collocations)
 }
 
 #: Library tokenizers, keyed surrogates, filters and page parsing have no SQL; tests hold those queries against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": oracle.OP1, "op3_near_dedup": oracle.OP3, "op6_secret_scan": oracle.OP6, "op7_chat_format": oracle.OP7, "op9_decontamination": oracle.OP9,
+    "op11_conversation_repair": oracle.OP11, "op12_line_dedup": oracle.OP12, "op13_phrase_collocations": oracle.OP13,
 }
