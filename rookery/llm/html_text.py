@@ -24,6 +24,17 @@ AROUND_NAMES = frozenset(
     "related recommended comment comments disqus reply replies newsletter subscribe subscription signup login popup modal "
     "overlay pagination pager widget search contentinfo complementary".split()
 )
+#: Parts of a name that only say that something is held: comment-list is comments, entry-header isn't a header.
+HOLDERS = frozenset("list section area wrapper wrap box block container item items group thread body content inner outer bar links panel holder row entries".split())
+#: Elements that are text themselves. A name like those of AROUND_NAMES on one is evidence, but for NEVER_TEXT the windows decide.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd".split())
+NEVER_TEXT = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr notice notices "
+    "breadcrumb breadcrumbs comment comments disqus reply replies newsletter subscribe subscription signup login popup modal overlay pagination pager promo promotion".split()
+)
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: How a line of prose ends.
+PROSE_END = re.compile(r"[.!?\u2026:;][\"'\u2019\u201d\u00bb)\]]*$")
 #: Elements inside a line; every other tag ends one.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
@@ -52,7 +63,7 @@ WINDOW, SURGE = 3, 80
 
 class Line(NamedTuple):
     """doubtful: inside an element whose name only contains a mark as a part; linked: characters inside links;
-    title: it opens the page's or article's h1."""
+    title: it opens the page's or article's h1; heading: it opens a heading."""
 
     text: str
     article: bool
@@ -60,12 +71,14 @@ class Line(NamedTuple):
     doubtful: bool
     linked: int
     title: bool
+    heading: bool = False
 
 
 def _mark(tag: str, attrs: str) -> str:
     """What makes an element surround an article: tag, form, hidden, name, doubtful or nothing.
 
-    A name marks as a whole, or if each of its parts does (cookie-banner); entry-header or with-sidebar are doubtful.
+    A name marks as a whole, or if each of its parts does (cookie-banner) or only says that something is held (comment-list);
+    entry-header or with-sidebar are doubtful, and so is a paragraph or heading by a name that text may have, like search.
     """
     if tag in AROUND:
         return "form" if tag == "form" else "tag"
@@ -78,7 +91,7 @@ def _mark(tag: str, attrs: str) -> str:
         for token in "".join(m).lower().split():
             parts = [x for x in SPLIT_NAME.split(token) if x]
             known = AROUND_NAMES.intersection(parts)
-            if known and len(known) == len(set(parts)):
+            if known and (known | HOLDERS).issuperset(parts) and (tag not in TEXT_BLOCKS or known & NEVER_TEXT):
                 return "name"
             if known:
                 found = "doubtful"
@@ -130,7 +143,7 @@ class Surroundings:
 
 def lines_of(page: str) -> list[Line]:
     """Lines of a page stripped of markup."""
-    out: list[tuple[str, bool, int, bool, bool]] = []
+    out: list[tuple[str, bool, int, bool, bool, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, int, bool, bool]] = []  # tag, number among surroundings, adds to article, adds to doubtful
     held_open: Counter[str] = Counter()
@@ -138,7 +151,7 @@ def lines_of(page: str) -> list[Line]:
     around = article = doubtful = 0
     linked: Counter[int] = Counter()
     link: list[tuple[int, int]] | None = None  # lines and characters of the open link
-    title = -1
+    title = heading = -1
 
     def add_text(piece: str) -> None:
         held.append(piece)
@@ -149,7 +162,7 @@ def lines_of(page: str) -> list[Line]:
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append((text, article > 0, around, doubtful > 0, title == len(out)))
+                out.append((text, article > 0, around, doubtful > 0, title == len(out), heading == len(out)))
             held.clear()
 
     def end_link(whole: bool) -> None:
@@ -204,8 +217,9 @@ def lines_of(page: str) -> list[Line]:
         elif tag == "a":
             end_link(False)
             link = [] if "href" in attrs.lower() else None
-        elif tag == "h1":
-            title = len(out)
+        elif tag in HEADINGS:
+            heading = len(out)
+            title = heading if tag == "h1" else title
         is_around = mark not in ("", "doubtful")
         if is_around and tag in INLINE and not around:
             end_line()
@@ -221,32 +235,50 @@ def lines_of(page: str) -> list[Line]:
 
     rings.release_lead()
     covered = rings.covered()
-    if not any(a for _, a, *_ in out):
-        own = [0] * len(covered)
-        for k, (text, _, o, *_) in enumerate(out):
+    # Where what isn't covered has no block of text, in the article or, without one, on the page, an element that holds most of it isn't around it.
+    framed = any(a for _, a, *_ in out)
+    own, free = [0] * len(covered), []
+    for k, (text, a, o, *_) in enumerate(out):
+        if a or not framed:
             own[o] += max(0, len(text) - linked[k])
-        free = [0 if covered[o] else max(0, len(text) - linked[k]) for k, (text, _, o, *_) in enumerate(out)]
-        if max(_blocks(free, WINDOW), default=0) < SURGE:
-            rings.release_most(own, sum(own))
-            covered = rings.covered()
-    return [Line(text, a, covered[o], d, min(linked[k], len(text)), t) for k, (text, a, o, d, t) in enumerate(out)]
+            free.append(0 if covered[o] else max(0, len(text) - linked[k]))
+    if max(_blocks(free, WINDOW), default=0) < SURGE:
+        rings.release_most(own, sum(own))
+        covered = rings.covered()
+    return [Line(text, a, covered[o], d, min(linked[k], len(text)), t, h) for k, (text, a, o, d, t, h) in enumerate(out)]
 
 
 def _blocks(size: list[int], window: int) -> list[int]:
     return [sum(size[k : k + window]) for k in range(len(size))]
 
 
+def _sizes(lines: list[Line], surge: int) -> list[int]:
+    """Characters of each line outside links; none around an article or in lines of links, a surge in a title."""
+    return [0 if x.around or 2 * x.linked > len(x.text) else max(surge, len(x.text)) if x.title and not x.linked and surge > 1 else len(x.text) - x.linked for x in lines]
+
+
 def dense(lines: list[Line], window: int, surge: int) -> list[bool]:
-    """Whether each line stands between a surge and a dive."""
-    size = [0 if x.around or 2 * x.linked > len(x.text) else max(surge, len(x.text)) if x.title and not x.linked and surge > 1 else len(x.text) - x.linked for x in lines]
+    """Whether each line stands between a surge and a dive.
+
+    A stretch starts at the first line of its first surging block that is a heading, prose or a surge's worth by itself, if there is one; short
+    lines right behind its last block stay as long as they are prose.
+    """
+    size = _sizes(lines, surge)
     blocks = _blocks(size, window)
     limit = max(1, min(surge, (max(blocks, default=0) + 1) // 2))
     out, first, last = [False] * len(size), -1, 0
 
+    def opens(k: int) -> bool:
+        return bool(size[k]) and (lines[k].heading or size[k] >= limit or bool(PROSE_END.search(lines[k].text)))
+
     def close() -> None:
         sized = [k for k in range(first, last) if size[k]] if first >= 0 else []
         if sized:
-            out[sized[0] : sized[-1] + 1] = [True] * (sized[-1] + 1 - sized[0])
+            end = sized[-1] + 1
+            while end < len(size) and size[end] and PROSE_END.search(lines[end].text):
+                end += 1
+            start = next((k for k in range(sized[0], min(first + window, len(size))) if opens(k)), sized[0])
+            out[start:end] = [True] * (end - start)
 
     for k, block in enumerate(blocks):
         if block >= limit:
@@ -259,18 +291,19 @@ def dense(lines: list[Line], window: int, surge: int) -> list[bool]:
 
 
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines of an article element or, on a page without one, those between surge and dive points.
+    """The lines between surge and dive points, of an article element or, without one, of the page.
 
     A line's length is its text outside links; lines around an article and lines of links have
     none. A block is the sum over window lines from a line on. A surge is a block of surge
     characters or more (half the page's largest block, if that is less); a dive is a block of
     nothing. The lines from the first surging block before a dive to the end of the last are
-    kept, but for lines around an article. Inside an article element only lines of doubtful elements have to be
-    between surge and dive. A title of plain text is a surge by itself.
+    kept, but for lines around an article. Inside an article element its own short lines stay beyond a dive, too; what has no length, and
+    lines of doubtful elements, have to be between surge and dive. A title of plain text is a surge by itself.
     """
     framed = any(x.article and not x.around for x in lines)
     rows = [x for x in lines if x.article or not framed]
-    return [x.text for x, d in zip(rows, dense(rows, window, surge), strict=True) if not x.around and (d or (framed and not x.doubtful))]
+    own = [framed and not x.doubtful and n > 0 for x, n in zip(rows, _sizes(rows, surge), strict=True)]
+    return [x.text for x, d, o in zip(rows, dense(rows, window, surge), own, strict=True) if not x.around and (d or o)]
 
 
 def extract(page: str | None) -> tuple[str, int]:

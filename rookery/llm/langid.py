@@ -39,8 +39,10 @@ def _letters() -> np.ndarray:
     return fold
 
 
+#: With fewer n-grams than these that occur twice, a language keeps those that occur once.
+FEW_OFTEN = 100
 #: Where a long text may be cut.
-BLANK = re.compile(r"\s")
+NO_LETTER = re.compile(r"[\W\d_]")
 _fold: list[np.ndarray] = []
 
 
@@ -81,17 +83,19 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 
 def parts(texts: list[str | None], chars: int = CHARS) -> Iterator[list[tuple[int, str]]]:
     """The texts in lists of (number, part) of about so many characters. Long texts are cut between two words, where no
-    n-gram that counts is lost."""
+    n-gram that counts is lost. A word that is itself that long is cut with an overlap of N - 1 letters, so that its n-grams
+    are all there; each such cut adds one of a word's end and one of its start."""
     held, size = [], 0
     for k, text in enumerate(texts):
         text = text or ""
         at = 0
         while True:
             end = min(len(text), at + chars)
-            if end < len(text):
-                end = next((m.end() for m in BLANK.finditer(text, end)), len(text))
+            gap = NO_LETTER.search(text, end, end + chars) if end < len(text) else None
+            inside = end < len(text) and gap is None and end + chars < len(text)
+            end = gap.end() if gap else end + chars if inside else len(text)
             held.append((k, text[at:end]))
-            size, at = size + end - at, end
+            size, at = size + end - at, end - (N - 1) * inside
             if size >= chars:
                 yield held
                 held, size = [], 0
@@ -146,8 +150,8 @@ class Model:
 def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
     """The filter from all rows (text, lang) with a language.
 
-    Workers count n-grams by slice and Spark sums the counts; n-grams of enough share set their
-    slots. What reaches the driver is one mask for each set slot and PLANE languages, at most SLOTS rows each however many the
+    Workers count n-grams by slice and Spark sums the counts; n-grams of enough share, and of two occurrences, set their
+    slots; a language with hardly any n-gram twice keeps all it has. What reaches the driver is one mask for each set slot and PLANE languages, at most SLOTS rows each however many the
     documents.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
@@ -166,13 +170,14 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = settled(counts)
-    totals = sorted((r["lang"], r["t"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect())
+    sizes = {r["lang"]: r for r in counts.groupBy("lang").agg(F.sum("n").alias("t"), F.count_if(F.col("n") >= 2).alias("often")).collect()}
+    totals = sorted((x, r["t"]) for x, r in sizes.items())
     names = [x for x, _ in totals]
     default = max(totals, key=lambda x: (x[1], x[0]))[0] if totals else "und"
     masks = np.zeros((-(-len(names) // PLANE), SLOTS), dtype=np.int64)
     if names:
         number = F.create_map(*[y for k, (x, _) in enumerate(totals) for y in (F.lit(x), F.lit(k))])[F.col("lang")]
-        least = F.create_map(*[y for x, t in totals for y in (F.lit(x), F.lit(max(2.0, t * min_share)))])[F.col("lang")]
+        least = F.create_map(*[y for x, t in totals for y in (F.lit(x), F.lit(max(2.0, t * min_share) if sizes[x]["often"] >= FEW_OFTEN else 1.0))])[F.col("lang")]
 
         def set_slots(batches):
             for b in batches:
@@ -181,7 +186,6 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(s), b.column("plane"), b.column("bit")], ["slot", "plane", "bit"])
 
         chosen = counts.filter(F.col("n") >= least).withColumn("k", number).select("gram", F.expr(f"CAST(k DIV {PLANE} AS INT)").alias("plane"), F.expr(f"shiftleft(1L, CAST(k % {PLANE} AS INT))").alias("bit"))
-        # A small language keeps something even where every n-gram of it is rare.
         filled = chosen.mapInArrow(set_slots, "slot long, plane int, bit long").groupBy("slot", "plane").agg(F.bit_or("bit").alias("mask"))
         got = filled.toArrow()
         masks[np.asarray(got.column("plane"), dtype=np.int64), np.asarray(got.column("slot"), dtype=np.int64)] = np.asarray(got.column("mask"), dtype=np.int64)

@@ -23,10 +23,12 @@ BLANKS = b" \t"
 BLOCK = 1 << 20
 PLACES = BLOCK + (1 << 16)
 #: Words of a stored row of the word stream, but for pieces that are longer; rows whose phrases are counted at once.
-ROW_WORDS = 1024
-ROWS = 512
+ROW_WORDS = 256
+ROWS = 2048
 #: Places of the filter of frequent phrases: a fixed number of bits, whatever the input. A fuller filter lets more phrases be counted, never fewer.
 FILTER_BITS = 1 << 26
+#: Phrases that a task holds before it sends a sorted run, and that a merge takes in before it sums, or as many as it holds.
+RUN_ROWS, MERGE_ROWS = 1 << 19, 1 << 20
 #: Parts of a language that are ranked by themselves before their best meet.
 RANK_PARTS = 64
 
@@ -136,9 +138,75 @@ def word_stream(docs: DataFrame, words: Broadcast) -> DataFrame:
     return docs.mapInArrow(run, "lang string, w array<long>, h array<long>, word array<string>")
 
 
-def count_phrases(stream: DataFrame, k: int, parts: Broadcast | None) -> DataFrame:
-    """lang, w (k hashes) and f of phrases whose first and last k - 1 words the filter of frequent phrases knows."""
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Phrases once each, in prefix order, with their counts together."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.logical_or.reduce([np.diff(c, prepend=~c[:1]) != 0 for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+Hot = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def hot_words(words: DataFrame, parts: int) -> Hot:
+    """For each language its words with more than a part's share of all, fewer than parts, and the parts that each of them is dealt to."""
+    total = words.filter("h is null").select("lang", F.col("f").alias("n"))
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in words.filter("h is not null").join(total, "lang").filter(F.col("f") * parts > F.col("n")).collect():
+        found.setdefault(r["lang"], []).append((r["h"] % (1 << 64), min(parts, -(-r["f"] * parts // r["n"]))))
+    return {lang: (np.array(sorted(x for x, _ in rows), np.uint64), np.array([n for _, n in sorted(rows)], np.uint64)) for lang, rows in found.items()}
+
+
+def _homes(columns: list[np.ndarray], lang: str, parts: int, hot: Hot) -> np.ndarray:
+    """The part of each phrase: that of its first word; phrases that begin with a hot word are dealt to several by the others."""
+    home = ((columns[0] * STEP >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    if lang in hot:
+        known, spread = hot[lang]
+        at = np.minimum(np.searchsorted(known, columns[0]), len(known) - 1)
+        often = known[at] == columns[0]
+        home[often] = (home[often] + phrase_hashes([c[often] for c in columns[1:]], lang) % spread[at[often]]) % np.uint64(parts)
+    return home
+
+
+def _packed(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """A run of phrases: sizes, the words, the place of each phrase's words among them, and counts. Most runs hold the same words again and again."""
+    words, at = np.unique(np.concatenate(columns), return_inverse=True)
+    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    return b"".join([np.array([len(words), len(n)], np.int64).tobytes(), words.tobytes(), at.astype(kind).tobytes(), n.astype(np.uint32).tobytes()])
+
+
+def _unpacked(block: bytes, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    size, rows = (int(x) for x in np.frombuffer(block, np.int64, 2))
+    words, kind = np.frombuffer(block, np.uint64, size, 16), np.uint16 if size <= 1 << 16 else np.uint32
+    start = 16 + 8 * size
+    at = np.frombuffer(block, kind, k * rows, start).reshape(k, rows)
+    n = np.frombuffer(block[start + k * rows * np.dtype(kind).itemsize :], np.uint32, rows)
+    return [words[x] for x in at], n.astype(np.int64)
+
+
+def _runs(stream: DataFrame, k: int, known: Broadcast | None, parts: int, hot: Hot) -> DataFrame:
+    """lang, part and block: sorted runs of phrases and counts, cut into parts.
+
+    known: the filter of frequent phrases of k - 1 words, which the first and the last of a phrase have to pass.
+    """
     def run(batches):
+        held: dict[str, list[list[np.ndarray]]] = {}
+        waiting: dict[str, int] = {}
+
+        def sent(lang: str) -> pa.RecordBatch:
+            runs = held.pop(lang)
+            columns = [np.concatenate([r[j] for r in runs]) for j in range(k)]
+            columns, n = _summed(columns, np.ones(len(columns[0]), np.int64))
+            home = _homes(columns, lang, parts, hot)
+            order = np.argsort(home, kind="stable")
+            columns, n, waiting[lang] = [c[order] for c in columns], n[order], 0
+            cuts = np.searchsorted(home[order], np.arange(parts + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cuts))
+            blocks = [_packed([c[cuts[p] : cuts[p + 1]] for c in columns], n[cuts[p] : cuts[p + 1]]) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], ["lang", "part", "block"])
+
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
@@ -148,21 +216,62 @@ def count_phrases(stream: DataFrame, k: int, parts: Broadcast | None) -> DataFra
                     if size <= 0:
                         continue
                     full = w != 0
-                    ok = np.logical_and.reduce([full[j : size + j] for j in range(k)])
-                    at = np.flatnonzero(ok)
+                    at = np.flatnonzero(np.logical_and.reduce([full[j : size + j] for j in range(k)]))
                     columns = [w[at + j] for j in range(k)]
-                    if parts is not None:
-                        good = _known(parts.value, phrase_hashes(columns[:-1], lang)) & _known(parts.value, phrase_hashes(columns[1:], lang))
+                    if known is not None:
+                        good = _known(known.value, phrase_hashes(columns[:-1], lang)) & _known(known.value, phrase_hashes(columns[1:], lang))
                         columns = [c[good] for c in columns]
-                    _, first, n = np.unique(phrase_hashes(columns, lang), return_index=True, return_counts=True)
-                    flat = np.column_stack([c[first] for c in columns]).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), _longs(flat)), pa.array(n.astype(np.int64))], ["lang", "w", "n"])
+                    held.setdefault(lang, []).append(columns)
+                    waiting[lang] = waiting.get(lang, 0) + len(columns[0])
+                    if waiting[lang] >= RUN_ROWS:
+                        yield sent(lang)
+        for lang in list(held):
+            yield sent(lang)
+
+    return stream.select("lang", "w").mapInArrow(run, "lang string, part int, block binary")
+
+
+def count_phrases(stream: DataFrame, k: int, known: Broadcast | None, min_count: int, parts: int, hot: Hot) -> DataFrame:
+    """lang, w (k hashes) and f of phrases of k words that occur min_count times.
 
-    return stream.select("lang", "w").mapInArrow(run, "lang string, w array<long>, n long").groupBy("lang", "w").agg(F.sum("n").alias("f"))
+    Sorted runs meet by part and are merged there; most phrases are rare and leave no row. A merge holds the phrases of a part once each.
+    """
+    def run(batches):
+        held: dict[str, list[tuple[list[np.ndarray], np.ndarray]]] = {}
+        waiting: dict[str, int] = {}
+
+        def merge(lang: str) -> None:
+            runs = held[lang]
+            held[lang] = [_summed([np.concatenate([r[0][j] for r in runs]) for j in range(k)], np.concatenate([r[1] for r in runs]))]
+            waiting[lang] = 0
+
+        for b in batches:
+            for lang, block in zip(b.column("lang").to_pylist(), b.column("block").to_pylist(), strict=True):
+                columns, n = _unpacked(block, k)
+                held.setdefault(lang, []).append((columns, n))
+                waiting[lang] = waiting.get(lang, 0) + len(n)
+                if waiting[lang] > max(MERGE_ROWS, len(held[lang][0][1])):
+                    merge(lang)
+        for lang in held:
+            merge(lang)
+            columns, n = held[lang][0]
+            often = n >= min_count
+            flat = np.column_stack([c[often] for c in columns]).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * int(often.sum()), pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(often.sum() + 1, dtype=np.int32) * k), _longs(flat)), pa.array(n[often])], ["lang", "w", "f"])
+
+    return _runs(stream, k, known, parts, hot).repartitionById(parts, F.col("part")).select("lang", "block").mapInArrow(run, "lang string, w array<long>, f long")
+
+
+def _joined_bits(spark: SparkSession, bits: DataFrame) -> Broadcast:
+    """The filter from rows (slot, bits), joined by executors: at most a row for each 64 places reaches the driver."""
+    got = bits.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    out[np.asarray(got.column("slot"))] = np.asarray(got.column("bits")).view(np.uint64)
+    return spark.sparkContext.broadcast(out)
 
 
 def known_phrases(spark: SparkSession, phrases: DataFrame) -> Broadcast:
-    """The filter of phrases (lang, w): FILTER_BITS bits, set by executors and joined there."""
+    """The filter of phrases (lang, w)."""
     def run(batches):
         for b in batches:
             for lang, rows in _by_lang(b):
@@ -171,10 +280,7 @@ def known_phrases(spark: SparkSession, phrases: DataFrame) -> Broadcast:
                 at = phrase_hashes([w[:, j] for j in range(w.shape[1])], lang) & np.uint64(FILTER_BITS - 1)
                 yield pa.RecordBatch.from_arrays([_longs(at >> np.uint64(6)), _longs(np.uint64(1) << (at & np.uint64(63)))], ["slot", "bits"])
 
-    got = phrases.select("lang", "w").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
-    bits[np.asarray(got.column("slot"))] = np.asarray(got.column("bits")).view(np.uint64)
-    return spark.sparkContext.broadcast(bits)
+    return _joined_bits(spark, phrases.select("lang", "w").mapInArrow(run, "slot long, bits long"))
 
 
 def _cut_scores(stream: DataFrame, totals: DataFrame) -> DataFrame:
@@ -213,7 +319,7 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top:
 
     Only phrases whose shorter parts are frequent are counted, one length after the other: texts are read twice, then a stream of
     their frequent words (64-bit hashes, runs split by 0). A filter of fixed size tells which parts are frequent; it may pass
-    others, which then fail by their exact counts. Counts by length are one stream of (lang, words, f) from there on.
+    others, which then fail by their exact counts. Runs of counts in prefix order are merged; counts of all lengths are one stream of (lang, words, f) from there on.
 
     A null language is und, null texts are empty. Repeated rows all count. An empty table gives an empty result; extra columns are ignored.
     """
@@ -223,10 +329,13 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top:
     counts = [words.filter("h is not null").select("lang", F.array("h").alias("w"), "f")]
     known = known_phrases(spark, counts[0])
     stream = settled(word_stream(d, known), "stream")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_words(words, parts)
     for k in range(2, max_words + 1):
-        counts.append(settled(count_phrases(stream, k, known if k > 2 else None).filter(F.col("f") >= min_count), "phrases"))
+        counts.append(settled(count_phrases(stream, k, known if k > 2 else None, min_count, parts, hot), "phrases"))
         known.unpersist()
         known = known_phrases(spark, counts[-1])
+    known.unpersist()
     every = counts[0]
     for c in counts[1:]:
         every = every.unionByName(c)

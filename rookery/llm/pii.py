@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -164,18 +165,36 @@ def _accepted(kind: str, surface: str, free: Callable[[int], bool], inside: bool
     return None
 
 
-def _names(text: str, pattern: re.Pattern, taken: list[tuple[int, int]]) -> list[Entity]:
+#: Names that are words or months as well. Fixed values.
+WORDS_TOO = frozenset("will may mark bill rose hope grace faith dawn joy art frank june april august summer chance young long rich".split())
+#: The end of what comes before a sentence.
+_SENTENCE = re.compile(r"(?:\A|[.!?:]|\n)[\s\"'(\u201c\u00ab]*\Z")
+
+
+class Taken:
+    """Spans that don't overlap, for quick questions whether another one is free of them."""
+
+    def __init__(self, found: list[Entity]):
+        spans = sorted((e.start, e.end) for e in found)
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end) - 1
+        return k < 0 or self.ends[k] <= start
+
+
+def _names(text: str, pattern: re.Pattern, taken: Taken) -> list[Entity]:
     """Every mention, with a title or bare, of the words that stand behind a title somewhere in the text.
 
     A word has the gender of its titles in the text; x, if they differ or none has one. A bare mention
-    is the whole word with a capital.
+    is the whole word with a capital; one of WORDS_TOO only inside a sentence, as a plain word begins one with a capital.
     """
     genders: dict[str, set[str]] = {}
     starts: set[int] = set()
     for m in pattern.finditer(text):
         at = m.start(2)
         for word in m[2].split(" "):
-            if not any(a < at + len(word) and at < b for a, b in taken):
+            if taken.free(at, at + len(word)):
                 genders.setdefault(word.casefold(), set()).update({_GENDER[m[1]]} - {"x"})
                 starts.add(at)
             at += len(word) + 1
@@ -184,7 +203,7 @@ def _names(text: str, pattern: re.Pattern, taken: list[tuple[int, int]]) -> list
         return found
     for m in _WORD.finditer(text):
         key = m[0].casefold()
-        if key in genders and (m.start() in starts or _BARE.match(m[0])) and not any(a < m.end() and m.start() < b for a, b in taken):
+        if key in genders and (m.start() in starts or (_BARE.match(m[0]) and not (key in WORDS_TOO and _SENTENCE.search(text, max(0, m.start() - 8), m.start())))) and taken.free(m.start(), m.end()):
             gender = next(iter(genders[key])) if len(genders[key]) == 1 else "x"
             found.append(Entity(m.start(), m.end(), f"name/{gender}/{script_of(m[0])}", key, m[0]))
     return found
@@ -195,7 +214,7 @@ def find_entities(text: str | None) -> list[Entity]:
     if not text:
         return []
     found: list[Entity] = []
-    digits, taken = bool(_DIGIT.search(text)), []
+    digits, taken = bool(_DIGIT.search(text)), Taken([])
     for kind, hint, pattern in PATTERNS:
         if (hint and hint not in text) or (kind not in ("email", "name") and not digits) or (kind == "name" and not _TITLED.search(text)):
             continue
@@ -205,13 +224,13 @@ def find_entities(text: str | None) -> list[Entity]:
         at = failed = 0
         while m := pattern.search(text, at):
             start = m.start()
-            done = _accepted(kind, m[0], lambda n, s=start: not any(a < s + n and s < b for a, b in taken), start < failed)
+            done = _accepted(kind, m[0], lambda n, s=start: taken.free(s, s + n), start < failed)
             if done:
                 at = start + done[0]
                 found.append(Entity(start, at, kind, done[1], text[start:at]))
             else:
                 at, failed = (start + 1, max(failed, m.end())) if kind in CUTS else (m.end(), 0)
-        taken = [(e.start, e.end) for e in found]
+        taken = Taken(found)
     return sorted(found, key=lambda e: e.start)
 
 

@@ -547,7 +547,8 @@ def test_html_windows_do_the_work():
                 dive = next((j for j in range(k, len(sizes)) if not blocks[j]), len(sizes))
                 last = max(j for j in range(k, dive) if blocks[j] >= limit)
                 inside = [j for j in range(k, min(last + 3, len(sizes))) if sizes[j]]
-                for j in range(inside[0], inside[-1] + 1):
+                start = next((j for j in inside if j < k + 3 and sizes[j] >= limit), inside[0])  # its own dense line
+                for j in range(start, inside[-1] + 1):
                     want[j] = True
                 k = dive
             k += 1
@@ -575,6 +576,111 @@ def test_html_names_mark_as_a_whole():
     assert html_text.extract(f"<nav><p>Menu<main><p>{PARAGRAPH}</main>")[0] == PARAGRAPH
 
 
+def test_html_windows_decide_in_an_article():
+    """Names of text blocks, link lists and comments inside an article; without the window step the pages keep more, or lose all."""
+    links = "".join(f"<li><a href=/{k}>Tag {k}</a>" for k in range(2))
+    for page, want in (
+        (f"<article><div class=widget><p>{PARAGRAPH}</div></article>", PARAGRAPH),
+        (f"<main><p>{PARAGRAPH}<p class='search results'>{PARAGRAPH} Two.</main>", f"{PARAGRAPH} {PARAGRAPH} Two."),
+        (f"<article><p>{PARAGRAPH}<section class=comment-list><p>{PARAGRAPH} I think.</section></article>", PARAGRAPH),
+        (f"<article><h1>Title</h1><p>By A. Writer<p>{PARAGRAPH}<p>Short<p>{PARAGRAPH}<ul>{links}</ul></article>", f"Title By A. Writer {PARAGRAPH} Short {PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}<ul class=tag-share-row>{links}</ul><p>Eggs<p>Milk</article>", f"{PARAGRAPH} Eggs Milk"),
+        (f"<p>Home<p>About us<p>{PARAGRAPH}<p>{PARAGRAPH}", f"{PARAGRAPH} {PARAGRAPH}"),
+        (f'<p>{PARAGRAPH}<p>{PARAGRAPH}<p>"Yes."<p>"No."<p>Then it was over.<p>The end.<p>Imprint', f'{PARAGRAPH} {PARAGRAPH} "Yes." "No." Then it was over. The end.'),
+    ):
+        assert html_text.extract(page)[0] == want
+    page = f"<article><p>{PARAGRAPH}<p>{PARAGRAPH}<ul>{links}</ul></article>"
+    assert "Tag 0" in " ".join(x.text for x in html_text.lines_of(page)) and "Tag" not in html_text.extract(page)[0]
+
+
+def test_html_pages_of_known_text():
+    """Random pages built around known blocks: markup, entities, scripts and all kinds of surroundings go, the blocks stay whole and in order."""
+    r = np.random.default_rng(8)
+    pick = lambda x: x[int(r.integers(len(x)))]
+    around = ["<nav><ul><li><a href=/>Home</a><li>About</ul></nav>", "<div class=ad>Buy this now.</div>", "<aside><p>More here.</aside>", "<form><input name=q>Search</form>", "<script>var p='<p>no</p>';</script>", "<style>p{color:red}</style>", "<!-- <p>gone</p> -->", "<div class='cookie-banner'>We use cookies.</div>", "<section id=comments><p>First! I like it.</p></section>", "<footer>&copy; 2024</footer>"]
+    for _ in range(150):
+        words = lambda n: " ".join(pick(["river", "house", "long", "trade", "Ünder", "42", "it's", "of"]) for _ in range(n))
+        blocks, body = [], []
+        for k in range(int(r.integers(1, 9))):
+            if r.random() < 0.3:
+                body.append(pick(around))
+            text = words(int(r.integers(20, 60))) + "." if k == 0 or r.random() < 0.7 else words(3) + "."
+            i = int(r.integers(1, len(text) - 1))
+            marked = f"{text[:i]}<b>{text[i:]}</b>" if r.random() < 0.3 else text.replace("Ü", "&Uuml;").replace(" ", pick([" ", "\n  ", "&#32;"]), 1)
+            body.append(f"<p>{marked}" + pick(["</p>", ""]))
+            blocks.append(text)
+        outer = [pick(around) for _ in range(4)]
+        page = f"<html><head><title>T</title></head><body>{''.join(outer[:2])}<{(tag := pick(['article', 'main']))}><h1>Title &amp; more</h1>{''.join(body)}</{tag}>{''.join(outer[2:])}</body></html>"
+        assert html_text.extract(page)[0] == " ".join(["Title & more", *blocks])
+
+
+def test_entities_of_planted_texts(spark):
+    """Random texts of plain words and planted entities: exactly those are found and replaced, each by one surrogate everywhere, different ones differently."""
+    r = np.random.default_rng(4)
+    plain = "river house of the long trade and it went away to town by night".split()
+    people = [("email", f"user{k}.x@mail{k % 5}.example.org") for k in range(40)] + [("ip", f"10.{k}.7.{k + 1}") for k in range(20)] + [("card", pii_card(k)) for k in range(20)]
+    rows, planted = [], []
+    for k in range(200):
+        parts, mine = [], []
+        for _ in range(int(r.integers(0, 30))):
+            if r.random() < 0.2:
+                kind, x = people[int(r.integers(len(people)))]
+                mine.append((kind, x))
+                parts.append(x)
+            else:
+                parts.append(plain[int(r.integers(len(plain)))])
+        rows.append((k, " ".join(parts)))
+        planted.append(mine)
+    got = {x.doc_id: x for x in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()}
+    known = {}
+    for (k, text), mine in zip(rows, planted, strict=True):
+        assert [(e["kind"], text[e["start"] : e["end"]]) for e in got[k].entities] == mine
+        new = got[k].text.split(" ")
+        for old, x in zip(text.split(" "), new, strict=True):
+            if old in plain or not old:
+                assert x == old
+            else:
+                assert known.setdefault(old, x) == x != old
+    assert len(set(known.values())) == len(known)
+
+
+def pii_card(k):
+    body = f"4{k:014d}"
+    return body + str(pii.luhn(body))
+
+
+def test_many_entities_take_linear_time():
+    """Three times the entities take about three times as long, 30,000 a few seconds. Names that are words, too, stay where they begin a sentence."""
+    import time
+
+    def took(n):
+        text = " ".join(f"Mr. Weber wrote to a{k}@b{k}.org and +49 30 {1000000 + k}" for k in range(n // 3))
+        t = time.perf_counter()
+        assert len(pii.find_entities(text)) >= n * 0.9
+        return time.perf_counter() - t
+
+    took(300)
+    a, b = took(10_000), took(30_000)
+    assert b < 6 * a + 0.5 and b < 20
+    found = pii.find_entities("Mr. Will Brown came. Will you come, Brown? I will, and so said Will. Mrs May left. May is warm.")
+    assert [e.surface for e in found] == ["Will", "Brown", "Brown", "Will", "May"]
+
+
+def test_small_languages_and_long_words(spark):
+    """One sentence is enough to know a language by; texts are cut anywhere, and words of a megabyte as well."""
+    d = spark.createDataFrame([("the quick brown fox jumps over it", "en"), ("uno dos tres cuatro cinco seis", "es")], "text string, lang string")
+    model = langid.learn(d)
+    assert [x for x, _ in model.predict(["uno dos tres", "quick brown fox"])] == ["es", "en"] and (model.fill > 0).all()
+    r = np.random.default_rng(2)
+    letters = "".join(chr(97 + int(x)) for x in r.integers(0, 26, 30_000))
+    for text in (letters, "-".join(letters[k : k + 9] for k in range(0, 30_000, 9))):
+        whole = langid.grams([text])[0]
+        cut = np.concatenate([langid.grams([x for _, x in held])[0] for held in langid.parts([text], 1000)])
+        more = len(cut) - len(whole)
+        a, b = Counter(whole.tolist()), Counter(cut.tolist())
+        assert not a - b and more == (0 if "-" in text else sum((b - a).values())) and more <= 64
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
