@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,13 @@ class Family:
     where: str
     values: tuple[tuple[str, str], ...]
 
+    def types(self) -> tuple[int, ...]:
+        """Types of pieces that the condition allows, as it names them first: pc = 0, pc IN (1, 5) or pc BETWEEN 1 AND 4."""
+        if m := re.match(r"pc = (\d)|pc IN \((\d), (\d)\)|pc BETWEEN (\d) AND (\d)", self.where):
+            one, *rest = (int(x) for x in m.groups() if x)
+            return tuple(range(one, rest[0] + 1)) if m[4] else (one, *rest)
+        return tuple(range(6))
+
 
 _OFFICER = "pc BETWEEN 1 AND 4"
 _IS_PASSED = f"pc = 0 AND (xp & {B.around_files('sq')} & {B.ahead('sq')}) = 0 AND (op & {B.file_set('sq')} & {B.ahead('sq')}) = 0"
@@ -76,7 +84,7 @@ FAMILIES = (
     Family("x15_bad_bishop", "piece", "pc = 2", tuple((str(481 + k), f"bit_count(op & (CASE WHEN (({B.file_of('sq')} + sq) & 1) = 0 THEN {B.COLOURS[0]}L ELSE {B.COLOURS[1]}L END) & {'~' * k}blocked)") for k in (0, 1))),
     Family("x16_rook_files", "piece", f"pc = 3 AND (op & {B.file_set('sq')}) = 0", _sum((f"CASE WHEN (xp & {B.file_set('sq')}) = 0 THEN 483 ELSE 484 END", "1"))),
     Family("x17_trapped_rook", "piece", f"pc = 3 AND bit_count(tos & pawn_safe & ~own[5]) < 3 AND r < 2 AND {B.side_rank('king')} = 0 AND NOT {B.has('castling', 'sq')} AND CASE WHEN {B.file_of('king')} < 4 THEN {B.file_of('sq')} <= {B.file_of('king')} ELSE {B.file_of('sq')} >= {B.file_of('king')} END", _sum(("485", "1"))),
-    Family("x18_passed_pawn", "piece", "passed AND NOT unstoppable", tuple((f"486 + {_FLOOR_RANK} * 20 + {at}", v) for at, v in (
+    Family("x18_passed_pawn", "piece", "pc = 0 AND passed AND NOT unstoppable", tuple((f"486 + {_FLOOR_RANK} * 20 + {at}", v) for at, v in (
         ("0", "1"), ("1", f"CASE WHEN {B.has('opp_all', _STOP)} THEN 0 ELSE 1 END"), ("2", "CASE WHEN free THEN 1 ELSE 0 END"), (f"4 + {B.distance('king', _STOP)}", "1"), (f"12 + {B.distance('xking', _STOP)}", "1")))),
     Family("x20_pawn_structure", "piece", "pc = 0", _sum(("646 + r * 4 + f", f"CASE WHEN {B.has(B.beside('op'), 'sq')} THEN 1 ELSE 0 END"), ("678 + r * 4 + f", f"CASE WHEN {_PROTECTED} THEN 1 ELSE 0 END"), ("710 + r * 4 + f", f"CASE WHEN {B.has('xp', _STOP)} THEN 1 ELSE 0 END"))),
     Family("x21_weak_pawn", "piece", f"pc = 0 AND {B.has('weak', 'sq')}", _sum(("742 + f", "1"), ("746 + r", "1"))),
@@ -84,7 +92,7 @@ FAMILIES = (
     Family("x23_side_to_move", "side", f"side = turn AND NOT {B.has('x_hit_all', 'king')}", _sum(("758", "1"))),
 )
 
-EXTRAS = (Family("gain", "piece", "unstoppable", ((str(GAIN), _GAIN),)), Family("force", "side", "true", ((str(FORCE), OFFICER_FORCE),)))
+EXTRAS = (Family("gain", "piece", "pc = 0 AND unstoppable", ((str(GAIN), _GAIN),)), Family("force", "side", "true", ((str(FORCE), OFFICER_FORCE),)))
 
 
 #: What stands for a side in its list of pieces.
@@ -103,35 +111,50 @@ def piece_rows(side_rows: DataFrame, with_side: bool = False) -> DataFrame:
     return d.withColumns({"unstoppable": F.expr(_IS_UNSTOPPABLE), "free": F.expr(f"passed AND {_IS_FREE}")})
 
 
-def values(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """pos_id, side, turn, idx and summed value of the families, for each side, with further columns of side_rows.
+def entries(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pos_id, side, turn, further columns of side_rows, idx and value: each piece's and side's share in the families, zeros left out.
 
-    All families are one projection over the rows of pieces and sides, and its sums share the partitioning of sides(): no
-    shuffle is added.
+    A row is sent to the entries of its piece's type at once, where the type is a constant; others are never evaluated. One
+    projection, no shuffle.
     """
     with_side = any(f.level == "side" for f in families)
-    level = lambda f: f"pc {'=' if f.level == 'side' else '<>'} {_SIDE} AND" if with_side else ""
-    entries = ", ".join(f"CASE WHEN {level(f)} ({f.where}) THEN struct(CAST({i} AS INT) AS idx, CAST({v} AS DOUBLE) AS value) END" for f in families for i, v in f.values)
+    known = lambda text, pc: re.sub(r"(?<![.\w])pc\b", str(pc), text)
+    entry = lambda f, i, v, pc: known(f"CASE WHEN {f.where} THEN struct(CAST({i} AS INT) AS idx, CAST({v} AS DOUBLE) AS value) END", pc)
+    cases = []
+    for pc in (*range(6), _SIDE):
+        own = [entry(f, i, v, pc) for f in families if (f.level == "side") == (pc == _SIDE) and (pc == _SIDE or pc in f.types()) for i, v in f.values]
+        if own:
+            cases.append(f"WHEN {pc} THEN array({', '.join(own)})")
     # A column first: a generator would evaluate its argument without generated code. Outer, else the
     # optimizer would test the size of the array before, and so build it twice.
     own = ["pos_id", "side", "turn", *keep]
-    d = piece_rows(side_rows, with_side).select(*own, F.expr(f"array({entries})").alias("all"))
-    d = d.select(*own, F.explode_outer("all").alias("e")).filter("e.value <> 0").select(*own, "e.*")
-    return d.groupBy(*own, "idx").agg(F.sum("value").alias("value"))
+    d = piece_rows(side_rows, with_side).select(*own, F.expr(f"CASE pc {' '.join(cases)} END").alias("all"))
+    return d.select(*own, F.explode_outer("all").alias("e")).filter("e.value <> 0").select(*own, "e.*")
+
+
+def values(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pos_id, side, turn, idx and summed value of the families, for each side, with further columns of side_rows.
+
+    The sums share the partitioning of sides(): no shuffle is added.
+    """
+    return entries(side_rows, families, keep).groupBy("pos_id", "side", "turn", *keep, "idx").agg(F.sum("value").alias("value"))
+
+
+#: An entry as the side to move counts it.
+_SIGNED = "CASE WHEN side = turn THEN value ELSE -value END"
 
 
 def feature_rows(side_rows: DataFrame, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
-    """pos_id, idx, value: the side to move less the other side, without zeros."""
-    signed = values(side_rows, families).withColumn("value", F.expr("CASE WHEN side = turn THEN value ELSE -value END"))
-    return signed.groupBy("pos_id", "idx").agg(F.sum("value").alias("value")).filter("value <> 0")
+    """pos_id, idx, value: the side to move less the other side, without zeros. Entries of both sides are summed at once."""
+    return entries(side_rows, families).groupBy("pos_id", "idx").agg(F.sum(F.expr(_SIGNED)).alias("value")).filter("value <> 0")
 
 
 def signed_values(side_rows: DataFrame) -> DataFrame:
     """pos_id, idx, value (the side to move less the other), with the officers of both sides under FORCE (force) and, in
     every row, whether the side to move is in check (checked)."""
     d = side_rows.withColumn("checked", F.expr(B.has("x_hit_all", "king")))
-    v = values(d, (*FAMILIES, EXTRAS[1]), ("checked",))
-    return v.groupBy("pos_id", "idx").agg(F.sum(F.expr("CASE WHEN side = turn THEN value ELSE -value END")).alias("value"), F.sum("value").alias("force"), F.expr("bool_or(side = turn AND checked)").alias("checked"))
+    v = entries(d, (*FAMILIES, EXTRAS[1]), ("checked",))
+    return v.groupBy("pos_id", "idx").agg(F.sum(F.expr(_SIGNED)).alias("value"), F.sum("value").alias("force"), F.expr("bool_or(side = turn AND checked)").alias("checked"))
 
 
 def phases(side_rows: DataFrame) -> DataFrame:

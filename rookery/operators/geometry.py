@@ -36,6 +36,60 @@ def attack_edges(pieces: DataFrame) -> DataFrame:
     return each.join(F.broadcast(lines(pieces.sparkSession)), ["pc", "side", "sq"]).filter("(between & occ) = 0").select("pos_id", "side", "pc", "sq", "dst")
 
 
+#: Directions as (files, ranks): squares ahead of one have higher numbers in the first four and lower ones in the others. Rooks' come first.
+_DIRECTIONS = ((0, 1), (1, 0), (1, 1), (1, -1), (0, -1), (-1, 0), (-1, -1), (-1, 1))
+_STRAIGHT = (0, 1, 4, 5)
+
+
+def _squares(sq: int, df: int, dr: int) -> list[int]:
+    f, r = divmod(sq, 8)
+    return [(f + i * df) * 8 + r + i * dr for i in range(1, 8) if 0 <= f + i * df < 8 and 0 <= r + i * dr < 8]
+
+
+def _jumps(pc: int, side: int, sq: int) -> list[int]:
+    """Squares that a pawn, knight or king attacks."""
+    steps = {0: [(d, 1 - 2 * side) for d in (-1, 1)], 1: [(a, b) for a in (-2, -1, 1, 2) for b in (-2, -1, 1, 2) if abs(a) != abs(b)], 5: _DIRECTIONS}
+    return [to for df, dr in steps.get(pc, ()) for to in _squares(sq, df, dr)[:1]]
+
+
+def rays(spark: SparkSession) -> DataFrame:
+    """pc, side, sq, jumps and the squares in each of eight directions (d0 to d7, none where the piece doesn't slide): 768 rows from the board's coordinates."""
+    slides = {2: [d for d in range(8) if d not in _STRAIGHT], 3: _STRAIGHT, 4: range(8)}
+    rows = [(pc, side, sq, B._mask(_jumps(pc, side, sq)), *[B._mask(_squares(sq, *_DIRECTIONS[d])) if d in slides.get(pc, ()) else 0 for d in range(8)]) for pc in range(6) for side in (0, 1) for sq in range(64)]
+    return spark.createDataFrame(rows, "pc int, side int, sq int, jumps long, " + ", ".join(f"d{d} long" for d in range(8)))
+
+
+def _between_sets() -> list[int]:
+    """For squares a * 64 + b: those strictly between on a line, else none."""
+    out = [0] * 4096
+    for a in range(64):
+        for d in _DIRECTIONS:
+            line = _squares(a, *d)
+            for k, b in enumerate(line):
+                out[a * 64 + b] = B._mask(line[:k])
+    return out
+
+
+_BETWEEN_SETS = _between_sets()
+
+
+def attacked(d: DataFrame) -> DataFrame:
+    """d (occ and the columns of rays()) with tos, the squares a piece attacks: jumps, and each direction up to its first piece.
+
+    Upwards that is the lowest piece, b ^ (b - 1); downwards the highest, found by filling all squares below each piece. Plain integer
+    operations, a column a step, so no step is computed twice.
+    """
+    lowest = lambda b: f"CASE WHEN {b} = {-(1 << 63)}L THEN -1L ELSE {b} ^ ({b} - 1L) END"
+    keep = [c for c in d.columns if c not in ("jumps", *(f"d{k}" for k in range(8)))]
+    d = d.withColumns({f"b{k}": F.expr(f"d{k} & occ") for k in range(8)})
+    for step in (1, 2, 4, 8, 16, 32):
+        d = d.withColumns({f"b{k}": F.expr(f"b{k} | shiftrightunsigned(b{k}, {step})") for k in range(4, 8)})
+    up = " | ".join(f"(d{k} & ({lowest(f'b{k}')}))" for k in range(4))
+    down = " | ".join(f"(d{k} & ~shiftrightunsigned(b{k}, 1))" for k in range(4, 8))
+    every = " | ".join(f"d{k}" for k in range(8))
+    return d.select(*keep, F.expr(f"jumps | {up} | {down}").alias("tos"), F.expr(every).alias("line"))
+
+
 #: Kinds of rows while attacks are folded: pieces, and what knights, bishops and rooks would attack from a king's square.
 _REAL, _PROBE = 0, 1
 
@@ -53,12 +107,10 @@ def sides(positions: DataFrame, pieces: DataFrame) -> DataFrame:
     b = positions.select("pos_id", "wk", "bk", "turn", "castling").join(b, "pos_id")
     probes = ", ".join(f"struct({_PROBE} AS what, {king} AS sq, {side} AS side, {pc} AS pc)" for side, king in ((0, "bk"), (1, "wk")) for pc in (1, 2, 3))
     each = b.withColumn("m", F.explode(F.expr(f"concat(men, array({probes}))"))).select("pos_id", "wk", "bk", "turn", "castling", "occ", "m.*")
-    hit = each.join(F.broadcast(targets(pieces.sparkSession)), ["pc", "side", "sq"])
-    other_king = "CASE WHEN side = 0 THEN bk ELSE wk END"
-    hit = hit.withColumns({
-        "tos": F.expr("aggregate(lines, 0L, (a, l) -> CASE WHEN (l.between & occ) = 0 THEN a | shiftleft(1L, l.dst) ELSE a END)"),
-        "pin": F.expr(f"CASE WHEN pc BETWEEN 2 AND 4 AND what = {_REAL} THEN aggregate(lines, 0L, (a, l) -> CASE WHEN l.dst = {other_king} AND bit_count(l.between & occ) = 1 THEN l.between & occ ELSE a END) ELSE 0L END"),
-    })
+    hit = attacked(each.join(F.broadcast(rays(pieces.sparkSession)), ["pc", "side", "sq"]))
+    hit = hit.withColumn("xk", F.expr("CASE WHEN side = 0 THEN bk ELSE wk END"))
+    hit = hit.withColumn("shield", F.get(F.lit(_BETWEEN_SETS), F.expr("sq * 64 + xk")).bitwiseAND(F.col("occ")))
+    hit = hit.withColumn("pin", F.expr(f"CASE WHEN what = {_REAL} AND {B.has('line', 'xk')} AND bit_count(shield) = 1 THEN shield ELSE 0L END")).drop("line", "xk", "shield")
     real = f"what = {_REAL}"
     either = lambda value, cond: F.array(*[F.expr(f"coalesce(bit_or(CASE WHEN {real} AND side = {s} AND {cond} THEN {value} END), 0L)") for s in (0, 1)])
     listed = lambda value, cond: F.array(*[F.expr(f"collect_list(CASE WHEN {real} AND side = {s} AND {cond} THEN {value} END)") for s in (0, 1)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import win_probability
@@ -12,10 +12,8 @@ MOST_FEATURES = 1 << 20
 
 
 def small(d: DataFrame, most: int = MOST_FEATURES) -> DataFrame:
-    """d, a stored or otherwise cheap table, for a broadcast, after its rows were counted up to the bound."""
-    if d.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} rows can't be broadcast")
-    return F.broadcast(d)
+    """d, a stored or otherwise cheap table, for a broadcast if its rows, counted up to the bound, allow one; a larger one is joined by shuffle."""
+    return F.broadcast(d) if d.limit(most + 1).count() <= most else d
 
 
 def phase_expand(d: DataFrame, half: int) -> DataFrame:
@@ -30,13 +28,22 @@ def scale_features(d: DataFrame, scales: list[float]) -> DataFrame:
     return d.filter(F.col("idx").between(0, len(scales) - 1)).withColumn("value", F.col("value") / F.get(F.array(*[F.lit(float(x)) for x in scales]), F.col("idx").cast("int")))
 
 
+def _scored(d: DataFrame, weights: DataFrame, row: str, *more: Column) -> DataFrame:
+    d = d.join(small(weights), "idx", "left")
+    return d.groupBy(row).agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("value")).alias("y_hat"), *more)
+
+
 def predict(d: DataFrame, weights: DataFrame, row: str = "row_id") -> DataFrame:
-    """row, y_hat, the sum of weight and value, and v, the row's (idx, value); a feature without weight adds nothing.
+    """row and y_hat, the sum of weight and value; a feature without weight adds nothing.
 
-    Weights are a row for each feature and broadcast; the one shuffle brings the values of a row together.
+    Weights are a row for each feature and broadcast while they are few; sums are taken before the one shuffle.
     """
-    d = d.join(small(weights), "idx", "left")
-    return d.groupBy(row).agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("value")).alias("y_hat"), F.collect_list(F.struct("idx", "value")).alias("v"))
+    return _scored(d, weights, row)
+
+
+def predict_with_values(d: DataFrame, weights: DataFrame, row: str = "row_id") -> DataFrame:
+    """predict() with v, the row's (idx, value), for gradients: the shuffle brings the values of a row together."""
+    return _scored(d, weights, row, F.collect_list(F.struct("idx", "value")).alias("v"))
 
 
 def gradient(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import win_probability
@@ -32,18 +32,32 @@ def feature_scale(d: DataFrame, n_features: int) -> DataFrame:
     """idx and ceil(max(1, max |value|)) of every feature, seen or not."""
     seen = d.filter(F.col("idx").between(0, n_features - 1)).groupBy("idx").agg(F.max(F.abs("value")).alias("top"))
     every = d.sparkSession.range(n_features).select(F.col("id").alias("idx"))
-    return every.join(F.broadcast(seen), "idx", "left").select("idx", F.ceil(F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))).cast("double").alias("scale"))
+    return every.join(seen, "idx", "left").select("idx", F.ceil(F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))).cast("double").alias("scale"))
 
 
 def feature_range(d: DataFrame, rows: DataFrame) -> DataFrame:
     """idx, least and greatest |value|; zeros that aren't stored count."""
-    total = F.lit(rows.count())
+    total = rows.agg(F.count("*")).scalar()
     seen = d.groupBy("idx").agg(F.min(F.abs("value")).alias("low"), F.max(F.abs("value")).alias("high"), F.count("*").alias("n"))
     return seen.select("idx", F.when(F.col("n") < total, 0.0).otherwise(F.col("low").cast("double")).alias("low"), F.col("high").cast("double").alias("high"))
 
 
+def width(v: Column) -> Column:
+    """How a stored value's width is called: a fraction, or an integer of one, two or four bytes."""
+    return F.when(v != F.floor(v), "fraction").when(F.abs(v) <= 127, "int8").when(F.abs(v) <= 32767, "int16").otherwise("int32")
+
+
 def value_widths(d: DataFrame) -> DataFrame:
-    """How many stored values are fractions, or integers of one, two or four bytes."""
-    v = F.col("value")
-    kind = F.when(v != F.floor(v), "fraction").when(F.abs(v) <= 127, "int8").when(F.abs(v) <= 32767, "int16").otherwise("int32")
-    return d.groupBy(kind.alias("width")).agg(F.count("*").alias("n"))
+    """How many stored values there are of each width."""
+    return d.groupBy(width(F.col("value")).alias("width")).agg(F.count("*").alias("n"))
+
+
+WIDTHS = ("fraction", "int8", "int16", "int32")
+
+
+def observed(vectors: DataFrame, kept: Column) -> tuple[DataFrame, Observation]:
+    """Rows (row_ord, vals) that are kept, and what is counted while they pass: seen, kept, last (greatest row_ord of all) and the stored values of each width."""
+    seen = Observation()
+    count = lambda w: F.sum(F.when(kept, F.size(F.filter("vals", lambda x: width(x) == w)))).alias(w)
+    d = vectors.observe(seen, F.count("*").alias("seen"), F.count_if(kept).alias("kept"), F.max("row_ord").alias("last"), *[count(w) for w in WIDTHS])
+    return d.filter(kept), seen

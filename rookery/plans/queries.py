@@ -218,36 +218,46 @@ def f11_win_probability(spark, sf_dir):
 
 
 # Order, chunks, batches.
-def _key(x, seed):
-    return f"(({x})*1103515245+12345+{seed})%2147483648"
+_TOTAL = "(SELECT MAX(row_ord)+1 FROM rws)"
 
 
-@query(f"WITH {ROWS} SELECT row_ord, CAST({_key('row_ord', 7)} AS BIGINT) AS key FROM rws")
+@query(f"WITH {ROWS} SELECT row_ord, CAST(place AS BIGINT) AS place FROM {batching.place_sql('rws', 'row_ord', _TOTAL, 7)}")
 def a1_shuffle_rows(spark, sf_dir):
-    return batching.shuffle_rows(X.rows(spark, sf_dir), 7).select("row_ord", "key")
+    return batching.shuffle_rows(X.rows(spark, sf_dir), 7).select("row_ord", "place")
 
 
-@query(f"WITH {ROWS} SELECT row_ord, CAST((row_ord//1000)*1000+row_number() OVER (PARTITION BY row_ord//1000 ORDER BY {_key('row_ord', 3)}, row_ord)-1 AS BIGINT) AS place FROM rws")
+@query(f"WITH {ROWS} SELECT row_ord, CAST(row_ord//1000*1000+place AS BIGINT) AS place FROM {batching.place_sql('rws', 'row_ord%1000', f'least(1000, {_TOTAL}-row_ord//1000*1000)', 3, 'row_ord//1000')}")
 def a2_shuffle_windows(spark, sf_dir):
     return batching.shuffle_within_windows(X.rows(spark, sf_dir), 1000, 3).select("row_ord", "place")
 
 
-_DEAL = f"deal AS (SELECT chunk_id, row_number() OVER (ORDER BY {_key('chunk_id*31+2', 5)}, chunk_id)-1 AS place FROM (SELECT DISTINCT row_ord//500 AS chunk_id FROM rws))"
+def _deal_sql(epoch):
+    ids = "(SELECT DISTINCT row_ord//500 AS chunk_id FROM rws)"
+    return f"deal AS (SELECT * FROM {batching.place_sql(ids, 'chunk_id', '(SELECT MAX(row_ord)//500+1 FROM rws)', batching.epoch_seed(5, epoch))})"
 
 
-@query(f"WITH {ROWS}, {_DEAL} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(place AS BIGINT) AS place FROM deal")
+def _dealt(spark, sf_dir):
+    return batching.deal_chunks(batching.chunks(X.rows(spark, sf_dir), 500).select("chunk_id").distinct(), 2, 5, 4)
+
+
+@query(f"WITH {ROWS}, {_deal_sql(2)} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(place AS BIGINT) AS place FROM deal")
 def a3_shuffle_chunks(spark, sf_dir):
-    return batching.deal_chunks(batching.chunks(X.rows(spark, sf_dir), 500).select("chunk_id").distinct(), 2, 5, 4).select("chunk_id", F.col("place").cast("long").alias("place"))
+    return _dealt(spark, sf_dir).select("chunk_id", "place")
 
 
-@query(f"WITH {ROWS}, {_DEAL} SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(place%4 AS BIGINT) AS worker FROM deal")
+@query(f"WITH {ROWS}, {_deal_sql(2)} SELECT CAST(row_ord//500 AS BIGINT) AS chunk_id, CAST(place%4 AS BIGINT) AS worker, COUNT(*) AS n_rows, CAST(place%4 AS INTEGER) AS task FROM rws JOIN deal ON chunk_id=row_ord//500 GROUP BY ALL")
 def a4_assign_workers(spark, sf_dir):
-    return batching.deal_chunks(batching.chunks(X.rows(spark, sf_dir), 500).select("chunk_id").distinct(), 2, 5, 4).select("chunk_id", F.col("worker").cast("long").alias("worker"))
+    """Rows of chunks at their workers; task is the partition that they are in."""
+    d = batching.chunks(X.rows(spark, sf_dir), 500).join(_dealt(spark, sf_dir).select("chunk_id", "worker"), "chunk_id")
+    d = batching.by_worker(d, 4).withColumn("task", F.spark_partition_id())
+    return d.groupBy("chunk_id", "worker", "task").agg(F.count("*").alias("n_rows"))
 
 
-@query(f"WITH {ROWS} SELECT row_ord, CAST(row_ord//1000 AS BIGINT) AS batch_id, CAST(least((row_ord%1000)//333,2) AS BIGINT) AS worker FROM rws")
+@query(f"WITH {ROWS} SELECT row_ord, CAST(row_ord//1000 AS BIGINT) AS batch_id, CAST(least((row_ord%1000)//333,2) AS BIGINT) AS worker, CAST(row_ord//2 AS BIGINT) AS tiny_batch, CAST(row_ord%2 AS BIGINT) AS tiny_worker FROM rws")
 def a5_mini_batches(spark, sf_dir):
-    return batching.mini_batches(X.rows(spark, sf_dir), 1000, 3).select("row_ord", "batch_id", "worker")
+    """Batches of 1000 rows for three workers, and of two rows, fewer than workers."""
+    d = batching.mini_batches(X.rows(spark, sf_dir), 1000, 3).select("row_ord", "batch_id", "worker")
+    return d.join(batching.mini_batches(X.rows(spark, sf_dir), 2, 3).select("row_ord", F.col("batch_id").alias("tiny_batch"), F.col("worker").alias("tiny_worker")), "row_ord")
 
 
 @query(f"WITH {ROWS} SELECT row_ord, CAST(row_ord//500 AS BIGINT) AS chunk_id, CAST(y AS BIGINT) AS y FROM rws WHERE y>0")
@@ -277,7 +287,7 @@ _PRED = "pr AS (SELECT row_id, SUM(value*((idx*37)%101-50)) AS y_hat FROM sp GRO
 
 
 def _predicted(spark, sf_dir):
-    p = linear.predict(X.sparse(spark, sf_dir), _w(spark))  # with the rows' values, for gradients
+    p = linear.predict_with_values(X.sparse(spark, sf_dir), _w(spark))
     return p.join(X.rows(spark, sf_dir).withColumnRenamed("row_ord", "row_id"), "row_id").withColumn("residual", F.col("y") - F.col("y_hat"))
 
 
@@ -381,6 +391,60 @@ def s3_decode_positions(spark, sf_dir):
     return records.decode_positions(packed, "pos_id")[1]
 
 
+def _records(spark, sf_dir):
+    """Records of positions that have a packed form, to be written: row_ord is pos_id."""
+    p = X.positions(spark, sf_dir)
+    packed = records.encode_positions(p, X.pieces(spark, sf_dir)).filter("sfen IS NOT NULL")
+    return p.join(packed, "pos_id").selectExpr("pos_id AS row_ord", "sfen", "score", "move", "CAST(pos_id % 1000 AS INT) AS game_ply", "game_result")
+
+
+_FITS = "SELECT p.*, row_number() OVER (ORDER BY p.pos_id)-1 AS ord FROM pos p WHERE pos_id IN (SELECT pos_id FROM men JOIN pos USING (pos_id) GROUP BY 1 HAVING 13+62+4*(COUNT(*)-2)+4+1+CASE WHEN MAX(ep)>=0 THEN 6 ELSE 0 END+14<=256)"
+
+
+@query(f"WITH {POS}, {MEN}, fits AS ({_FITS}) SELECT CAST(ord AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score, CAST(move AS INTEGER) AS move, CAST(pos_id%1000 AS INTEGER) AS game_ply, CAST(game_result AS INTEGER) AS game_result FROM fits")
+def s1_read_records(spark, sf_dir):
+    """Records written as 40-byte files and read back by byte ranges, numbered over all files."""
+    path = shared.new_path(spark, "records")
+    records.write_records(_records(spark, sf_dir), path, rows_per_file=1000)
+    return records.read_records(spark, [path], rows_per_split=300).selectExpr("row_ord", "CAST(score AS INT) AS score", "move", "game_ply", "CAST(game_result AS INT) AS game_result")
+
+
+@query(f"WITH {POS}, {MEN}, fits AS ({_FITS}), n AS (SELECT COUNT(*) FILTER (turn=0) AS a, COUNT(*) FILTER (turn=1) AS b FROM fits), o AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY pos_id)-1 AS k FROM fits) SELECT CAST(CASE WHEN turn=1 THEN k+t.nth*(a+b) ELSE k+b END AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score FROM o, n, (VALUES (0),(1)) t(nth) WHERE turn=1 OR t.nth=0")
+def s2_read_file_list(spark, sf_dir):
+    """A list file of folders by the side to move, the second one twice: their records as one sequence in list order."""
+    d = _records(spark, sf_dir).join(X.positions(spark, sf_dir).selectExpr("pos_id AS row_ord", "turn"), "row_ord")
+    path = shared.new_path(spark, "records")
+    for turn in (0, 1):
+        records.write_records(d.filter(F.col("turn") == turn), f"{path}/{turn}", rows_per_file=700)
+    spark.createDataFrame([(f"{path}/1",), (f"{path}/0",), (f"{path}/1",)], "value string").coalesce(1).write.text(f"{path}/list")
+    return records.read_records(spark, records.read_list(spark, f"{path}/list")).selectExpr("row_ord", "CAST(score AS INT) AS score")
+
+
+@query(f"{BASE}, {_SCORES}, fits AS ({_FITS.replace('FROM men JOIN', 'FROM men0 JOIN')}) SELECT CAST(ord AS BIGINT) AS row_ord, CAST(least(greatest(t.score,-32768),32767) AS INTEGER) AS score, CAST(move AS INTEGER) AS move, CAST(f.pos_id%1000 AS INTEGER) AS game_ply, CAST(game_result AS INTEGER) AS game_result FROM fits f JOIN stat t ON t.pos_id=f.pos_id")
+def s10_relabel_files(spark, sf_dir):
+    """Record files, and those with static scores as labels: read back from the latter."""
+    path = shared.new_path(spark, "records")
+    records.write_records(_records(spark, sf_dir), f"{path}/old", rows_per_file=1000)
+    jobs.relabel_files(spark, [f"{path}/old"], f"{path}/new", _weights(spark, 759), rows_per_file=700)
+    return records.read_records(spark, [f"{path}/new"]).selectExpr("row_ord", "CAST(score AS INT) AS score", "move", "game_ply", "CAST(game_result AS INT) AS game_result")
+
+
+@query(f"{BASE}, {_QUIET}, x0 AS (SELECT a.pos_id, a.idx, SUM(CASE WHEN a.side=p.turn THEN v ELSE -v END) AS value FROM ({Q.all_families()}) a JOIN pos p USING (pos_id) GROUP BY 1,2), xs AS (SELECT pos_id, COUNT(*) FILTER (value<>0) AS n, SUM(value) AS total FROM x0 GROUP BY 1), stg AS (SELECT pos_id, {_STAGE} AS stage FROM men0 GROUP BY 1) SELECT CAST(p.pos_id AS BIGINT) AS row_ord, CAST(24-s.stage AS INTEGER) AS mg, CAST(s.stage AS INTEGER) AS eg, CAST(p.score AS DOUBLE) AS y, CAST(p.game_result AS DOUBLE) AS result, CAST(coalesce(xs.n,0) AS INTEGER) AS n, CAST(ROUND(coalesce(xs.total,0),3) AS DOUBLE)+0.0 AS total FROM quiet p JOIN stg s USING (pos_id) LEFT JOIN xs ON xs.pos_id=p.pos_id")
+def s4_write_features(spark, sf_dir):
+    """Feature rows of quiet positions as files, read back."""
+    path = shared.new_path(spark, "features")
+    jobs.write_features(jobs.feature_vectors(X.positions(spark, sf_dir), X.pieces(spark, sf_dir)), path, quiet_only=True)
+    return spark.read.parquet(path).selectExpr("row_ord", "mg", "eg", "y", "result", "size(indices) AS n", "round(aggregate(vals, 0D, (a, x) -> a + x), 3) + 0.0D AS total")
+
+
+@query(f"WITH {POS}, {MEN}, {_FEN} SELECT CAST(row_number() OVER (ORDER BY pos_id)-1 AS BIGINT) AS pos_id, fen FROM fen")
+def s7_read_text_files(spark, sf_dir):
+    """Text positions written in order and read from their files again, numbered over all lines."""
+    path = shared.new_path(spark, "text")
+    s8_write_text_positions(spark, sf_dir).repartitionByRange("pos_id").sortWithinPartitions("pos_id").select("fen").write.text(path)
+    return text_positions.read_lines(spark, [path]).select("pos_id", "fen")
+
+
 # Weights as text, from per-feature means.
 _WT = "wt AS (SELECT CAST(idx AS BIGINT) AS idx, ROUND(AVG(value),3) AS mg, ROUND(MAX(value)/8,3) AS eg FROM sp GROUP BY 1)"
 
@@ -496,8 +560,8 @@ def _weight_rows(spark, w, digits):
     return spark.createDataFrame([(e, i, float(round(x, digits)) + 0.0) for e, ws in enumerate(w) for i, x in enumerate(ws)], "epoch int, idx int, w double")
 
 
-_L7 = f"""deal0 AS (SELECT chunk_id, row_number() OVER (ORDER BY {_key('chunk_id*31', 5)}, chunk_id)-1 AS place FROM (SELECT DISTINCT row_ord//500 AS chunk_id FROM rws)),
-dealt AS (SELECT r.*, d.place%4 AS worker, row_number() OVER (PARTITION BY d.place%4 ORDER BY d.place, r.row_ord)-1 AS rn FROM rws r JOIN deal0 d ON d.chunk_id=r.row_ord//500),
+_L7 = f"""{_deal_sql(0)},
+dealt AS (SELECT r.*, d.place%4 AS worker, row_number() OVER (PARTITION BY d.place%4 ORDER BY d.place, r.row_ord)-1 AS rn FROM rws r JOIN deal d ON d.chunk_id=r.row_ord//500),
 lab AS (SELECT row_ord AS row, CAST(rn//CASE WHEN worker=3 THEN t.n-3*(t.n//4) ELSE t.n//4 END AS BIGINT) AS b, CAST(y AS DOUBLE) AS y, mg, eg FROM dealt, (SELECT COUNT(*) AS n FROM rws) t),
 ex AS (SELECT l.row, l.b, sp.idx, sp.value/sc.scale*l.mg/24.0 AS v FROM sp JOIN sc USING (idx) JOIN lab l ON l.row=sp.row_id UNION ALL SELECT l.row, l.b, sp.idx+40, sp.value/sc.scale*l.eg/24.0 FROM sp JOIN sc USING (idx) JOIN lab l ON l.row=sp.row_id)"""
 
@@ -518,6 +582,43 @@ def l7_fit_features(spark, sf_dir):
     return _weight_rows(spark, w, 5)
 
 
+def _fit_rows(spark, sf_dir):
+    v = training.vectors(X.sparse(spark, sf_dir), "row_id").withColumnRenamed("row_id", "row_ord")
+    return X.rows(spark, sf_dir).join(v, "row_ord").select("row_ord", "mg", "eg", F.col("y").cast("double").alias("y"), F.col("result").cast("double").alias("result"), F.lit(True).alias("quiet"), "indices", "vals")
+
+
+def _steps_sql(rate, penalty, steps):
+    """From ex (row, idx, v) and lab (row, y): the weights w1, w2, .. after steps over all rows."""
+    out = ["w0 AS (SELECT DISTINCT idx, CAST(0 AS DOUBLE) AS w FROM ex)"]
+    for k in range(1, steps + 1):
+        out.append(f"r{k} AS (SELECT l.row, any_value(l.y)-SUM(w.w*e.v) AS r FROM lab l JOIN ex e ON e.row=l.row JOIN w{k - 1} w ON w.idx=e.idx GROUP BY 1), w{k} AS (SELECT w.idx, any_value(w.w)+{rate}*(SUM(r.r*e.v)/(SELECT COUNT(*) FROM lab)-{penalty}*any_value(w.w)) AS w FROM w{k - 1} w JOIN ex e ON e.idx=w.idx JOIN r{k} r ON r.row=e.row GROUP BY 1)")
+    return ", ".join(out)
+
+
+_FULL = "lab AS (SELECT row_ord AS row, CAST(y AS DOUBLE) AS y, mg, eg FROM rws WHERE row_ord IN (SELECT row_id FROM sp)), ex AS (SELECT l.row, sp.idx, CAST(sp.value AS DOUBLE)*l.mg/24 AS v FROM sp JOIN lab l ON l.row=sp.row_id UNION ALL SELECT l.row, sp.idx+40, CAST(sp.value AS DOUBLE)*l.eg/24 FROM sp JOIN lab l ON l.row=sp.row_id)"
+_EPOCHS = " UNION ALL ".join(f"SELECT CAST({k - 1} AS INTEGER) AS epoch, CAST(idx AS BIGINT) AS idx, CAST(ROUND(w,5) AS DOUBLE)+0.0 AS w FROM w{k}" for k in (1, 2, 3))
+
+
+@query(f"WITH {SPARSE}, {ROWS}, {_FULL}, {_steps_sql('0.0005', '1e-3', 3)} SELECT * FROM ({_EPOCHS})")
+def s15_weight_snapshots(spark, sf_dir):
+    """Snapshots of a fit that stopped after two epochs and went on to a third: each epoch once."""
+    rows, path = shared.settled(_fit_rows(spark, sf_dir)), shared.new_path(spark, "training")
+    for epochs in (2, 3):
+        training.fit_records(rows, rows, path, 40, training.Plan(epochs, 1 << 40, 0.0005, 1e-3), resume=True)
+    shared.release(rows)
+    both = spark.read.parquet(f"{path}/weights").select("epoch", F.explode(F.array(F.struct("idx", F.col("mg").alias("w")), F.struct((F.col("idx") + 40).alias("idx"), F.col("eg").alias("w")))).alias("x"))
+    return both.select("epoch", "x.idx", (F.round("x.w", 5) + F.lit(0.0)).alias("w"))
+
+
+@query(None)
+def l5_newton_fit(spark, sf_dir):
+    """Weights of chances to win by Newton steps; tests hold them against NumPy."""
+    rows = shared.settled(_fit_rows(spark, sf_dir))
+    w, _ = training.fit_newton(training.expand(rows, 40), 80, 1e-3, 0.7)
+    shared.release(rows)
+    return _weight_rows(spark, [w], 6)
+
+
 @query(f"WITH {SPARSE}, {_WT}, wr AS (SELECT idx, CAST({_CUT('mg')} AS BIGINT) AS w100 FROM wt) SELECT sp.row_id, CAST(ROUND(SUM(value*w100)/100.0,2) AS DOUBLE) AS y_hat FROM sp JOIN wr USING (idx) GROUP BY 1")
 def l10_load_then_predict(spark, sf_dir):
     names = _means(spark, sf_dir).select("idx")

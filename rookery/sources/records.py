@@ -1,16 +1,24 @@
-"""Fixed 40-byte labelled records: read in byte ranges, decoded a batch at a time."""
+"""Fixed 40-byte labelled records: read in byte ranges, decoded a batch at a time, and written."""
 
 from __future__ import annotations
 
+import glob
+import json
 import os
+import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs as fs_types
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from rookery.sources import stores
 
 #: Fixed values of the format: record layout, prefix codes by piece (value, with the colour bit after it).
 RECORD = np.dtype([("sfen", "u1", 32), ("score", "<i2"), ("move", "<u2"), ("ply", "<u2"), ("result", "i1"), ("pad", "u1")])
@@ -20,8 +28,8 @@ SCHEMA = "file_idx int, row_ord long, sfen binary, score short, move int, game_p
 
 
 class Range(InputPartition):
-    def __init__(self, file_idx: int, path: str, first: int, last: int, before: int):
-        self.file_idx, self.path, self.first, self.last, self.before = file_idx, path, first, last, before
+    def __init__(self, file_idx: int, uri: str, first: int, last: int, before: int):
+        self.file_idx, self.uri, self.first, self.last, self.before = file_idx, uri, first, last, before
 
 
 def _batch(file_idx: int, ords: np.ndarray, raw: bytes) -> pa.RecordBatch:
@@ -32,10 +40,11 @@ def _batch(file_idx: int, ords: np.ndarray, raw: bytes) -> pa.RecordBatch:
 
 
 class RecordSource(DataSource):
-    """spark.read.format('labelled_records').option('paths', 'a\\nb').load()
+    """spark.read.format("labelled_records").option("paths", "a\\nb").load(), and .write with the same columns but file_idx.
 
-    Files are one sequence in list order; a part record at a file's end is left out. Options: paths (one a
-    line), or files, a list file with one path a line; rows_per_split. Paths are read by executors as local or mounted files.
+    Files are one sequence in list order; a part record at a file's end is left out. Options to read: paths (one a
+    line), or files, a list file with one path a line; rows_per_split. Paths are local, mounted, or URIs that pyarrow opens; read_records()
+    finds those of Spark's stores. To write: target, a folder. A task writes one file, of rows in its order.
     """
 
     @classmethod
@@ -48,37 +57,121 @@ class RecordSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RecordReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return RecordWriter(self.options["target"], overwrite)
+
 
 class RecordReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p.strip() for p in options.get("paths", "").split("\n") if p.strip()]
-        if "files" in options:
-            with open(options["files"]) as f:
-                self.paths += [p.strip() for p in f if p.strip()]
+        if "found" in options:
+            self.files = [tuple(x) for x in json.loads(options["found"])]
+        else:
+            paths = options.get("paths", "").split("\n")
+            if "files" in options:
+                fs, path = stores.opened(options["files"])
+                with fs.open_input_file(path) as f:
+                    paths += f.read().decode().split("\n")
+            self.files = [x for p in paths if p.strip() for x in self._here(p.strip())]
         self.split = int(options.get("rows_per_split", "1000000"))
 
+    @staticmethod
+    def _here(path: str) -> list[tuple[str, int]]:
+        """A path's file and size, or those that a local pattern names."""
+        if not re.match(r"\w[\w+.-]+:", path):
+            found = sorted(glob.glob(os.path.abspath(path))) or [path]
+            return [(os.path.abspath(p), os.path.getsize(p)) for p in found]
+        fs, p = stores.opened(path)
+        info = fs.get_file_info(p)
+        if not info.is_file:
+            raise FileNotFoundError(path)
+        return [(path, info.size)]
+
     def partitions(self):
         out, before = [], 0
-        for k, path in enumerate(self.paths):
-            n = os.path.getsize(path) // RECORD.itemsize
-            out += [Range(k, path, a, min(n, a + self.split), before) for a in range(0, n, self.split)]
+        for k, (uri, size) in enumerate(self.files):
+            n = size // RECORD.itemsize
+            out += [Range(k, uri, a, min(n, a + self.split), before) for a in range(0, n, self.split)]
             before += n
         return out or [Range(0, "", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.first >= part.last:
             return
-        with open(part.path, "rb") as f:
+        fs, path = stores.opened(part.uri)
+        with fs.open_input_file(path) as f:
             f.seek(part.first * RECORD.itemsize)
             for at in range(part.first, part.last, 50_000):
                 n = min(50_000, part.last - at)
-                yield _batch(part.file_idx, part.before + np.arange(at, at + n), f.read(n * RECORD.itemsize))
+                raw = f.read(n * RECORD.itemsize)
+                if len(raw) < n * RECORD.itemsize:
+                    raise EOFError(f"{part.uri} ends before record {at + n}")
+                yield _batch(part.file_idx, part.before + np.arange(at, at + n), raw)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written: its temporary file and the name that it gets."""
+
+    temporary: str
+    name: str
+    rows: int
+
+
+class RecordWriter(DataSourceArrowWriter):
+    """Tasks write to a folder of their own; files get their names when all tasks are done, and the marker _SUCCESS comes last. A task that failed, or ran twice, leaves nothing."""
+
+    def __init__(self, target: str, overwrite: bool):
+        self.target, self.overwrite, self.run = target, overwrite, f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, folder = stores.opened(self.target)
+        temporary, rows = f"{folder}/{self.run}/{task.taskAttemptId()}", 0
+        fs.create_dir(f"{folder}/{self.run}", recursive=True)
+        with fs.open_output_stream(temporary) as f:
+            for b in batches:
+                f.write(_raw(b))
+                rows += b.num_rows
+        return Written(temporary, f"part-{task.partitionId():06d}.bin", rows)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, folder = stores.opened(self.target)
+        if self.overwrite:
+            for old in fs.get_file_info(fs_types.FileSelector(folder)):
+                if re.fullmatch(r"(part-.*\.bin|_SUCCESS)", old.base_name):
+                    fs.delete_file(old.path)
+        for m in messages:
+            if m and m.rows:
+                fs.move(m.temporary, f"{folder}/{m.name}" if self.overwrite else f"{folder}/{self.run[11:]}-{m.name}")
+        fs.delete_dir(f"{folder}/{self.run}")
+        with fs.open_output_stream(f"{folder}/_SUCCESS"):
+            pass
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, folder = stores.opened(self.target)
+        if fs.get_file_info(f"{folder}/{self.run}").type != fs_types.FileType.NotFound:
+            fs.delete_dir(f"{folder}/{self.run}")
+
+
+def _raw(b: pa.RecordBatch) -> bytes:
+    """Records of a batch; positions that aren't packed in 32 bytes and numbers that don't fit are an error."""
+    out = np.zeros(b.num_rows, dtype=RECORD)
+    packed = b.column("sfen").cast(pa.binary(32))
+    if packed.null_count:
+        raise ValueError("a record without a position can't be written")
+    out["sfen"] = np.frombuffer(packed.buffers()[1], np.uint8, 32 * b.num_rows, 32 * packed.offset).reshape(-1, 32)
+    for name, column, kind in (("score", "score", pa.int16()), ("move", "move", pa.uint16()), ("ply", "game_ply", pa.uint16()), ("result", "game_result", pa.int8())):
+        out[name] = np.asarray(b.column(column).cast(kind))
+    return out.tobytes()
 
 
 def read_records(spark: SparkSession, paths: list[str], rows_per_split: int = 1_000_000) -> DataFrame:
-    """Records of local or mounted files, by byte ranges."""
+    """Records by byte ranges, of files in any store that pyarrow opens, mounts of Spark's file systems resolved: relative, repeated and patterned paths in list order."""
     spark.dataSource.register(RecordSource)
-    return spark.read.format("labelled_records").option("paths", "\n".join(paths)).option("rows_per_split", str(rows_per_split)).load()
+    found = json.dumps([(f.uri, f.size) for f in stores.find(spark, paths)])
+    return spark.read.format("labelled_records").option("found", found).option("rows_per_split", str(rows_per_split)).load()
 
 
 def read_list(spark: SparkSession, list_path: str) -> list[str]:
@@ -87,27 +180,37 @@ def read_list(spark: SparkSession, list_path: str) -> list[str]:
 
 
 def read_stored_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The rows of read_records() from files in any store that Spark reads (a file is one row of bytes, of at most 2 GB,
-    and one task's work): their order is that of paths, a part record at a file's end is left out."""
-    order = spark.createDataFrame(list(enumerate(paths)), "file_idx int, wanted string")
-    # A path comes back with its scheme: files are told by the path behind that.
-    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
-    files = spark.read.format("binaryFile").load(paths)
-    files = files.join(F.broadcast(order), plain(F.col("path")) == plain(F.col("wanted"))).withColumn("n", F.expr(f"length DIV {RECORD.itemsize}"))
-    sizes = {r["file_idx"]: r["n"] for r in files.select("file_idx", "n").collect()}
-    before, at = {}, 0
-    for k in sorted(sizes):
-        before[k], at = at, at + sizes[k]
+    """The rows of read_records() from stores that only Spark's readers open: a file is one row of bytes, of at most 2 GB, and one
+    task's work. Larger files are an error."""
+    files, before, starts = stores.find(spark, paths), 0, []
+    for k, f in enumerate(files):
+        starts.append((k, f.path, before))
+        before += f.size // RECORD.itemsize
+    order = spark.createDataFrame(starts, "file_idx int, path string, before long")
+    content = spark.read.format("binaryFile").load(sorted({f.path for f in files})).select("path", "content") if files else spark.createDataFrame([], "path string, content binary")
 
     def run(batches):
         for b in batches:
-            for k, raw in zip(b.column("file_idx").to_pylist(), b.column("content"), strict=True):
+            for k, start, raw in zip(b.column("file_idx").to_pylist(), b.column("before").to_pylist(), b.column("content"), strict=True):
                 whole = memoryview(raw.as_buffer())
-                for first in range(0, sizes[k], 50_000):
-                    n = min(50_000, sizes[k] - first)
-                    yield _batch(k, before[k] + np.arange(first, first + n), whole[first * RECORD.itemsize : (first + n) * RECORD.itemsize])
+                for first in range(0, len(whole) // RECORD.itemsize, 50_000):
+                    n = min(50_000, len(whole) // RECORD.itemsize - first)
+                    yield _batch(k, start + np.arange(first, first + n), whole[first * RECORD.itemsize : (first + n) * RECORD.itemsize])
+
+    return content.join(F.broadcast(order), "path").select("file_idx", "before", "content").mapInArrow(run, SCHEMA)
+
 
-    return files.select("file_idx", "content").mapInArrow(run, SCHEMA)
+def write_records(rows: DataFrame, path: str, rows_per_file: int = 1_000_000, total: int | None = None) -> None:
+    """Rows (row_ord, sfen, score, move, game_ply, game_result) as 40-byte files in the folder path, in place of those there.
+
+    File k has the rows with row_ord from k * rows_per_file on, in order, so the files by name are the rows in order. total: one more than the greatest row_ord.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(RecordSource)
+    if total is None:
+        total = (rows.agg(F.max("row_ord")).first()[0] or 0) + 1
+    d = rows.repartitionById(-(-total // rows_per_file), F.expr(f"CAST(row_ord DIV {rows_per_file} AS INT)")).sortWithinPartitions("row_ord")
+    d.select("sfen", "score", "move", "game_ply", "game_result").write.format("labelled_records").option("target", stores.folder(spark, path)).mode("overwrite").save()
 
 
 def _turned(s):
@@ -232,8 +335,12 @@ def encode_positions(positions: DataFrame, pieces: DataFrame) -> DataFrame:
     return positions.select("pos_id", "turn", "castling", ep.alias("ep")).join(men, "pos_id").mapInArrow(run, "pos_id long, sfen binary")
 
 
-def write_feature_chunks(feature_rows: DataFrame, path: str, size: int, kept: Column | None = None) -> None:
-    """feature rows (row_ord, ..) as Parquet by chunk; chunk_id counts rows before those that aren't kept are left out."""
+def write_feature_chunks(feature_rows: DataFrame, path: str, size: int, rows_per_task: int = 1_000_000) -> None:
+    """feature rows (row_ord, ..) as Parquet by chunk of size ordinals; rows that a filter left out before count in theirs.
+
+    Ranges of ordinals, several whole chunks or a part of a large one, are dealt to tasks in turn: none gets two by a hash while another has none.
+    """
+    parts = int(feature_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows_per_task if size > rows_per_task else size * (rows_per_task // size)
     d = feature_rows.withColumn("chunk_id", F.expr(f"row_ord DIV {size}"))
-    d = d if kept is None else d.filter(kept)
-    d.repartition("chunk_id").write.mode("overwrite").partitionBy("chunk_id").parquet(path)
+    d.repartitionById(parts, F.expr(f"CAST(row_ord DIV {rows} % {parts} AS INT)")).write.mode("overwrite").partitionBy("chunk_id").parquet(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rookery.functions import board as B
+from rookery.sources import stores
 
 LETTERS = "PNBRQK"
 
@@ -45,3 +46,28 @@ def read_text(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cells = ok.select("pos_id", F.posexplode(F.split("cells", "")).alias("i", "c")).filter("c <> '.' AND c <> ''")
     pieces = cells.selectExpr("pos_id", f"CAST({square} AS INT) AS sq", "CASE WHEN c = upper(c) THEN 0 ELSE 1 END AS side", f"locate(upper(c), '{LETTERS}') - 1 AS pc")
     return positions, pieces, d.filter("NOT good").select("pos_id", "fen")
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """pos_id, path, line and fen of the lines of text files in list order: pos_id counts all lines from 0, line those of a file from 1.
+
+    Files are read in splits. A line's place is its place in its split, which the scan has in order, and the lines of the splits before,
+    a count for each; so nothing is sorted but the table of splits. A path that is listed twice is read twice.
+    """
+    files = stores.find(spark, paths)
+    if not files:
+        return spark.createDataFrame([], "pos_id long, path string, line long, fen string")
+    d = spark.read.text(sorted({f.path for f in files})).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("m"))
+    splits = d.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    listed = spark.createDataFrame([(k, f.path) for k, f in enumerate(files)], "file_idx int, path string")
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("file_idx", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = splits.join(listed, "path").select("path", "start", "first", before(F.lit(0)).alias("ahead"), before("file_idx").alias("above"))
+    i = F.col("m") - F.col("first")
+    return d.join(F.broadcast(places), ["path", "start"]).select((F.col("ahead") + i).alias("pos_id"), "path", (F.col("above") + i + 1).alias("line"), F.col("value").alias("fen"))
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read_text() of the lines of files in list order; bad_records also have the path and the line."""
+    lines = read_lines(spark, paths)
+    positions, pieces, bad = read_text(lines.select("pos_id", "fen"))
+    return positions, pieces, lines.join(bad.select("pos_id"), "pos_id", "left_semi").select("pos_id", "path", "line", "fen")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.functions.scalars import truncate_x100
@@ -34,5 +34,43 @@ def save_lines(lines: DataFrame, path: str) -> None:
     lines.repartition(1).sortWithinPartitions("idx").select("line").write.mode("overwrite").text(path)
 
 
-def append_snapshot(weights: DataFrame, epoch: int, path: str) -> None:
-    weights.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(path)
+def write_snapshot(weights: DataFrame, trained: DataFrame, epoch: int, path: str) -> None:
+    """Weights (idx, mg, eg) of an epoch in a partition of its own, with the ones it was trained to (idx, mg, eg), which scales may have changed.
+
+    The partition is written anew, so an epoch that runs again after a failure is there once; it counts from when the
+    writer's marker is there.
+    """
+    state = trained.select("idx", F.col("mg").alias("trained_mg"), F.col("eg").alias("trained_eg"))
+    weights.join(state, "idx").coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose snapshots are whole."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(jvm(path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(jvm(path))]
+    return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and fs.exists(jvm(f"{path}/{n}/_SUCCESS")))
+
+
+def last_snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame] | None:
+    """The last of the epochs that follow each other from 0 on, and its trained weights (idx, mg, eg)."""
+    last = -1
+    for epoch in _epochs(spark, path):
+        if epoch != last + 1:
+            break
+        last = epoch
+    if last < 0:
+        return None
+    return last, spark.read.parquet(f"{path}/epoch={last}").selectExpr("idx", "trained_mg AS mg", "trained_eg AS eg")
+
+
+def drop_snapshots(spark: SparkSession, path: str) -> None:
+    """Deletes the snapshots in path, nothing else."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(jvm(path)):
+        for f in fs.listStatus(jvm(path)):
+            if f.getPath().getName().startswith("epoch="):
+                fs.delete(f.getPath(), True)

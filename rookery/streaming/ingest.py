@@ -22,7 +22,7 @@ def learn_from_folder(spark: SparkSession, chunks: str, weights: str, checkpoint
         if rows.isEmpty():
             return
         before = current_weights(spark, weights, number)
-        guess = linear.predict(batch.select("row_ord", "idx", "value"), before, "row_ord")
+        guess = linear.predict_with_values(batch.select("row_ord", "idx", "value"), before, "row_ord")
         none = F.array().cast("array<struct<idx:bigint,value:double>>")
         left = rows.join(guess, "row_ord", "left").select(F.coalesce("v", none).alias("v"), (F.col("y") - F.coalesce("y_hat", F.lit(0.0))).alias("residual"))
         g = linear.gradient(left)
