@@ -39,6 +39,8 @@ def _weights(spark: SparkSession, n: int) -> DataFrame:
 
 
 POS, MEN, ROWS, SPARSE = f"pos AS ({X.POSITIONS})", f"men AS ({X.PIECES})", f"rws AS ({X.ROWS})", f"sp AS ({X.SPARSE})"
+#: The same, each made once.
+ONCE = f"pos AS MATERIALIZED ({X.POSITIONS}), men AS MATERIALIZED ({X.PIECES.replace(f'WITH k AS ({X.POSITIONS})', 'WITH k AS (SELECT * FROM pos)')})"
 BASE = Q.BASE
 
 # Feature families, each by itself; X0 is their union.
@@ -143,7 +145,7 @@ def _classified(spark, sf_dir):
     return moves.classify_moves(moves.decode_moves(X.positions(spark, sf_dir)), X.pieces(spark, sf_dir))
 
 
-@query(f"WITH {POS}, {MEN}, {_MV}, {_CLS.format(m='men')} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(coalesce(moved,-1) AS INTEGER) AS moved, CAST(coalesce(captured,-1) AS INTEGER) AS captured, captured IS NOT NULL AS is_capture, prom BETWEEN 1 AND 4 AS is_promotion, prom BETWEEN 1 AND 3 AS is_underpromotion, prom=5 AS is_castling, prom=0 AS is_en_passant, captured IS NOT NULL OR prom BETWEEN 1 AND 4 AS is_tactical, coalesce(moved=0,false) OR captured IS NOT NULL AS is_conversion FROM cls")
+@query(f"WITH {ONCE}, {_MV}, {_CLS.format(m='men')} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(coalesce(moved,-1) AS INTEGER) AS moved, CAST(coalesce(captured,-1) AS INTEGER) AS captured, captured IS NOT NULL AS is_capture, prom BETWEEN 1 AND 4 AS is_promotion, prom BETWEEN 1 AND 3 AS is_underpromotion, prom=5 AS is_castling, prom=0 AS is_en_passant, captured IS NOT NULL OR prom BETWEEN 1 AND 4 AS is_tactical, coalesce(moved=0,false) OR captured IS NOT NULL AS is_conversion FROM cls")
 def f2_move_class(spark, sf_dir):
     d = _classified(spark, sf_dir)
     return d.select("pos_id", F.coalesce("moved", F.lit(-1)).alias("moved"), F.coalesce("captured", F.lit(-1)).alias("captured"), "is_capture", "is_promotion", "is_underpromotion", "is_castling", "is_en_passant", "is_tactical", "is_conversion")
@@ -385,7 +387,7 @@ def s9_score_text_positions(spark, sf_dir):
 
 
 #: Positions of over 256 bits have no packed form: 19 bits, one a square, four more and a colour bit a piece but kings.
-@query(f"WITH {POS}, {MEN} SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(sq AS INTEGER) AS sq, CAST(side AS INTEGER) AS side, CAST(pc AS INTEGER) AS pc FROM men WHERE pos_id IN (SELECT pos_id FROM men JOIN pos USING (pos_id) GROUP BY 1 HAVING 13+62+4*(COUNT(*)-2)+4+1+CASE WHEN MAX(ep)>=0 THEN 6 ELSE 0 END+14<=256)")
+@query(f"WITH {ONCE}, sizes AS MATERIALIZED (SELECT pos_id, COUNT(*) AS n FROM men GROUP BY 1) SELECT CAST(pos_id AS BIGINT) AS pos_id, CAST(sq AS INTEGER) AS sq, CAST(side AS INTEGER) AS side, CAST(pc AS INTEGER) AS pc FROM men WHERE pos_id IN (SELECT s.pos_id FROM sizes s JOIN pos p ON p.pos_id=s.pos_id WHERE 13+62+4*(n-2)+4+1+CASE WHEN ep>=0 THEN 6 ELSE 0 END+14<=256)")
 def s3_decode_positions(spark, sf_dir):
     packed = records.encode_positions(X.positions(spark, sf_dir), X.pieces(spark, sf_dir))
     return records.decode_positions(packed, "pos_id")[1]
@@ -401,7 +403,7 @@ def _records(spark, sf_dir):
 _FITS = "SELECT p.*, row_number() OVER (ORDER BY p.pos_id)-1 AS ord FROM pos p WHERE pos_id IN (SELECT pos_id FROM men JOIN pos USING (pos_id) GROUP BY 1 HAVING 13+62+4*(COUNT(*)-2)+4+1+CASE WHEN MAX(ep)>=0 THEN 6 ELSE 0 END+14<=256)"
 
 
-@query(f"WITH {POS}, {MEN}, fits AS ({_FITS}) SELECT CAST(ord AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score, CAST(move AS INTEGER) AS move, CAST(pos_id%1000 AS INTEGER) AS game_ply, CAST(game_result AS INTEGER) AS game_result FROM fits")
+@query(f"WITH {ONCE}, fits AS ({_FITS}) SELECT CAST(ord AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score, CAST(move AS INTEGER) AS move, CAST(pos_id%1000 AS INTEGER) AS game_ply, CAST(game_result AS INTEGER) AS game_result FROM fits")
 def s1_read_records(spark, sf_dir):
     """Records written as 40-byte files and read back by byte ranges, numbered over all files."""
     path = shared.new_path(spark, "records")
@@ -409,7 +411,7 @@ def s1_read_records(spark, sf_dir):
     return records.read_records(spark, [path], rows_per_split=300).selectExpr("row_ord", "CAST(score AS INT) AS score", "move", "game_ply", "CAST(game_result AS INT) AS game_result")
 
 
-@query(f"WITH {POS}, {MEN}, fits AS ({_FITS}), n AS (SELECT COUNT(*) FILTER (turn=0) AS a, COUNT(*) FILTER (turn=1) AS b FROM fits), o AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY pos_id)-1 AS k FROM fits) SELECT CAST(CASE WHEN turn=1 THEN k+t.nth*(a+b) ELSE k+b END AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score FROM o, n, (VALUES (0),(1)) t(nth) WHERE turn=1 OR t.nth=0")
+@query(f"WITH {ONCE}, fits AS ({_FITS}), n AS (SELECT COUNT(*) FILTER (turn=0) AS a, COUNT(*) FILTER (turn=1) AS b FROM fits), o AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY pos_id)-1 AS k FROM fits) SELECT CAST(CASE WHEN turn=1 THEN k+t.nth*(a+b) ELSE k+b END AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score FROM o, n, (VALUES (0),(1)) t(nth) WHERE turn=1 OR t.nth=0")
 def s2_read_file_list(spark, sf_dir):
     """A list file of folders by the side to move, the second one twice: their records as one sequence in list order."""
     d = _records(spark, sf_dir).join(X.positions(spark, sf_dir).selectExpr("pos_id AS row_ord", "turn"), "row_ord")
