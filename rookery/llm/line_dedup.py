@@ -146,16 +146,19 @@ class Runs:
         release_path(self.spark, self.path)
 
 
-def drop_lines(docs: DataFrame, repeated: DataFrame, min_chars: int) -> DataFrame:
+def drop_lines(docs: DataFrame, repeated: DataFrame, min_chars: int, own: bool = False) -> DataFrame:
     """doc_id, text, n_lines and n_dropped of every row: without lines whose keys are repeated (h, g, top), but for rows whose doc_id is top.
 
     Few repeated lines go to the scan by broadcast. Many are joined by shuffle with the hashes of all lines, and only the hashes to drop come back to a row.
+    own: repeated is a settled table that nothing else reads, and is deleted if it was broadcast.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
         known = repeated.sort("h", "g").toArrow()
         shared = docs.sparkSession.sparkContext.broadcast(known)
+        if own:
+            release(repeated)
         d = texts(docs)
     else:
         keys = (F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias("_i"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
@@ -222,4 +225,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     repeated = settled(runs.repeated(), "repeated")
     runs.drop()
     release(stored)
-    return drop_lines(docs, repeated, min_chars)
+    return drop_lines(docs, repeated, min_chars, own=True)

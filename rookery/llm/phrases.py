@@ -28,7 +28,7 @@ ROWS = 2048
 #: Places of the filter of frequent phrases: a fixed number of bits, whatever the input. A fuller filter lets more phrases be counted, never fewer.
 FILTER_BITS = 1 << 26
 #: Phrases that a task holds before it sends a sorted run, and that a merge takes in before it sums, or as many as it holds.
-RUN_ROWS, MERGE_ROWS = 1 << 19, 1 << 20
+RUN_ROWS = MERGE_ROWS = 1 << 20
 #: Parts of a language that are ranked by themselves before their best meet.
 RANK_PARTS = 64
 
@@ -349,4 +349,6 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top:
     best = F.expr("row_number() OVER (PARTITION BY lang, part ORDER BY score DESC, a DESC, phrase)")
     said = said.withColumn("rank", best).filter(F.col("rank") <= top)
     last = F.expr("CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT)")
-    return said.withColumn("rank", last).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    done = settled(said.withColumn("rank", last).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
+    release(words, every, spelled)
+    return done

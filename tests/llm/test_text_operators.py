@@ -706,6 +706,75 @@ def test_pipeline(spark, tmp_path):
         assert zlib.crc32(ids) == zlib.crc32(packing.WordCoder(queries.vocabulary("word_bpe_49k.json")).encode(clean[i]) + (2).to_bytes(4, "little"))
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages in plain Python over random documents with copies, near copies, benchmark passages, personal data, junk and one very long text."""
+    import corpus_pipeline as cp
+
+    r = np.random.default_rng(21)
+    vocabulary = ["the", "of", "and", "is"] + [f"Word{i}" for i in range(700)]
+    text = lambda n: " ".join(r.choice(vocabulary, n)) + " the of and"
+    items = [" ".join(f"bench{k}x{i}" for i in range(14)) for k in range(3)] + ["short item here"]
+    texts = [text(int(r.integers(20, 200))) for _ in range(60)]
+    for k in range(60):
+        w = texts[int(r.integers(len(texts)))].split(" ")
+        way = k % 6
+        if way == 0:
+            w[int(r.integers(len(w)))] = "changed"
+        elif way == 1:
+            w += items[k % 4].upper().split(" ")
+        elif way == 2:
+            w.insert(3, f"mail joe{k}@mail{k % 3}.com or +49 30 {1000000 + k}")
+        elif way == 3:
+            w = w[: len(w) // 2] + ["tail"] * 3
+        elif way == 4:
+            w = (w * 3)[: len(w) * 2]
+        texts.append(" ".join(w))
+    texts += ["# $ % " * 60, " ".join(f"{r.choice(vocabulary)}{k}" for k in range(160_000)) + " the of and is" * 3000, None, ""]
+    docs = list(enumerate(texts))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def good(t):
+        w = words(t)
+        wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        often = Counter(wins)
+        covered = len({i + k for i, x in enumerate(wins) if often[x] > 1 for k in range(3)})
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        n, chars = len(w), sum(map(len, w))
+        return n >= 50 and 100 * covered <= 50 * n and 2 * n <= chars <= 12 * n and sum(c in "#*$%&|<>" for c in t) <= 0.1 * n and sum(x in set(quality.STOP_WORDS) for x in w) >= 0.01 * n and len(lines) - len(set(lines)) <= 0.4 * max(1, len(lines))
+
+    kept = [(i, t) for i, t in docs if good(t)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in kept for w in [words(t.translate(str.maketrans(UPPER, UPPER.lower())))]}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    kept = [(i, t) for i, t in kept if group[i] == i]
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(str.maketrans(UPPER, UPPER.lower())))
+    windows = {tuple(w[k : k + 10]) for x in items for w in [plain(x)] for k in range(max(1, len(w) - 9))}
+    kept = [(i, t) for i, t in kept if not any(tuple(w[k : k + n]) in windows for w in [plain(t)] for n in (3, 10) for k in range(len(w) - n + 1))]
+    want = {i: pii.replace(t, queries.PII_SECRET, {})[0] for i, t in kept}
+    assert 30 < len(want) < len(texts) and any(want[i] != t for i, t in kept) and 121 in want
+
+    coder, got = packing.WordCoder(queries.vocabulary("word_bpe_49k.json")), {}
+    rows = cp.run(spark, str(tmp_path)).collect()
+    for x in sorted(rows, key=lambda x: (x.doc_id, x.start)):
+        assert len(got.setdefault(x.doc_id, b"")) == 4 * x.start
+        got[x.doc_id] += bytes(x.ids)
+    assert got == {i: coder.encode(t) + (2).to_bytes(4, "little") for i, t in want.items()}
+    filled = Counter()
+    for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+        assert filled[x.sequence_id] == x.offset
+        filled[x.sequence_id] += x.length
+    assert max(filled.values()) <= 4096
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     """Two texts under one id, null ids, repeated rows, clashing columns; and an empty table."""
     import corpus_pipeline as cp
