@@ -59,22 +59,9 @@ def rays(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pc int, side int, sq int, jumps long, " + ", ".join(f"d{d} long" for d in range(8)))
 
 
-def _between_sets() -> list[int]:
-    """For squares a * 64 + b: those strictly between on a line, else none."""
-    out = [0] * 4096
-    for a in range(64):
-        for d in _DIRECTIONS:
-            line = _squares(a, *d)
-            for k, b in enumerate(line):
-                out[a * 64 + b] = B._mask(line[:k])
-    return out
-
-
-_BETWEEN_SETS = _between_sets()
-
-
 def attacked(d: DataFrame) -> DataFrame:
-    """d (occ and the columns of rays()) with tos, the squares a piece attacks: jumps, and each direction up to its first piece.
+    """d (occ, xk and the columns of rays()) with tos, the squares a piece attacks: jumps, and each direction up to its first piece; and
+    shield, the pieces between it and the king on xk, if that is on one of its lines, else null.
 
     Upwards that is the lowest piece, b ^ (b - 1); downwards the highest, found by filling all squares below each piece. Plain integer
     operations, a column a step, so no step is computed twice.
@@ -86,8 +73,9 @@ def attacked(d: DataFrame) -> DataFrame:
         d = d.withColumns({f"b{k}": F.expr(f"b{k} | shiftrightunsigned(b{k}, {step})") for k in range(4, 8)})
     up = " | ".join(f"(d{k} & ({lowest(f'b{k}')}))" for k in range(4))
     down = " | ".join(f"(d{k} & ~shiftrightunsigned(b{k}, 1))" for k in range(4, 8))
-    every = " | ".join(f"d{k}" for k in range(8))
-    return d.select(*keep, F.expr(f"jumps | {up} | {down}").alias("tos"), F.expr(every).alias("line"))
+    below = "~shiftleft(-1L, xk)"
+    near = [f"WHEN {B.has(f'd{k}', 'xk')} THEN occ & d{k} & {below if k < 4 else f'~({below} | {B.bit("xk")})'}" for k in range(8)]
+    return d.select(*keep, F.expr(f"jumps | {up} | {down}").alias("tos"), F.expr(f"CASE {' '.join(near)} END").alias("shield"))
 
 
 #: Kinds of rows while attacks are folded: pieces, and what knights, bishops and rooks would attack from a king's square.
@@ -107,10 +95,9 @@ def sides(positions: DataFrame, pieces: DataFrame) -> DataFrame:
     b = positions.select("pos_id", "wk", "bk", "turn", "castling").join(b, "pos_id")
     probes = ", ".join(f"struct({_PROBE} AS what, {king} AS sq, {side} AS side, {pc} AS pc)" for side, king in ((0, "bk"), (1, "wk")) for pc in (1, 2, 3))
     each = b.withColumn("m", F.explode(F.expr(f"concat(men, array({probes}))"))).select("pos_id", "wk", "bk", "turn", "castling", "occ", "m.*")
+    each = each.withColumn("xk", F.expr("CASE WHEN side = 0 THEN bk ELSE wk END"))
     hit = attacked(each.join(F.broadcast(rays(pieces.sparkSession)), ["pc", "side", "sq"]))
-    hit = hit.withColumn("xk", F.expr("CASE WHEN side = 0 THEN bk ELSE wk END"))
-    hit = hit.withColumn("shield", F.get(F.lit(_BETWEEN_SETS), F.expr("sq * 64 + xk")).bitwiseAND(F.col("occ")))
-    hit = hit.withColumn("pin", F.expr(f"CASE WHEN what = {_REAL} AND {B.has('line', 'xk')} AND bit_count(shield) = 1 THEN shield ELSE 0L END")).drop("line", "xk", "shield")
+    hit = hit.withColumn("pin", F.expr(f"CASE WHEN what = {_REAL} AND bit_count(shield) = 1 THEN shield ELSE 0L END")).drop("xk", "shield")
     real = f"what = {_REAL}"
     either = lambda value, cond: F.array(*[F.expr(f"coalesce(bit_or(CASE WHEN {real} AND side = {s} AND {cond} THEN {value} END), 0L)") for s in (0, 1)])
     listed = lambda value, cond: F.array(*[F.expr(f"collect_list(CASE WHEN {real} AND side = {s} AND {cond} THEN {value} END)") for s in (0, 1)])
