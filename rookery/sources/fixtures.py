@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rookery.functions import board as B
+from rookery.sources import shared
 
 #: A position is made from all orders of five keys.
 POSITIONS = """SELECT pos_id, (k*17+c)%64 AS wk, ((k*17+c)%64 + 1 + (c*13+k)%63)%64 AS bk, c%2 AS turn, p%4001-2000 AS score,
@@ -35,6 +36,18 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+#: Rows of orders and lineitem, about 25 a position, whose positions and pieces one task takes.
+ROWS_PER_TASK = 100_000
+
+
+def by_position(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
+    """d partitioned by pos_id into as many parts as the tables have rows for, so that a task's memory doesn't grow with them.
+
+    The files' footers have the counts. All that meets by pos_id has this one partitioning, also what a union made.
+    """
+    return shared.dealt(d, "pos_id", sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("orders", "lineitem")), ROWS_PER_TASK)
+
+
 #: Squares of the rooks with the four bits of rights.
 RIGHTS = (56, 0, 63, 7)
 
@@ -42,11 +55,12 @@ RIGHTS = (56, 0, 63, 7)
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos_id, king squares, turn, score, game_result, best move, castling (squares of rooks with rights) and ep (-1 or a square)."""
     castling = " + ".join(f"CASE WHEN (rights & {1 << n}) <> 0 THEN {B.bit(str(sq))} ELSE 0L END" for n, sq in enumerate(RIGHTS))
-    return _run(spark, sf_dir, POSITIONS, "orders").selectExpr("pos_id", "CAST(wk AS INT) wk", "CAST(bk AS INT) bk", "CAST(turn AS INT) turn", "score", "game_result", "CAST(move AS INT) move", f"{castling} AS castling", "CAST(ep AS INT) AS ep")
+    d = by_position(spark, sf_dir, _run(spark, sf_dir, POSITIONS, "orders"))
+    return d.selectExpr("pos_id", "CAST(wk AS INT) wk", "CAST(bk AS INT) bk", "CAST(turn AS INT) turn", "score", "game_result", "CAST(move AS INT) move", f"{castling} AS castling", "CAST(ep AS INT) AS ep")
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, PIECES, "orders", "lineitem")
+    return by_position(spark, sf_dir, _run(spark, sf_dir, PIECES, "orders", "lineitem"))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,11 @@ def settled(df: DataFrame, name: str = "table", most: int | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, rows: int, rows_per_task: int) -> DataFrame:
+    """df partitioned by key into a part for each rows_per_task of rows; unlike parts of a join or grouping they are never merged by their bytes."""
+    return df.repartition(max(1, -(-rows // rows_per_task)), key)
+
+
 def release_path(spark: SparkSession, path: str) -> None:
     """Deletes what was written to a path of new_path()."""
     if "/rookery-" in path:

@@ -210,6 +210,30 @@ def test_registered_sql(spark, name):
     assert norm(got) == norm(want)
 
 
+@pytest.mark.parametrize("name", ["f3_filter_quiet", "l6_fit_records", "m2_mse_quiet", "m4_quiet_profile", "s4_write_features", "s9_score_text_positions"])
+def test_registered_sql_without_broadcasts(spark, name):
+    """Joins of tables too large for a broadcast, in which the union of pieces meets its parts again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_registered_sql(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_parts_grow_with_the_tables(spark, monkeypatch):
+    """A task has as many positions in a large table as in a small one, whatever the session's number of partitions."""
+    from rookery.plans import queries
+    from rookery.sources import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    n = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    for per_task in (n, n // 8):
+        monkeypatch.setattr(X, "ROWS_PER_TASK", per_task)
+        for name in ("x0_feature_rows", "x3_piece_square", "l8_static_score", "l9_endgame_scaled_score", "m9_score_mismatch", "s10_relabel_records", "s9_score_text_positions"):
+            assert queries.QUERIES[name](spark, sf).rdd.getNumPartitions() == -(-n // per_task), name
+
+
 def test_streamed_steps(spark, tmp_path):
     from rookery.streaming.ingest import current_weights, learn_from_folder
 
