@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.operators import batching, features, geometry, metrics, moves, scoring, training
-from rookery.sources import records, weight_text
+from rookery.sources import records, shared, weight_text
+
+#: Positions of records that one task takes.
+POSITIONS_PER_TASK = 4_000
 
 
 def record_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,10 +76,12 @@ def relabel_files(spark: SparkSession, record_paths: list[str], target: str, wei
     The files of target by name are the records of record_paths in order. Records that don't decode keep their label; scores are cut to 16 bits.
     """
     rows = records.read_records(spark, record_paths)
+    total = batching.ordinals(rows)
     positions, pieces, _ = records.decode_positions(rows)
+    positions, pieces = (shared.dealt(d, "pos_id", total, POSITIONS_PER_TASK) for d in (positions, pieces))
     scores = scoring.scores(geometry.sides(positions, pieces), weights).select(F.col("pos_id").alias("row_ord"), F.expr("CAST(greatest(least(score, 32767), -32768) AS SHORT)").alias("label"))
     d = rows.join(scores, "row_ord", "left").withColumn("score", F.coalesce("label", "score"))
-    records.write_records(d.select("row_ord", "sfen", "score", "move", "game_ply", "game_result"), target, rows_per_file, batching.ordinals(rows))
+    records.write_records(d.select("row_ord", "sfen", "score", "move", "game_ply", "game_result"), target, rows_per_file, total)
 
 
 def validate_files(spark: SparkSession, record_paths: list[str], weight_path: str) -> dict[str, float]:

@@ -394,10 +394,10 @@ def s3_decode_positions(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    """Records of positions that have a packed form, to be written: row_ord is pos_id."""
+    """Records of positions that have a packed form, to be written: row_ord is pos_id. And one more than the greatest pos_id."""
     p = X.positions(spark, sf_dir)
     packed = records.encode_positions(p, X.pieces(spark, sf_dir)).filter("sfen IS NOT NULL")
-    return p.join(packed, "pos_id").selectExpr("pos_id AS row_ord", "sfen", "score", "move", "CAST(pos_id % 1000 AS INT) AS game_ply", "game_result")
+    return p.join(packed, "pos_id").selectExpr("pos_id AS row_ord", "sfen", "score", "move", "CAST(pos_id % 1000 AS INT) AS game_ply", "game_result"), batching.ordinals(p.withColumnRenamed("pos_id", "row_ord"))
 
 
 _FITS = "SELECT p.*, row_number() OVER (ORDER BY p.pos_id)-1 AS ord FROM pos p WHERE pos_id IN (SELECT pos_id FROM men JOIN pos USING (pos_id) GROUP BY 1 HAVING 13+62+4*(COUNT(*)-2)+4+1+CASE WHEN MAX(ep)>=0 THEN 6 ELSE 0 END+14<=256)"
@@ -407,17 +407,20 @@ _FITS = "SELECT p.*, row_number() OVER (ORDER BY p.pos_id)-1 AS ord FROM pos p W
 def s1_read_records(spark, sf_dir):
     """Records written as 40-byte files and read back by byte ranges, numbered over all files."""
     path = shared.new_path(spark, "records")
-    records.write_records(_records(spark, sf_dir), path, rows_per_file=1000)
+    rows, total = _records(spark, sf_dir)
+    records.write_records(rows, path, rows_per_file=1000, total=total)
     return records.read_records(spark, [path], rows_per_split=300).selectExpr("row_ord", "CAST(score AS INT) AS score", "move", "game_ply", "CAST(game_result AS INT) AS game_result")
 
 
 @query(f"WITH {ONCE}, fits AS ({_FITS}), n AS (SELECT COUNT(*) FILTER (turn=0) AS a, COUNT(*) FILTER (turn=1) AS b FROM fits), o AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY pos_id)-1 AS k FROM fits) SELECT CAST(CASE WHEN turn=1 THEN k+t.nth*(a+b) ELSE k+b END AS BIGINT) AS row_ord, CAST(score AS INTEGER) AS score FROM o, n, (VALUES (0),(1)) t(nth) WHERE turn=1 OR t.nth=0")
 def s2_read_file_list(spark, sf_dir):
     """A list file of folders by the side to move, the second one twice: their records as one sequence in list order."""
-    d = _records(spark, sf_dir).join(X.positions(spark, sf_dir).selectExpr("pos_id AS row_ord", "turn"), "row_ord")
+    rows, total = _records(spark, sf_dir)
+    d = shared.settled(rows.join(X.positions(spark, sf_dir).selectExpr("pos_id AS row_ord", "turn"), "row_ord"))
     path = shared.new_path(spark, "records")
     for turn in (0, 1):
-        records.write_records(d.filter(F.col("turn") == turn), f"{path}/{turn}", rows_per_file=700)
+        records.write_records(d.filter(F.col("turn") == turn), f"{path}/{turn}", rows_per_file=700, total=total)
+    shared.release(d)
     spark.createDataFrame([(f"{path}/1",), (f"{path}/0",), (f"{path}/1",)], "value string").coalesce(1).write.text(f"{path}/list")
     return records.read_records(spark, records.read_list(spark, f"{path}/list")).selectExpr("row_ord", "CAST(score AS INT) AS score")
 
@@ -426,7 +429,8 @@ def s2_read_file_list(spark, sf_dir):
 def s10_relabel_files(spark, sf_dir):
     """Record files, and those with static scores as labels: read back from the latter."""
     path = shared.new_path(spark, "records")
-    records.write_records(_records(spark, sf_dir), f"{path}/old", rows_per_file=1000)
+    rows, total = _records(spark, sf_dir)
+    records.write_records(rows, f"{path}/old", rows_per_file=1000, total=total)
     jobs.relabel_files(spark, [f"{path}/old"], f"{path}/new", _weights(spark, 759), rows_per_file=700)
     return records.read_records(spark, [f"{path}/new"]).selectExpr("row_ord", "CAST(score AS INT) AS score", "move", "game_ply", "CAST(game_result AS INT) AS game_result")
 

@@ -27,11 +27,22 @@ ROOKS = (56, 0, 63, 7)
 SCHEMA = "file_idx int, row_ord long, sfen binary, score short, move int, game_ply int, game_result byte"
 
 
+#: Rows of small files or ranges that one task reads or writes at least, if there are as many.
+ROWS_PER_TASK = 50_000
+
+
 class Range(InputPartition):
     def __init__(self, file_idx: int, uri: str, first: int, last: int, before: int):
         self.file_idx, self.uri, self.first, self.last, self.before = file_idx, uri, first, last, before
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 def _batch(file_idx: int, ords: np.ndarray, raw: bytes) -> pa.RecordBatch:
     r = np.frombuffer(raw, dtype=RECORD)
     n = len(r)
@@ -43,8 +54,8 @@ class RecordSource(DataSource):
     """spark.read.format("labelled_records").option("paths", "a\\nb").load(), and .write with the same columns but file_idx.
 
     Files are one sequence in list order; a part record at a file's end is left out. Options to read: paths (one a
-    line), or files, a list file with one path a line; rows_per_split. Paths are local, mounted, or URIs that pyarrow opens; read_records()
-    finds those of Spark's stores. To write: target, a folder. A task writes one file, of rows in its order.
+    line), or files, a list file with one path a line; rows_per_split; rows_per_task, up to which a task takes several ranges. Paths are local, mounted, or URIs that pyarrow opens; read_records()
+    finds those of Spark's stores. To write: target, a folder. A task writes one file, of rows in its order, or one for each value of a column file_idx.
     """
 
     @classmethod
@@ -73,6 +84,7 @@ class RecordReader(DataSourceReader):
                     paths += f.read().decode().split("\n")
             self.files = [x for p in paths if p.strip() for x in self._here(p.strip())]
         self.split = int(options.get("rows_per_split", "1000000"))
+        self.task = int(options.get("rows_per_task", "0"))
 
     @staticmethod
     def _here(path: str) -> list[tuple[str, int]]:
@@ -92,9 +104,25 @@ class RecordReader(DataSourceReader):
             n = size // RECORD.itemsize
             out += [Range(k, uri, a, min(n, a + self.split), before) for a in range(0, n, self.split)]
             before += n
-        return out or [Range(0, "", 0, 0, 0)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return self._packed(out) or [Range(0, "", 0, 0, 0)]
+
+    def _packed(self, ranges: list[Range]) -> list[InputPartition]:
+        """Neighbouring ranges by task: none is cut, and several come to rows_per_task at most."""
+        tasks, rows = [], 0
+        for r in ranges:
+            if tasks and rows + r.last - r.first <= self.task:
+                tasks[-1].append(r)
+                rows += r.last - r.first
+            else:
+                tasks.append([r])
+                rows = r.last - r.first
+        return [t[0] if len(t) == 1 else Ranges(t) for t in tasks]
+
+    def read(self, part: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        if isinstance(part, Ranges):
+            for r in part.ranges:
+                yield from self.read(r)
+            return
         if part.first >= part.last:
             return
         fs, path = stores.opened(part.uri)
@@ -110,11 +138,9 @@ class RecordReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task has written: its temporary file and the name that it gets."""
+    """What a task has written: its temporary files and the names that they get."""
 
-    temporary: str
-    name: str
-    rows: int
+    files: list[tuple[str, str]]
 
 
 class RecordWriter(DataSourceArrowWriter):
@@ -128,13 +154,23 @@ class RecordWriter(DataSourceArrowWriter):
 
         task = TaskContext.get()
         fs, folder = stores.opened(self.target)
-        temporary, rows = f"{folder}/{self.run}/{task.taskAttemptId()}", 0
+        files: list[tuple[str, str]] = []
         fs.create_dir(f"{folder}/{self.run}", recursive=True)
-        with fs.open_output_stream(temporary) as f:
+        f = None
+        try:
             for b in batches:
-                f.write(_raw(b))
-                rows += b.num_rows
-        return Written(temporary, f"part-{task.partitionId():06d}.bin", rows)
+                for k, rows in _by_file(b, task.partitionId()):
+                    name = f"part-{k:06d}.bin"
+                    if not files or files[-1][1] != name:
+                        if f:
+                            f.close()
+                        files.append((f"{folder}/{self.run}/{task.taskAttemptId()}-{name}", name))
+                        f = fs.open_output_stream(files[-1][0])
+                    f.write(_raw(rows))
+        finally:
+            if f:
+                f.close()
+        return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = stores.opened(self.target)
@@ -143,8 +179,8 @@ class RecordWriter(DataSourceArrowWriter):
                 if re.fullmatch(r"(part-.*\.bin|_SUCCESS)", old.base_name):
                     fs.delete_file(old.path)
         for m in messages:
-            if m and m.rows:
-                fs.move(m.temporary, f"{folder}/{m.name}" if self.overwrite else f"{folder}/{self.run[11:]}-{m.name}")
+            for temporary, name in m.files if m else ():
+                fs.move(temporary, f"{folder}/{name}" if self.overwrite else f"{folder}/{self.run[11:]}-{name}")
         fs.delete_dir(f"{folder}/{self.run}")
         with fs.open_output_stream(f"{folder}/_SUCCESS"):
             pass
@@ -155,6 +191,19 @@ class RecordWriter(DataSourceArrowWriter):
             fs.delete_dir(f"{folder}/{self.run}")
 
 
+def _by_file(b: pa.RecordBatch, default: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of one file_idx, or all rows for default without that column."""
+    if "file_idx" not in b.schema.names:
+        if b.num_rows:
+            yield default, b
+        return
+    idx = np.asarray(b.column("file_idx"))
+    cuts = [0, *(np.flatnonzero(np.diff(idx)) + 1).tolist(), len(idx)]
+    for first, last in zip(cuts, cuts[1:], strict=False):
+        if first < last:
+            yield int(idx[first]), b.slice(first, last - first)
+
+
 def _raw(b: pa.RecordBatch) -> bytes:
     """Records of a batch; positions that aren't packed in 32 bytes and numbers that don't fit are an error."""
     out = np.zeros(b.num_rows, dtype=RECORD)
@@ -168,10 +217,16 @@ def _raw(b: pa.RecordBatch) -> bytes:
 
 
 def read_records(spark: SparkSession, paths: list[str], rows_per_split: int = 1_000_000) -> DataFrame:
-    """Records by byte ranges, of files in any store that pyarrow opens, mounts of Spark's file systems resolved: relative, repeated and patterned paths in list order."""
+    """Records by byte ranges, of files in any store that pyarrow opens, mounts of Spark's file systems resolved: relative, repeated and patterned paths in list order.
+
+    A task reads a range, or neighbouring small ones: at least ROWS_PER_TASK rows of them, then as many as keep all cores busy.
+    """
     spark.dataSource.register(RecordSource)
-    found = json.dumps([(f.uri, f.size) for f in stores.find(spark, paths)])
-    return spark.read.format("labelled_records").option("found", found).option("rows_per_split", str(rows_per_split)).load()
+    files = stores.find(spark, paths)
+    share = sum(f.size for f in files) // RECORD.itemsize // (4 * spark.sparkContext.defaultParallelism)
+    per_task = max(ROWS_PER_TASK, min(share, 1_000_000))
+    found = json.dumps([(f.uri, f.size) for f in files])
+    return spark.read.format("labelled_records").option("found", found).option("rows_per_split", str(rows_per_split)).option("rows_per_task", str(per_task)).load()
 
 
 def read_list(spark: SparkSession, list_path: str) -> list[str]:
@@ -203,14 +258,16 @@ def read_stored_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 def write_records(rows: DataFrame, path: str, rows_per_file: int = 1_000_000, total: int | None = None) -> None:
     """Rows (row_ord, sfen, score, move, game_ply, game_result) as 40-byte files in the folder path, in place of those there.
 
-    File k has the rows with row_ord from k * rows_per_file on, in order, so the files by name are the rows in order. total: one more than the greatest row_ord.
+    File k has the rows with row_ord from k * rows_per_file on, in order, so the files by name are the rows in order. A task writes
+    a file, or several small ones. total: one more than the greatest row_ord, or more than that; without it, rows are computed twice.
     """
     spark = rows.sparkSession
     spark.dataSource.register(RecordSource)
     if total is None:
         total = (rows.agg(F.max("row_ord")).first()[0] or 0) + 1
-    d = rows.repartitionById(-(-total // rows_per_file), F.expr(f"CAST(row_ord DIV {rows_per_file} AS INT)")).sortWithinPartitions("row_ord")
-    d.select("sfen", "score", "move", "game_ply", "game_result").write.format("labelled_records").option("target", stores.folder(spark, path)).mode("overwrite").save()
+    per_task = max(1, ROWS_PER_TASK // rows_per_file) * rows_per_file
+    d = rows.repartitionById(-(-total // per_task), F.expr(f"CAST(row_ord DIV {per_task} AS INT)")).sortWithinPartitions("row_ord")
+    d.select(F.expr(f"CAST(row_ord DIV {rows_per_file} AS INT)").alias("file_idx"), "sfen", "score", "move", "game_ply", "game_result").write.format("labelled_records").option("target", stores.folder(spark, path)).mode("overwrite").save()
 
 
 def _turned(s):

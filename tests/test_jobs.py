@@ -259,3 +259,18 @@ def test_many_weights_are_joined(spark, monkeypatch):
 
 def test_feature_count():
     assert features.N_FEATURES == 759
+
+
+def test_small_record_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Many small files and ranges take few tasks: the files and rows stay what they are."""
+    record_file(spark, tmp_path / "a.bin", [START, FLIPPED] * 30, [(k, QUIET_MOVE) for k in range(60)])
+    rows = records.read_records(spark, [str(tmp_path / "a.bin")], rows_per_split=2)
+    assert rows.rdd.getNumPartitions() == 1
+    records.write_records(rows, str(tmp_path / "out"), 4)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.endswith(".bin"))
+    assert names == [f"part-{k:06d}.bin" for k in range(15)]
+    assert b"".join((tmp_path / "out" / n).read_bytes() for n in names) == (tmp_path / "a.bin").read_bytes()[: 60 * 40]
+    monkeypatch.setattr(records, "ROWS_PER_TASK", 8)
+    back = records.read_records(spark, [str(tmp_path / "out")], rows_per_split=3)
+    assert back.rdd.getNumPartitions() == 8
+    assert [(r.file_idx, r.row_ord, r.score) for r in sorted(back.collect(), key=lambda r: r.row_ord)] == [(k // 4, k, k) for k in range(60)]

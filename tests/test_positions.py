@@ -221,6 +221,14 @@ def test_registered_sql_without_broadcasts(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("name", ["s1_read_records", "s2_read_file_list", "s10_relabel_files"])
+def test_registered_sql_in_many_tasks(spark, name, monkeypatch):
+    """Records written and read by many tasks that each take several files or ranges."""
+    monkeypatch.setattr(records, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(jobs, "POSITIONS_PER_TASK", 50)
+    test_registered_sql(spark, name)
+
+
 def test_parts_grow_with_the_tables(spark, monkeypatch):
     """A task has as many positions in a large table as in a small one, whatever the session's number of partitions."""
     from rookery.plans import queries
