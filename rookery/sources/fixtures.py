@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rookery.functions import board as B
 from rookery.sources import shared
@@ -32,20 +33,29 @@ SPARSE = """SELECT l_orderkey AS row_id, l_partkey%40 AS idx,
 HAVING SUM(CASE WHEN l_suppkey%2=0 THEN l_quantity ELSE -l_quantity END)<>0"""
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str, parts: int | None = None) -> DataFrame:
+    """sql over tables; with parts, these are first dealt by their rows' pos_id, and all groupings and joins by it stay in those parts."""
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    if parts:
+        read = {t: d.repartition(parts, F.expr(f"CAST(FLOOR({t[0]}_orderkey/5) AS BIGINT)")) for t, d in read.items()}
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), **read)
 
 
 #: Rows of orders and lineitem, about 25 a position, whose positions and pieces one task takes.
 ROWS_PER_TASK = 100_000
+#: As many times the rows are grouped into positions and pieces by one task: far fewer values than attacks and features.
+GROUPED = 4
 
 
-def by_position(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
-    """d partitioned by pos_id into as many parts as the tables have rows for, so that a task's memory doesn't grow with them.
+def by_position(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """sql's rows partitioned by pos_id into as many parts as the tables have rows for, so that a task's memory doesn't grow with them.
 
-    The files' footers have the counts. All that meets by pos_id has this one partitioning, also what a union made.
+    The files' footers have the counts. Groupings of the tables have larger parts, by these counts too. All that meets by pos_id has this
+    one partitioning, also what a union made.
     """
-    return shared.dealt(d, "pos_id", sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("orders", "lineitem")), ROWS_PER_TASK)
+    rows = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    d = _run(spark, sf_dir, sql, *tables, parts=max(1, -(-rows // (GROUPED * ROWS_PER_TASK))))
+    return shared.dealt(d, "pos_id", rows, ROWS_PER_TASK)
 
 
 #: Squares of the rooks with the four bits of rights.
@@ -55,12 +65,12 @@ RIGHTS = (56, 0, 63, 7)
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos_id, king squares, turn, score, game_result, best move, castling (squares of rooks with rights) and ep (-1 or a square)."""
     castling = " + ".join(f"CASE WHEN (rights & {1 << n}) <> 0 THEN {B.bit(str(sq))} ELSE 0L END" for n, sq in enumerate(RIGHTS))
-    d = by_position(spark, sf_dir, _run(spark, sf_dir, POSITIONS, "orders"))
+    d = by_position(spark, sf_dir, POSITIONS, "orders")
     return d.selectExpr("pos_id", "CAST(wk AS INT) wk", "CAST(bk AS INT) bk", "CAST(turn AS INT) turn", "score", "game_result", "CAST(move AS INT) move", f"{castling} AS castling", "CAST(ep AS INT) AS ep")
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_position(spark, sf_dir, _run(spark, sf_dir, PIECES, "orders", "lineitem"))
+    return by_position(spark, sf_dir, PIECES, "orders", "lineitem")
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

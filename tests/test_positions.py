@@ -242,6 +242,22 @@ def test_parts_grow_with_the_tables(spark, monkeypatch):
             assert queries.QUERIES[name](spark, sf).rdd.getNumPartitions() == -(-n // per_task), name
 
 
+def test_groupings_have_parts_by_table_size(spark, monkeypatch):
+    """Orders and lineitem are grouped into positions and pieces in parts by the tables' rows too, not in those of the session."""
+    from rookery.sources import fixtures as X
+
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 500)
+    sf, old = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    n = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for d in (X.positions(spark, sf), X.pieces(spark, sf)):
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert f", {-(-n // 2000)}), REPARTITION_BY_NUM" in plan and f", {-(-n // 500)}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_streamed_steps(spark, tmp_path):
     from rookery.streaming.ingest import current_weights, learn_from_folder
 
