@@ -29,6 +29,8 @@ ROWS = 2048
 FILTER_BITS = 1 << 26
 #: Phrases that a task holds before it sends a sorted run, and that a merge takes in before it sums, or as many as it holds.
 RUN_ROWS = MERGE_ROWS = 1 << 20
+#: Spelled words that a task remembers to have sent.
+SENT_WORDS = 1 << 20
 #: Parts of a language that are ranked by themselves before their best meet.
 RANK_PARTS = 64
 
@@ -310,6 +312,34 @@ def _without_parts(found: DataFrame, stream: DataFrame) -> DataFrame:
     return found.join(right.hint("merge"), ["lang", "w", "a"], "left_anti").join(left.hint("merge"), ["lang", "w", "a"], "left_anti")
 
 
+def best_found(found: DataFrame, top: int) -> DataFrame:
+    """found but for rows with top better ones in their language by score and a alone: all that may be among the best, whatever their spelling."""
+    place = lambda by: F.expr(f"rank() OVER (PARTITION BY {by} ORDER BY score DESC, a DESC)")
+    d = found.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(RANK_PARTS))).withColumn("rank", place("lang, part")).filter(F.col("rank") <= top)
+    return d.withColumn("rank", place("lang")).filter(F.col("rank") <= top).drop("part", "rank")
+
+
+def needed_words(spark: SparkSession, found: DataFrame) -> Broadcast:
+    """A filter of the words of phrases, of any language."""
+    place = F.expr(f"h & {FILTER_BITS - 1}L")
+    return _joined_bits(spark, found.select(F.explode("w").alias("h")).select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bits")))
+
+
+def spellings(stream: DataFrame, needed: Broadcast) -> DataFrame:
+    """h and word, one spelling of every word that the filter lets through. A task sends a word once, or again after SENT_WORDS others."""
+    def run(batches):
+        sent = np.zeros(0, np.uint64)
+        for b in batches:
+            h, word = (b.column(c).flatten() for c in ("h", "word"))
+            h = np.asarray(h).view(np.uint64)
+            some, first = np.unique(h, return_index=True)
+            first = first[_known(needed.value, some) & ~np.isin(some, sent)]
+            sent = np.union1d(sent if len(sent) < SENT_WORDS else sent[:0], h[first])
+            yield pa.RecordBatch.from_arrays([_longs(h[first]), word.take(pa.array(first))], ["h", "word"])
+
+    return stream.select("h", "word").mapInArrow(run, "h long, word string").groupBy("h").agg(F.min("word").alias("word"))
+
+
 def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases of two to max_words words that occur min_count times.
 
@@ -340,15 +370,18 @@ def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top:
     for c in counts[1:]:
         every = every.unionByName(c)
     every = settled(every, "counts")
-    spelled = settled(stream.select(F.explode(F.arrays_zip("h", "word")).alias("x")).select("x.*").groupBy("h").agg(F.min("word").alias("word")), "spelled")
-    release(stream, *counts[1:])
+    release(*counts[1:])
     totals = words.filter("h is null").select("lang", F.col("f").alias("n"))
-    found = _without_parts(_cut_scores(every, totals), every)
+    found = settled(best_found(_without_parts(_cut_scores(every, totals), every), top), "found")
+    needed = needed_words(spark, found)
+    spelled = settled(spellings(stream, needed), "spelled")
+    needed.unpersist()
+    release(stream, every)
     said = found.select("*", F.posexplode("w").alias("i", "h")).join(spelled, "h").groupBy("lang", "w", "a", "l", "r", "n", "score").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("said"))
     said = said.select("lang", F.array_join(F.transform("said", lambda x: x["word"]), " ").alias("phrase"), "a", "l", "r", "n", "score", F.pmod(F.xxhash64("w"), F.lit(RANK_PARTS)).alias("part"))
     best = F.expr("row_number() OVER (PARTITION BY lang, part ORDER BY score DESC, a DESC, phrase)")
     said = said.withColumn("rank", best).filter(F.col("rank") <= top)
     last = F.expr("CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT)")
     done = settled(said.withColumn("rank", last).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
-    release(words, every, spelled)
+    release(words, found, spelled)
     return done

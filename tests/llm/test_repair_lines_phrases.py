@@ -214,6 +214,22 @@ def test_collocations(spark, monkeypatch, block):
     assert phrases.collocations(d.limit(0), 3).count() == 0
 
 
+def test_only_words_of_the_best_are_spelled(spark, monkeypatch):
+    """Frequent words that no best phrase holds are not spelled, and ties by score and count still go by spelling."""
+    rows = [(" ".join(f"{x}{k}" for x in "abc") + ". " + " ".join(f"p{i} q{i}." for i in range(40)), "en") for k in range(4) for _ in range(4)]
+    seen, kept = {}, phrases.settled
+
+    def noted(df, name, *more):
+        d = kept(df, name, *more)
+        seen[name] = d.collect()
+        return d
+
+    monkeypatch.setattr(phrases, "settled", noted)
+    got = sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.lit(1)), 4, 5, 4).collect()))
+    assert got == collocated(rows, 4, 5, 4) and len(got) == 4
+    assert {r["word"] for r in seen["spelled"]} == {f"{x}{k}" for x in "abc" for k in range(4)}
+
+
 def test_scores_beyond_64_bits(spark):
     """1000 a n and l r may both pass 64 bits; the score is exact."""
     a, n = 3_000_000_000_000_000, 9_000_000_000_000_000
