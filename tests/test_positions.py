@@ -1,5 +1,7 @@
 """Golden positions, round trips and properties of the position engine."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -258,6 +260,25 @@ def test_groupings_have_parts_by_table_size(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.mark.parametrize("name", ["s10_relabel_records", "x0_feature_rows", "x5_piece_mobility", "l9_endgame_scaled_score", "m9_score_mismatch", "l8_static_score", "x3_piece_square", "x18_passed_pawn", "x7_piece_captures", "x1_material", "x22_pawn_centre", "x13_defended_piece", "x21_weak_pawn", "x11_king_attack", "x14_minor_outpost", "x4_pawn_mobility", "x15_bad_bishop", "feature_vectors"])
+def test_no_step_has_the_sessions_parts(spark, name, monkeypatch):
+    """Every shuffle of a query on positions, and of the vectors that s4 and l6 store, has as many parts as the tables' rows ask for."""
+    from rookery.plans.queries import QUERIES
+    from rookery.sources import fixtures as X
+
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 500)
+    sf, old = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    n = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = jobs.feature_vectors(X.positions(spark, sf), X.pieces(spark, sf)) if name == "feature_vectors" else QUERIES[name](spark, sf)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    parts = {int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)}
+    assert parts == {-(-n // 2000), -(-n // 500)}
+
+
 def test_streamed_steps(spark, tmp_path):
     from rookery.streaming.ingest import current_weights, learn_from_folder
 
