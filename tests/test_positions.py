@@ -266,7 +266,7 @@ def test_no_step_has_the_sessions_parts(spark, name, monkeypatch):
     from rookery.plans.queries import QUERIES
     from rookery.sources import fixtures as X
 
-    monkeypatch.setattr(X, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 300)
     sf, old = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     n = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -276,7 +276,7 @@ def test_no_step_has_the_sessions_parts(spark, name, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     parts = {int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)}
-    assert parts == {-(-n // 2000), -(-n // 500)}
+    assert parts == {-(-n // 1200), -(-n // 300)} and "ENSURE_REQUIREMENTS" not in plan
 
 
 def test_streamed_steps(spark, tmp_path):
