@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions.scalars import LOGISTIC_SCALE
 from rookery.operators import batching
-from rookery.sources import weight_text
+from rookery.sources import shared, weight_text
 
 #: Rows of a vectorized step.
 STEP_ROWS = 4096
@@ -99,13 +99,11 @@ def tasks_at_once(spark: SparkSession) -> int:
 
 
 def spread(v: DataFrame, task: str, tasks: int, order: str) -> DataFrame:
-    """v with the rows of each task (a number below tasks) in a partition of their own, in order, kept for all epochs.
+    """v with the rows of each task (a number below tasks) in a partition of their own, in order, kept for all epochs until shared.forget().
 
-    Rows are shuffled once. What a lost executor kept is made again from the shuffle's input.
+    Rows are shuffled once. They lie in the shared folder and are read row by row: executors hold none of them, however many there are, and lose none.
     """
-    layout = v.repartitionById(tasks, F.expr(f"CAST({task} AS INT)")).sortWithinPartitions(order).persist()
-    layout.count()
-    return layout
+    return shared.kept(v.repartitionById(tasks, F.expr(f"CAST({task} AS INT)")).sortWithinPartitions(order))
 
 
 def _messages(ctx: BarrierTaskContext, g: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -211,35 +209,40 @@ def _resumed(spark: SparkSession, path: str, half: int, resume: bool) -> tuple[i
     return None if last is None else (last[0] + 1, weight_array(last[1], half))
 
 
+def _fitted(plan: Plan) -> list[str]:
+    """What a layout keeps of rows, besides their place: one phase, as expand() doubles them when they are read."""
+    return ["mg", "eg", "y", "indices", "vals"] + (["result"] if plan.mix is not None else [])
+
+
 def fit_records(rows: DataFrame, validation: DataFrame, path: str, half: int, plan: Plan, quiet_only: bool = False, seed: int | None = None, resume: bool = False, tasks: int | None = None) -> tuple[list[np.ndarray], list[dict[str, float]]]:
     """The whole training job on rows (row_ord, mg, eg, y, quiet, indices, vals of one phase): weights and losses of each epoch.
 
     Batches are cut from all rows, in their order or, with a seed, in an order of its own for each epoch; quiet_only then leaves the other rows out,
     and the gradient divides by the rows that stay. If one batch holds all rows and residuals are plain, the steps come from one pass over the
     rows (fit_gram). path/weights gets a snapshot of each epoch; with resume, a fit that was stopped goes on behind the last one
-    and returns the epochs from there. Losses are those of the validation rows, all and quiet.
+    and returns the epochs from there. Losses are those of the validation rows, all and quiet. Both tables are stored ones: validation is
+    read again after each epoch, as held rows would fill the executors' memory.
     """
     spark, seen = rows.sparkSession, []
     total, tasks = batching.ordinals(rows), tasks or tasks_at_once(spark)
     start = _resumed(spark, path, half, resume)
-    v, check = expand(rows.filter("quiet") if quiet_only else rows, half), expand(validation, half).persist()
-    after, layout = _followed(spark, check, path, seen, lambda w: w), None
+    v = rows.filter("quiet") if quiet_only else rows
+    after, layout = _followed(spark, expand(validation, half), path, seen, lambda w: w), None
     try:
         if plan.batch >= total and plan.mix is None:
-            return fit_gram(v, 2 * half, plan.epochs, plan.rate, plan.penalty, after, start), seen
-        layout = spread(v, f"row_ord % {tasks}", tasks, "row_ord")
+            return fit_gram(expand(v, half), 2 * half, plan.epochs, plan.rate, plan.penalty, after, start), seen
+        layout = spread(v.select("row_ord", *_fitted(plan)), f"row_ord % {tasks}", tasks, "row_ord")
 
         def epoch_rows(epoch: int) -> DataFrame:
             if seed is None:
-                return layout.withColumn("batch_id", F.expr(f"row_ord DIV {plan.batch}"))
+                return expand(layout.withColumn("batch_id", F.expr(f"row_ord DIV {plan.batch}")), half)
             d = batching.with_place(layout, "row_ord", str(total), batching.epoch_seed(seed, epoch))
-            return d.withColumn("batch_id", F.expr(f"place DIV {plan.batch}")).sortWithinPartitions("batch_id")
+            return expand(d.withColumn("batch_id", F.expr(f"place DIV {plan.batch}")).sortWithinPartitions("batch_id"), half)
 
         return fit(epoch_rows, 2 * half, plan, -(-total // plan.batch), after, start), seen
     finally:
-        check.unpersist()
         if layout is not None:
-            layout.unpersist()
+            shared.forget(layout)
 
 
 def chunk_offsets(sizes: np.ndarray, epoch: int, seed: int, workers: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,13 +282,13 @@ def worker_batches(rows: DataFrame, sizes: np.ndarray, batch: int, workers: int,
 def fit_chunks(rows: DataFrame, validation: DataFrame, path: str, half: int, plan: Plan, chunk: int, workers: int, seed: int, scales: list[float] | None = None, resume: bool = False, tasks: int | None = None) -> tuple[list[np.ndarray], list[dict[str, float]]]:
     """As fit_records(), from feature rows that are read by chunk: each epoch in an order of its own, its batches from all workers.
 
-    Chunks stay where they are for all epochs; a task sorts its rows by the epoch's batches.
+    Chunks stay where they are for all epochs; a task sorts its rows by the epoch's batches. validation is a stored table, read again after each epoch.
     With scales, features are divided first, and the weights given back, as those that are validated and stored, are for plain features.
     """
     spark, seen, tasks = rows.sparkSession, [], tasks or tasks_at_once(rows.sparkSession)
     v = batching.chunks(rows, chunk).withColumn("i", F.row_number().over(Window.partitionBy("chunk_id").orderBy("row_ord")) - 1)
-    layout = spread(expand(scale(v, scales) if scales else v, half), f"chunk_id % {tasks}", tasks, "row_ord")
-    check = expand(validation, half).persist()
+    v = (scale(v, scales) if scales else v).select("row_ord", "chunk_id", "i", *_fitted(plan))
+    layout = spread(v, f"chunk_id % {tasks}", tasks, "row_ord")
     plain = (lambda w: unscaled(w, scales)) if scales else (lambda w: w)
     try:
         found = layout.groupBy("chunk_id").agg(F.count("*").alias("n")).toArrow()
@@ -299,16 +302,15 @@ def fit_chunks(rows: DataFrame, validation: DataFrame, path: str, half: int, pla
         w, first, out = np.zeros(2 * half), 0, []
         if start := _resumed(spark, path, half, resume):
             first, w = start
-        after = _followed(spark, check, path, seen, plain)
+        after = _followed(spark, expand(validation, half), path, seen, plain)
         for epoch in range(first, plan.epochs):
             d = worker_batches(layout, sizes, plan.batch, workers, epoch, seed).sortWithinPartitions("batch_id")
-            w = train_epoch(d, w, plan, batches(epoch))
+            w = train_epoch(expand(d, half), w, plan, batches(epoch))
             out.append(plain(w))
             after(epoch, w)
         return out, seen
     finally:
-        check.unpersist()
-        layout.unpersist()
+        shared.forget(layout)
 
 
 def gram(v: DataFrame, dim: int, newton: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:

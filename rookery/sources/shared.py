@@ -39,6 +39,22 @@ def settled(df: DataFrame, name: str = "table", most: int | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder, its partitions and the order of their rows as they are; reads go row by row and hold nothing."""
+    folder, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that kept() wrote and that nothing will read any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dealt(df: DataFrame, key: str, rows: int, rows_per_task: int) -> DataFrame:
     """df partitioned by key into a part for each rows_per_task of rows; unlike parts of a join or grouping they are never merged by their bytes."""
     return df.repartition(max(1, -(-rows // rows_per_task)), key)

@@ -10,7 +10,7 @@ from test_positions import CAPTURE, FLIPPED, QUIET_MOVE, START, load, record_fil
 
 from rookery.operators import batching, features, geometry, linear, metrics, scoring, sparse, training
 from rookery.plans import jobs
-from rookery.sources import records, text_positions, weight_text
+from rookery.sources import records, shared, text_positions, weight_text
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 15, 16, 17, 100, 1000, 4097, 65535])
@@ -109,6 +109,28 @@ def test_fit_chunks(spark, tmp_path):
     assert losses[1]["mse"] == pytest.approx(((y - x @ got[1]) ** 2).mean())
 
 
+@pytest.mark.parametrize("job", ["records", "chunks"])
+def test_a_fit_holds_no_rows(spark, tmp_path, monkeypatch, job):
+    """Executors keep no rows, for training or for losses, while a fit runs; afterwards the shared folder has none left."""
+    d, _, _, _, _ = vector_rows(spark)
+    held, folder = [], shared.shared_dir(spark).removeprefix("file:")
+    count = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    files = lambda: {os.path.join(at, f) for at, _, names in os.walk(folder) for f in names}
+    before, lay = count(), files()
+    for step in ("train_epoch", "losses"):
+        def watched(*a, f=getattr(training, step)):
+            got = f(*a)
+            held.append((count() - before, len(files() - lay) > 0))
+            return got
+        monkeypatch.setattr(training, step, watched)
+    if job == "records":
+        training.fit_records(d, d, str(tmp_path / "job"), 4, training.Plan(2, 25, 0.01, 0.1), quiet_only=True, seed=3, tasks=3)
+    else:
+        training.fit_chunks(d, d, str(tmp_path / "job"), 4, training.Plan(2, 20, 0.01, 0.1), 10, 3, 9, tasks=2)
+    assert held == [(0, True)] * 4
+    assert files() == lay
+
+
 @pytest.mark.parametrize("batch", [25, 1000])
 def test_a_stopped_fit_goes_on(spark, tmp_path, batch):
     """Epochs 0 and 1, then the rest: the weights of one run, each epoch once; an epoch whose marker is missing is done again."""
